@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_files
+from . import mixing, packing, simhash, token_files
 from .common import table
 
 
@@ -21,8 +21,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
