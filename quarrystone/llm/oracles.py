@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import url_filter
+
 #: Weights 5, 2, 1 in turn; a source is clamped at three times its size if the level that its
 #: fellows reach without the tighter ones lies above its limit.
 OP9 = r"""
@@ -36,4 +38,4 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op9_source_mixing": OP9}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.oracle(), "op9_source_mixing": OP9}
