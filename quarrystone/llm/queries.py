@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, token_files, url_filter
+from . import mixing, packing, simhash, token_files, topk, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
@@ -34,5 +38,6 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
 }
