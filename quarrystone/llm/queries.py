@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, token_files, topk, url_filter
+from . import block_dedup, mixing, packing, simhash, token_files, topk, url_filter
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_dedup.marked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -40,4 +44,5 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
+    "op10_block_anchor_dedup": op10_block_anchor_dedup,
 }
