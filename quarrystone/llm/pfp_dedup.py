@@ -241,15 +241,13 @@ def marked(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
 
 
 def stripped(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with what is left of their texts; a character that is cut in two goes, null texts stay null.
+    """docs with what is left of their texts; a character that is cut in two goes, a null text becomes an empty one.
 
     `length_col`, where docs have it, becomes the code points of the text that is left.
     """
     left = _marked(docs, window, True, id_col, text_col)
-    text = F.when(F.col("n_removed") > 0, F.col("kept"))
-    others = [f"own.`{c}`" for c in docs.columns if c != text_col]
-    plain = docs.schema[text_col].nullable
-    found = left.select(*[F.col(o) for o in others], F.coalesce(text, F.col("kept")).alias(text_col))
+    others = [F.col(f"own.`{c}`") for c in docs.columns if c != text_col]
+    found = left.select(*others, F.col("kept").alias(text_col))
     if length_col in docs.columns:
         found = found.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return found.select(*docs.columns) if plain else found.select(*docs.columns)
+    return found.select(*docs.columns)

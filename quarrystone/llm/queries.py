@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, mixing, packing, simhash, token_files, topk, url_filter
+from . import block_dedup, mixing, packing, pfp_dedup, simhash, token_files, topk, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_pfp_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.marked(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -40,6 +44,7 @@ def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pfp_substring_dedup": op4_pfp_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_top_k": op8_exact_top_k,
