@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, mixing, packing, pfp_dedup, simhash, token_files, topk, toxicity, url_filter
+from . import block_dedup, mixing, packing, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_pfp_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp_dedup.marked(table(spark, sf_dir, "documents"))
 
 
+def op5_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_pfp_substring_dedup": op4_pfp_substring_dedup,
+    "op5_line_labelling": op5_line_labelling,
     "op6_token_files": op6_token_files,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_top_k": op8_exact_top_k,
