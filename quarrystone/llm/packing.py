@@ -125,6 +125,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the capacity. Equal rows are packed each for itself.
     """
     spark = rows.sparkSession
+    rows = written(rows, "pieces")  # range-sorting looks at its input twice
     ranked = written(_ranked(rows), "ranked")
     per_part = ranked.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
