@@ -14,6 +14,7 @@ BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe
 TEXTS = [
     None, "", " ", "a", "One two, three. it's WE'LL 12 345", "a  b", " lead", "trail ", "x\ny", "x\n\ny", "x \ny", "x\n y", "tab\there", "é ́x İ ΣΑΣ",
     "a\x1cb c", "nb sp ace", "<|endoftext|> x <|startoftext|>", "line\r\nend", "\n", "日本 語 text", "long " * 3000, "z" * 9000,
+    "Éclair, ÀB! straße. naïve?! A. b_ c' don't, x́ y1, (q) w;; ﬁ é, \u0130stanbul. K. ẞ,", "word. Word, WORD! word",
 ]
 
 
