@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import _drop, partitions, shared_path, written
 
-CHUNKS_PER_PARTITION = 4
+#: Bytes of text in a chunk, and of all texts for each bucket of the key space, about.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 MASKS = "chunk int, kind int, bucket int, marks binary"
 
 
@@ -28,15 +29,17 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False):
         spark = docs.sparkSession
-        self.n = partitions(spark)
+        total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        deal, count = partitions(spark), max(1, -(-total // CHUNK_BYTES))
+        self.n = max(1, -(-total // BUCKET_BYTES))
         rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("text"), *([F.struct(*[docs[c] for c in docs.columns]).alias("own")] if keep else []))
         if keep:
             rows = rows.withColumn("own", F.col("own").dropFields(text_col) if len(docs.columns) > 1 else F.lit(None).cast("int"))
         rows = rows.withColumn("row", F.monotonically_increasing_id())
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "row"), F.lit(self.n * CHUNKS_PER_PARTITION)).cast("int"))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", "row"), F.lit(count)).cast("int"))
         path = shared_path(spark, "chunks")
         name = "quarrystone_" + path.rpartition("/")[2].replace("-", "_") + "_" + path.split("quarrystone-")[-1].split("/")[0].replace("-", "_")
-        rows.repartition(self.n, "chunk").write.option("path", path).option("compression", "zstd").bucketBy(self.n, "chunk").saveAsTable(name)
+        rows.repartition(deal, "chunk").write.option("path", path).option("compression", "zstd").bucketBy(deal, "chunk").saveAsTable(name)
         atexit.register(_drop, spark, path)
         self.rows = spark.table(name)
 
