@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
+# What makes a bracket a citation, and the order of its parts.
+_BRACKET = re.compile(r"\[([^\[\]]{1,400})\]")
+_SIGNAL = re.compile(r"\bdoc\b|\.pdf\b|\barticle\b|\bschedule\b|\blist\b|\bentry\b|\bp:|\btype\b", re.I)
+_PARTS = ("article", "schedule", "list", "entry", "p")
+
 PROMPT_TEXT, PREVIEW, SNIPPET = 1500, 500, 140
 
 
@@ -47,9 +56,38 @@ def snippet(c: Column) -> Column:
     return F.substring(T.strip(F.regexp_replace(c, r"\s+", " ")), 1, SNIPPET)
 
 
+def normalised_citation(body: str) -> str | None:
+    """The inside of a citation bracket in the fixed order of parts; None if it is no citation."""
+    body = " ".join(body.split())
+    if not _SIGNAL.search(body):
+        return None
+    told: dict[str, str] = {}
+    for part in map(str.strip, body.split("|")):
+        key, colon, value = part.partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if not colon:
+            first, _, rest = part.partition(" ")
+            key, value = (first.lower(), rest.strip()) if first.lower() in ("doc", "type") and rest else ("doc", part) if ".pdf" in part.lower() else ("", "")
+        if value and key in ("doc", "type", *_PARTS):
+            told[key] = value
+    shown = [told.get("doc", ""), *(f"{k}:{told[k]}" for k in _PARTS if k in told), "" if told.get("type", "").lower() in ("generic", "article") else told.get("type", "")]
+    return " | ".join(filter(None, shown))
+
+
+@F.pandas_udf(StringType())
+def normalised_citations(answers: pd.Series) -> pd.Series:
+    """Answers with their citation brackets in one form; brackets without a known part go, others stay."""
+
+    def one(match: re.Match) -> str:
+        inside = normalised_citation(match[1])
+        return match[0] if inside is None else f"[{inside}]" if inside else ""
+
+    return pd.Series([None if a is None else _BRACKET.sub(one, a) for a in answers], dtype="object")
+
+
 def clean(answers: DataFrame) -> DataFrame:
     """answers (answer, context, query) with `cleaned`: reasoning, citation tags and unsupported lines gone, blanks tidied."""
-    text = T.without_citation_tags(T.without_reasoning(F.col("answer")))
+    text = normalised_citations(T.without_citation_tags(T.without_reasoning(F.col("answer"))))
     text = T.without_unsupported_lines(text, F.col("context"))
     text = F.when(T.constitution_only(F.col("query")), T.without_external_lines(text)).otherwise(text)
     text = T.strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))

@@ -226,6 +226,7 @@ FROM postings p WHERE p.chunk_pos % 10 = 0 OR kind = 'article' AND p.chunk_pos %
 EVAL_SUMMARY = """
 SELECT coalesce(lang, '(all)') AS category, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)"""
+BLOCK_TEXT = r"SELECT conv_id, turn, regexp_replace(replace(text, chr(13), ''), '^\s+|\s+$', '', 'g') AS text FROM conversations"
 
 ORACLES: dict[str, str] = {
     "bm25_topk": BM25_TOPK, "bm25_batch": BM25_BATCH, "term_stats": TERM_STATS, "vector_topk": VECTOR_TOPK, "vector_topk_multi": VECTOR_TOPK_MULTI, "hybrid_topk": HYBRID_TOPK,
@@ -233,5 +234,5 @@ ORACLES: dict[str, str] = {
     "pending_docs": PENDING_DOCS, "extract_articles": EXTRACT_ARTICLES, "expand_range": EXPAND_RANGE, "canonical_ids": CANONICAL_IDS, "query_modes": QUERY_MODES, "expand_rules": EXPAND_RULES,
     "build_postings": BUILD_POSTINGS, "priority_lookup": PRIORITY_LOOKUP, "heads_first": HEADS_FIRST, "synthetic_fallback": SYNTHETIC_FALLBACK, "page_window": PAGE_WINDOW, "split_pages": SPLIT_PAGES,
     "json_blocks": JSON_BLOCKS, "citation_header": CITATION_HEADER, "prompt_context": PROMPT_CONTEXT, "clean_answer": CLEAN_ANSWER, "validate_store": VALIDATE_STORE, "validate_index": VALIDATE_INDEX,
-    "eval_summary": EVAL_SUMMARY,
+    "eval_summary": EVAL_SUMMARY, "block_text": BLOCK_TEXT,
 }

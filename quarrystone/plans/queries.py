@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal as L
 from ..functions import text as T
-from ..operators import answer, audit, chunks, index, pages, search
+from ..operators import answer, audit, blocks, bundle, chunks, index, pages, search, segment
 
 QUERY = "the thing and tion for a remedy"
 
@@ -225,6 +225,24 @@ def validate_index(spark: SparkSession, d: str) -> DataFrame:
     return audit.index_issues(index.build_postings(rows), rows.where("chunk_pos % 10 > 0").withColumn("article_id", F.when(F.col("chunk_pos") % 7 == 0, "1").otherwise(F.col("article_id"))))
 
 
+def article_bundles(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legal_chunks(spark, d).withColumn("chunk_type", F.when(F.col("article_id") != "", "article").otherwise("clause")).withColumn("page_start", F.col("page"))
+    rows = rows.withColumn("text", F.when(F.col("article_id") == "", F.concat(F.lit("(2) "), F.col("text"))).otherwise(F.col("text")))
+    rows = rows.withColumns({c: F.lit("") for c in ("schedule_id", "list_id", "entry_id")})
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), (F.col("n_nationkey") * 3 + 1).cast("string").alias("article_id"), (F.col("n_nationkey") % 5 == 0).alias("notes"))
+    return bundle.bundles(rows, wanted)
+
+
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat((F.col("turn") + 14).cast("string"), F.lit(". Heading of this.-(1) "), F.col("text")).alias("text"))
+    return segment.chunk_pages(rows)
+
+
+def block_text(spark: SparkSession, d: str) -> DataFrame:
+    block = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.col("turn").alias("reading_order"), F.lit("paragraph").alias("layout_tag"))).alias("blocks")))
+    return table(spark, d, "conversations").select("conv_id", "turn", blocks.readable_text(F.concat(F.lit("page: "), block)).alias("text"))
+
+
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("category"), (F.col("quality") == 1).alias("passed"))
     return audit.eval_summary(items)
@@ -235,6 +253,6 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
         editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, heads_first,
-        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary,
+        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_chunks, block_text,
     )
 }
