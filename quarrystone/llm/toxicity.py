@@ -26,7 +26,7 @@ ORDER, DECAY = 3, 0.6
 #: Powers of the kernel that are added up: the low one is tolerant, the high one strict.
 POWERS = (3, 12)
 #: Bounds of the training sample: documents of either class, and bytes of one; and of the landmarks.
-TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 1500, 2500, 8192
+TOXIC_DOCS, CLEAN_DOCS, DOC_BYTES = 1000, 1500, 6144
 LANDMARKS, PLAIN_LANDMARKS = 26, 4
 #: Landmarks that should find each toxic document.
 COVER = 3
@@ -176,39 +176,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -500, 500)))
 
 
-def _sentences(text: str) -> list[list[str]]:
+def _sentences(text: str, known: dict[str, str]) -> list[list[str]]:
+    """A text's sentences as words of letters; equal words are one string, kept in `known`."""
     out: list[list[str]] = [[]]
     for w in tokens(text):
         if w == _END or len(out[-1]) == SENTENCE:
             out.append([])
         if w != _END:
-            out[-1].append(letters(w))
+            core = letters(w)
+            out[-1].append(known.setdefault(core, core))
     return [[w for w in s if w] for s in out if any(s)] or [[]]
 
 
 def landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS, plain: int = PLAIN_LANDMARKS) -> list[str]:
     """Strings of letters that set toxic documents apart, until all are covered, and the most common clean words."""
     bad, good = (Counter(w for d in docs for w in d) for docs in (toxic, clean))
-    grams: Counter[str] = Counter()
-    for w, n in bad.items():
-        grams.update({g: n for k in range(SHORTEST, LONGEST + 1) for g in {w[i : i + k] for i in range(len(w) - k + 1)}})
-    grams = Counter({g: n for g, n in grams.items() if n >= 3})
-    against: Counter[str] = Counter()
-    for w, n in good.items():
-        for k in range(SHORTEST, LONGEST + 1):
-            for i in range(len(w) - k + 1):
-                if w[i : i + k] in grams:
-                    against[w[i : i + k]] += n
     ratio = max(1, len(clean)) / max(1, len(toxic))
-    gain = {g: n - 4 * against[g] / ratio for g, n in grams.items()}
-    tried = sorted((g for g in gain if gain[g] > 0), key=lambda g: (-gain[g], -len(g), g))[:3000]
-    within: dict[str, set[int]] = {g: set() for g in tried}
+    gain: dict[str, float] = {}
+    against: dict[str, int] = {}
+    for k in range(SHORTEST, LONGEST + 1):  # one length at a time, so few strings are held
+        grams: Counter[str] = Counter()
+        for w, n in bad.items():
+            for g in {w[i : i + k] for i in range(len(w) - k + 1)}:
+                grams[g] += n
+        grams = Counter({g: n for g, n in grams.items() if n >= 3})
+        other: Counter[str] = Counter()
+        for w, n in good.items():
+            for g in (w[i : i + k] for i in range(len(w) - k + 1)):
+                if g in grams:
+                    other[g] += n
+        best = sorted(((n - 4 * other[g] / ratio, g) for g, n in grams.items()), reverse=True)[:1000]
+        gain |= {g: v for v, g in best if v > 0}
+        against |= {g: other[g] for _, g in best}
+    tried = sorted(gain, key=lambda g: (-gain[g], -len(g), g))[:2000]
+    within: dict[str, list[int]] = {g: [] for g in tried}
     for i, d in enumerate(toxic):
         for g in {w[a : a + k] for w in d for k in range(SHORTEST, LONGEST + 1) for a in range(len(w) - k + 1)} & within.keys():
-            within[g].add(i)
+            within[g].append(i)
     found: list[str] = []
     times = np.zeros(len(toxic))
-    held = {g: np.fromiter(within[g], np.int64, len(within[g])) for g in tried}
+    held = {g: np.array(within[g], np.int64) for g in tried}
     alike = lambda a, b: any(a[i : i + SHORTEST] in b for i in range(len(a) - SHORTEST + 1))
     while len(found) < most and tried:
         worth = np.maximum(0, 1 - times / COVER)
@@ -225,13 +232,13 @@ def landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARK
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         active = y * (z @ w) < 1
-        za, ca = z[active], cost[active]
+        za, ca = z[active].astype(np.float64), cost[active]
         after = np.linalg.solve(ridge + 2 * (za * ca[:, None]).T @ za, 2 * za.T @ (ca * y[active]))
         if np.abs(after - w).max() < 1e-9:
             break
@@ -251,8 +258,9 @@ def _calibration(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Train on (text, label) rows. Without both labels all scores are those of the one seen, or 0.5 - a little."""
     rows = sorted(rows)
-    docs = [(_sentences(t or ""), 1 if y else -1) for t, y in rows]
-    toxic, clean = ([{w for s in d for w in s} for d, y in docs if y == k] for k in (1, -1))
+    known: dict[str, str] = {}
+    docs = [(_sentences(t or "", known), 1 if y else -1) for t, y in rows]
+    toxic, clean = [[{w for s in d for w in s} for d, y in docs if y == k] for k in (1, -1)]
     if not toxic or not clean:
         return Model([], np.zeros(0), 0.0, 1.0, 3.0 if toxic else -3.0 if clean else -0.001)
     marks = landmarks(toxic, clean)
@@ -275,13 +283,14 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for i, block in enumerate(blocks):
         whiten[i * k : (i + 1) * k, i * k : (i + 1) * k] = block
     number = {w: i for i, w in enumerate(cores)}
-    table = features(cores, marks, norms) @ whiten
+    table = np.concatenate([(features(cores[i : i + 8192], marks, norms) @ whiten).astype(np.float32) for i in range(0, len(cores), 8192)])
     # all sentences in one row of words, with the edges between sentences and between documents
     sentences = [s for d, _ in docs for s in d]
     words = np.array([number[w] for s in sentences for w in s], np.int64)
     sizes = np.array([len(s) for s in sentences])
-    x = np.zeros((len(sentences), table.shape[1]))
-    np.add.at(x, np.repeat(np.arange(len(sentences)), sizes), table[words])
+    x = np.zeros((len(sentences), table.shape[1]), np.float32)
+    for i in range(0, len(words), 65_536):
+        np.add.at(x, np.repeat(np.arange(len(sentences)), sizes)[i : i + 65_536], table[words[i : i + 65_536]])
     edges = np.cumsum([0] + [len(d) for d, _ in docs])
     y = np.array([label for _, label in docs])
     of = np.repeat(np.arange(len(docs)), np.diff(edges))
@@ -297,7 +306,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         worst = [max(sentences[i], key=lambda w: table[number[w]] @ weights) if sentences[i] else "" for i in positive]
         new = features([twisted(w) if w else "" for w in worst], marks, norms) @ whiten
         changed = np.array([x[i] - (table[number[w]] if w else 0) for i, w in zip(positive, worst, strict=True)]) + new
-        every = np.vstack([x[positive], changed, x[negative]])
+        every = np.vstack([x[positive], changed.astype(np.float32), x[negative]])
         label = np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative))])
         share = np.concatenate([np.full(len(positive), 0.8), np.full(len(positive), 0.2), np.full(len(negative), 1.5 * len(positive) / max(1, len(negative)))])
         weights, bias = _machine(every, label, 40 * share)
