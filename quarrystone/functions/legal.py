@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ ARTICLE_SERIES = r"\b(?:Articles?|Arts?\.?)\s+((?:\d{1,3}[A-Z]?\s*(?:,|/|&|\band
 COMPARED = r"\b(?:compare|between|vs\.?|versus)\b[^\d]{0,20}((?:\d{1,3}[A-Z]?\s*(?:,|/|&|\band\b)\s*)+\d{1,3}[A-Z]?)"
 BARE_SERIES = r"^\s*((?:\d{1,3}[A-Z]?\s*(?:,|/|&|\band\b)\s*)+\d{1,3}[A-Z]?)\s*$"
 ENTRY_REF = r"\bEntry\s+(\d+[A-Z]?)\b"
+SCHEDULE_NAMED = r"\b(FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH|ELEVENTH|TWELFTH|[IVXLC]+|\d{1,2}(?:ST|ND|RD|TH)?)\s+SCHEDULE\b"
+SCHEDULE_PREFIX = r"\b(?:Schedule|Sch\.?)\s+([IVXLC]+|\d{1,2}(?:ST|ND|RD|TH)?)\b"
+LIST_REF = r"\b(LIST\s+(?:III|II|I|1|2|3)|UNION\s+LIST|STATE\s+LIST|CONCURRENT\s+LIST)\b"
 AMENDMENT_REF = r"(?:Constitution\s+\()?((?:First|Second|Third|\w+)\s+Amendment)\s+Act"
 MOST = 400
 
@@ -102,3 +107,16 @@ def part_refs(text: Column) -> Column:
 
 def entry_refs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + ENTRY_REF), F.lit(1)), F.upper))
+
+
+def _ids(text: Column, pattern: str, canonical: Callable[[Column], Column]) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1)), lambda x: canonical(F.regexp_replace(x, r"\s+", " ")))
+    return F.filter(F.array_distinct(found), lambda x: x != "")
+
+
+def schedule_refs(text: Column) -> Column:
+    return F.array_distinct(F.concat(_ids(text, SCHEDULE_NAMED, schedule_id), _ids(text, SCHEDULE_PREFIX, schedule_id)))
+
+
+def list_refs(text: Column) -> Column:
+    return _ids(text, LIST_REF, list_id)
