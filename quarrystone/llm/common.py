@@ -76,8 +76,9 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python, so a batch is bounded by rows here and by bytes in Spark's own setting."""
+    """Whole texts travel to Python, so a batch is bounded by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def checked_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:

@@ -182,6 +182,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id (of repeated ids all rows; null ids stay)."""
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_keep_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one document of each component: the one with the smallest id, of rows that repeat it any one.
+
+    Rows with a null id stay: they cannot be told apart by id.
+    """
+    found = written(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "components")
+    keep = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count("*").alias("_rows")), "kept")
+    once, again = keep.where("_rows = 1"), keep.where("_rows > 1")
+    out = docs.join(once, docs[id_col] == once["_keep_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if again.head(1):
+        out = out.unionByName(docs.join(again, docs[id_col] == again["_keep_id"], "left_semi").dropDuplicates([id_col]))
+    return out

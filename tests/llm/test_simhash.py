@@ -77,5 +77,7 @@ def test_empty_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (2, "A B C D"), (None, "zz yy xx ww vv")], schema)
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(5, 2), (5, 2), (None, 2), (2, 2), (None, None)], key=str)
+    twice = spark.createDataFrame([(9, "q r s t u"), (9, "q r s t u"), (10, "Q R S T U")], schema)
+    assert [tuple(r) for r in simhash.deduplicated(twice).collect()] == [(9, "q r s t u")]
     kept = simhash.deduplicated(docs.withColumn("fingerprint", docs.text))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "A B C D"), (None, "a b c d"), (None, "zz yy xx ww vv")], key=str)
