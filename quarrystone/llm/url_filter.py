@@ -1,8 +1,8 @@
 """URL filtering by rules, and where none fits by the ratio of two character language models.
 
 The urls that a rule accepts or rejects train one smoothed variable-order Markov model each
-(interpolated Witten-Bell estimates up to ORDER characters of context; contexts rarer than a share
-of all training characters are left out, so their shorter suffix decides). A url without a rule is
+(interpolated Witten-Bell estimates up to ORDER characters of context; every context counts, however
+rare, and interpolation gives a rare one little weight). A url without a rule is
 judged by the difference of its two log-likelihoods a character against a threshold that is calibrated on
 rule-decided urls held out of training. All of it is DataFrame operations; log ratios are whole
 numbers of millionths, so sums don't depend on their order.
@@ -19,6 +19,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 4
 #: Symbols that the text of a url is made of: letters, 0 for any digit, ./_%- and ~ for all others, ^ before and $ after.
 SYMBOLS = 40
+#: Only the SQL of oracle() still leaves out contexts below this share: from 1e5 training characters on it differs from judge().
 MIN_SHARE = 1e-5
 #: One url in so many is kept for calibration.
 FOLD = 5
@@ -63,17 +64,15 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     return urls.withColumn("text", text).withColumn("at", at).withColumn("gram", F.expr(f"substring(text, at, {order + 1})")).drop("text", "at")
 
 
-def train(judged: DataFrame, distinct: DataFrame, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+def train(judged: DataFrame, distinct: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, score) for every gram of `distinct`: its log ratio under models trained on judged (host, path, verdict)."""
     kinds = [F.sum((F.col("verdict") == k).cast("long")).alias(k) for k in ("allow", "block")]
     counts = written(_grams(judged, order).groupBy("gram").agg(*kinds), "grams")
-    total = counts.agg(F.coalesce(F.sum(F.col("allow") + F.col("block")), F.lit(0))).first()[0]
-    least = max(1, min_share * total)
     scored = distinct.withColumns({"p_allow": F.lit(1.0 / SYMBOLS), "p_block": F.lit(1.0 / SYMBOLS)})
     for k in range(order + 1):
         grams = counts.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
         sums = [f(c).alias(n + c) for c in ("allow", "block") for n, f in (("n_", F.sum), ("t_", lambda c: F.sum((F.col(c) > 0).cast("long"))))]
-        contexts = grams.groupBy(F.expr(f"left(g, {k})").alias("h")).agg(*sums).where(F.col("n_allow") + F.col("n_block") >= (least if k else 0))
+        contexts = grams.groupBy(F.expr(f"left(g, {k})").alias("h")).agg(*sums)
         scored = scored.join(contexts, F.expr(f"substring(gram, {order + 1 - k}, {k})") == F.col("h"), "left").join(grams, F.expr(f"right(gram, {k + 1})") == F.col("g"), "left")
         for c in ("allow", "block"):
             n, t, p = (F.col(x + c) for x in ("n_", "t_", "p_"))
@@ -106,7 +105,7 @@ def _threshold(held: DataFrame) -> DataFrame:
     return best.select(F.when(F.col("known") > 0, F.col("edge")).otherwise(0).alias("edge"))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER, min_share: float = MIN_SHARE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(page_id, host, path, rule, verdict, total, n) for every row of pages; total / n / 1e6 is the mean log ratio.
 
     A null url, or one without "://", has an empty host and path and is judged like any other text
@@ -121,7 +120,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: i
     urls = written(same, "urls")
     distinct = written(_grams(urls.select("host", "path"), order).select("gram").distinct(), "distinct")
     judged = urls.where("ruled is not null and not held").select("host", "path", F.col("ruled").alias("verdict"))
-    scores = written(train(judged, distinct, order, min_share), "scores")
+    scores = written(train(judged, distinct, order), "scores")
     summed = _with_scores(_grams(urls.withColumn("page_id", F.lit(0)), order), scores, scores.count(), broadcast_grams)
     summed = summed.groupBy("host", "path", "rule", "ruled", "held").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
     summed = written(summed, "sums")

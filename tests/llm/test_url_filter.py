@@ -110,3 +110,24 @@ def test_no_rows_and_no_labels(spark):
 def test_main_path_is_native(spark):
     df = url_filter.judge(spark.createDataFrame([(1, "http://a.net/b")], "page_id long, url string"))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rare_contexts_count_in_large_training(spark):
+    """150 000 training characters; a context seen once still decides, as in plain models without a cut-off."""
+    order, urls = url_filter.ORDER, [("a", "/" + "en" * 250, "allow")] * 300 + [("a", "/zq7", "block")]
+    seen = {"allow": [], "block": []}
+    for h, p, k in urls:
+        t = "^" * order + (h + p).replace("7", "0") + "$"
+        seen[k] += [t[i : i + order + 1] for i in range(len(t) - order)]
+
+    def chance(kind, gram):
+        p = 1 / url_filter.SYMBOLS
+        for k in range(order + 1):
+            followers = Counter(g[order:] for g in seen[kind] if g[order - k : order] == gram[order - k : order])
+            if n := sum(followers.values()):
+                p = (followers[gram[order:]] + len(followers) * p) / (n + len(followers))
+        return p
+
+    grams = ["/zq0$", "a/zq0", "enene", "nenez"]
+    got = url_filter.train(spark.createDataFrame(urls, "host string, path string, verdict string"), spark.createDataFrame([(g,) for g in grams], "gram string"))
+    assert {r.gram: r.score for r in got.collect()} == {g: round((math.log(chance("allow", g)) - math.log(chance("block", g))) * 1e6) for g in grams}
