@@ -168,6 +168,12 @@ def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
     return index.lookup(asked, index.build_postings(_legal_chunks(spark, d)))
 
 
+def priority_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's question, of all five shapes, with its parts; priority_lookup has the share that its SQL can say."""
+    queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), _question().alias("query"))
+    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)))
+
+
 def heads_first(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     return index.heads_first(rows, "l_orderkey", "l_suppkey", F.col("l_suppkey"), F.col("l_linenumber"))
@@ -252,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
-        editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, heads_first,
+        editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_chunks, block_text,
     )
 }
