@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .chunked import covered, mix
 from .common import small_batches, texts
 
-#: Bounds of the training sample: documents of either label, bytes and lines of one.
-GOOD_DOCS, BAD_DOCS, DOC_BYTES, TRAIN_LINES = 1500, 1500, 8192, 64
+#: Bounds of the training sample: documents of either label, and bytes of one, which is used whole.
+GOOD_DOCS, BAD_DOCS, DOC_BYTES = 1500, 1500, 8192
+#: Lines, with padding, whose likelihood is computed at once in training.
+CELLS = 200_000
 #: A document is kept if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -171,20 +173,31 @@ class Field:
         return float(value), emit, pass_on
 
 
+def _alike(sizes: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
+    """Texts by their number of lines, in groups of at most `cells` lines with padding, or of one text."""
+    groups: list[list[int]] = [[]]
+    for i in np.argsort(sizes, kind="stable"):
+        if groups[-1] and (len(groups[-1]) + 1) * sizes[i] > cells:
+            groups.append([])
+        groups[-1].append(i)
+    return [np.array(g) for g in groups]
+
+
 def fit(rows: list[tuple[str, int]], steps: int = 120) -> Field:
     """Train on (text, label) rows; without both labels every line is content."""
     if len({y for _, y in rows}) < 2:
         return Field(np.zeros((len(Lines([b""]).features[0]), 2)), np.zeros((2, 2)))
     rows = sorted(rows)
     labels = np.array([y for _, y in rows])
-    lines = Lines(["\n".join(t.split("\n")[:TRAIN_LINES]).encode() for t, _ in rows])
-    at, present = _padded(lines, np.arange(len(rows)))
-    weight = 1 / max(1, present.sum())
+    lines = Lines([t.encode() for t, _ in rows])
+    groups = [(own, *_padded(lines, own)) for own in _alike(lines.sizes)]
+    weight = 1 / max(1, lines.sizes.sum())
     field = Field(np.zeros((lines.features.shape[1], 2)), np.zeros((2, 2)))
     moment = [np.zeros_like(field.emit), np.zeros_like(field.pass_on)]
     square = [np.zeros_like(field.emit), np.zeros_like(field.pass_on)]
     for step in range(1, steps + 1):
-        _, *slopes = field.gradient(lines.features, at, present, labels)
+        parts = [field.gradient(lines.features, at, present, labels[own])[1:] for own, at, present in groups]
+        slopes = [sum(p) for p in zip(*parts, strict=True)]
         for i, (name, slope) in enumerate(zip(("emit", "pass_on"), slopes, strict=True)):
             own = getattr(field, name)
             g = slope * weight - 1e-4 * own

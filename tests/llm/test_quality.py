@@ -84,3 +84,22 @@ def test_no_labels_repeats_and_no_rows(spark):
     got = quality.judge(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string"), labels).collect()
     assert sorted(((r.doc_id, r.kept) for r in got), key=str) == [(1, True), (1, True), (None, False)]
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string"), labels).collect() == []
+
+
+def test_training_reads_the_ends_of_texts():
+    """Only what follows the 64th line tells the labels apart."""
+    prose, junk = "the river runs over stones.", "Link1 | Link2 | Link3 |"
+    good, bad = "\n".join([prose] * 104), "\n".join([prose] * 64 + [junk] * 40)
+    field = quality.fit([(good, 1), (bad, 0)] * 20)
+    lines = quality.Lines([prose.encode(), junk.encode()])
+    assert list(field.viterbi(lines, np.arange(2))) == [1, 0]
+
+
+def test_groups_of_texts_have_the_gradient_of_all(monkeypatch):
+    rows = [(("a b.\n" * (i % 7) + "X | Y") if i % 2 else "c d e.\n" * (i % 5), i % 2) for i in range(40)]
+    whole = quality.fit(rows, steps=5)
+    assert len(quality._alike(np.array([3, 1, 9, 1]), 4)) == 3
+    alike = quality._alike
+    monkeypatch.setattr(quality, "_alike", lambda sizes: alike(sizes, 20))
+    parted = quality.fit(rows, steps=5)
+    assert np.allclose(whole.emit, parted.emit) and np.allclose(whole.pass_on, parted.pass_on)
