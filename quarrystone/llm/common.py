@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import itertools
 import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own where the session names none and is a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/quarrystone-{os.getpid()}"
     return found.rstrip("/")
 
 
+#: Paths of this process's tables in the shared folder, with the catalog's name of those that have one.
+_made: dict[str, str | None] = {}
+
+
 def _drop(spark: SparkSession, path: str) -> None:
+    name = _made.pop(path, None)
     try:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -42,13 +52,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when this Python process ends."""
+def shared_path(spark: SparkSession, name: str, as_table: bool = False) -> str:
+    """A new path in the shared folder, deleted when this Python process ends, if not before."""
     path = f"{shared_dir(spark)}/quarrystone-{_run}/{name}-{next(_count)}"
+    _made[path] = f"quarrystone_{_run}_{path.rpartition('/')[2].replace('-', '_')}" if as_table else None
     atexit.register(_drop, spark, path)
     return path
 
 
+def table_name(path: str) -> str:
+    return str(_made[path])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -59,9 +74,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table of written() that nothing will read any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quarrystone-" in path:
-            _drop(df.sparkSession, path)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()} & _made.keys():
+        _drop(df.sparkSession, path)
+
+
+def last_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a table; whatever tables it needed on the way are deleted."""
+    before = set(_made)
+    df = make()
+    out = written(df, name)
+    kept = max(_made.keys() - before, key=lambda p: int(p.rpartition("-")[2]))  # the one just written
+    for path in [p for p in _made if p not in before and p != kept]:
+        _drop(df.sparkSession, path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -76,9 +101,14 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python, so a batch is bounded by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    """Whole texts travel to Python, so a batch is bounded by rows and by bytes.
+
+    Plans are made when their rows are asked for, so the session keeps the lower bounds; lower ones stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key) or "") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def checked_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:

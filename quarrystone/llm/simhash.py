@@ -44,15 +44,16 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per document, null texts as empty ones."""
+    """(doc_id, h, fp): one row per document, null texts as empty ones; h is a 64-bit hash of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in texts(batches, "text"):
             fps = np.fromiter((fingerprint(v) for v in values), np.uint64, len(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _variants(distinct: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def links(distinct: DataFrame, group: int = 1024) -> DataFrame:
     A variant shared by more than `group` fingerprints is refined by parts of the other segment,
     which a linked pair must share as well; so no task gets more than 2**14 fingerprints at once.
     """
-    n, rows, out = partitions(distinct.sparkSession), _variants(distinct), None
+    n = partitions(distinct.sparkSession)
+    rows, out = _variants(distinct.repartition(n, "fp")), None  # a small table would else be one task, and 64 times as many rows after it
     for level in range(len(_LEVELS) + 1):
         counts = written(rows.groupBy("key").count().where("count > 1"), "variants")
         last = level == len(_LEVELS)
@@ -161,35 +163,50 @@ def links(distinct: DataFrame, group: int = 1024) -> DataFrame:
     return out
 
 
+def _components(fps: DataFrame, group: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints that link to others, root one fingerprint of each component."""
+    distinct = written(fps.select("fp").distinct(), "distinct")
+    return components(links(distinct, group).toDF("u", "v")).select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = 1024) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
     Fingerprints link at three or fewer differing bits; component_id is the smallest id that is
     reachable, the document itself included. Null and empty texts, and those without words, have
     fingerprint zero and link like any other. Equal texts are one class from the start. A row whose
-    id is null keeps its fingerprint, and takes the component of the others in its class, null if
-    there are none. Repeated ids give a row each. No rows give none; other columns are not read.
+    id is null keeps its fingerprint and its links, and takes the smallest id that it reaches, null if
+    there is none. Repeated ids give a row each. No rows give none; other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = links(classes.select("fp"), group)
-    named = classes.where("rep is not null")
-    edges = found.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(named.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-    roots = components(edges)
-    component = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = _components(fps, group)
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left"), "classes")
+    whole = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(whole, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fps.join(component, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id, of rows that repeat it any one.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = 1024) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id, a null id coming last.
 
-    Rows with a null id stay: they cannot be told apart by id.
+    A row is known by its id and its text, so rows that share an id alone are told apart; of rows that
+    share both, the one whose other columns come first in order stays. A component is decided on
+    ids and hashes only. The texts move once, to meet the rows that stay, whatever the size.
     """
-    found = written(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "components")
-    keep = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep_id")).agg(F.count("*").alias("_rows")), "kept")
-    once, again = keep.where("_rows = 1"), keep.where("_rows > 1")
-    out = docs.join(once, docs[id_col] == once["_keep_id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = written(fps.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(_components(fps, group), "fp", "left"), "classes")
+    alone = classes.where("root is null").select("first.doc_id", "first.h")
+    chosen = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    copies = fps.groupBy("doc_id", "h").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    keep = alone.union(chosen).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    keep = written(keep.join(copies, keep["_id"].eqNullSafe(copies["doc_id"]) & (keep["_h"] == copies["h"]), "left").select("_id", "_h", F.coalesce("_rows", F.lit(1)).alias("_rows")), "kept")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
+    out = docs.join(keep.where("_rows = 1").hint("shuffle_hash"), same, "left_semi")
+    again = keep.where("_rows > 1")
     if again.head(1):
-        out = out.unionByName(docs.join(again, docs[id_col] == again["_keep_id"], "left_semi").dropDuplicates([id_col]))
+        twice = docs.join(again, same, "left_semi")
+        key = [F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_t")]
+        out = out.unionByName(twice.groupBy(*key).agg(F.min(F.struct(*twice.columns)).alias("row")).select("row.*"))
     return out

@@ -80,4 +80,17 @@ def test_empty_repeated_and_null_ids(spark):
     twice = spark.createDataFrame([(9, "q r s t u"), (9, "q r s t u"), (10, "Q R S T U")], schema)
     assert [tuple(r) for r in simhash.deduplicated(twice).collect()] == [(9, "q r s t u")]
     kept = simhash.deduplicated(docs.withColumn("fingerprint", docs.text))
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "A B C D"), (None, "a b c d"), (None, "zz yy xx ww vv")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, "A B C D"), (None, "zz yy xx ww vv")], key=str)
+
+
+def test_one_id_with_different_texts_and_links_through_a_row_without_id(spark):
+    rows = [(1, "q r s t u", "b"), (1, "q r s t u", "a"), (1, "quite another text of its own", "c"), (None, "third text without any id here", "d"), (None, "third text without any id here", None)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, root string"))
+    assert kept.columns == ["doc_id", "text", "root"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[4]], key=str)
+    schema = "doc_id long, text string"
+    assert simhash.deduplicated(spark.createDataFrame([], schema)).collect() == []
+    # a fingerprint between two others, three bits from either: only its null row joins them
+    bridge = spark.createDataFrame([(4, 0, 0b111), (None, 0, 0), (3, 0, 0b111000), (8, 0, 1 << 40 | 0b1111 << 50)], "doc_id long, h long, fp long")
+    found = {r.fp: r.root for r in simhash._components(bridge, 1024).collect()}
+    assert found.keys() == {0b111, 0, 0b111000} and len(set(found.values())) == 1
