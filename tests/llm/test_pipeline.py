@@ -30,7 +30,7 @@ def corpus():
     return rows + [(300, None, None, "b", None, 0), (301, "", "en", "c", 0, 0)]
 
 
-def without_repeats(texts, window=400):
+def without_repeats(texts, window):
     """texts less what plain() of the substring test takes away."""
     docs = [t.encode() for t in texts]
     seen = Counter(d[i : i + window] for d in docs for i in range(len(d) - window + 1))
@@ -65,7 +65,7 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
 
     docs = written(stages["suffix_array_dedup"](spark, docs, str(tmp_path)), "p")
     ids = sorted(seen)
-    left = dict(zip(ids, without_repeats([seen[i].text or "" for i in ids]), strict=True))
+    left = dict(zip(ids, without_repeats([seen[i].text or "" for i in ids], corpus_pipeline.REPEAT_BYTES), strict=True))
     seen = {r.doc_id: r for r in docs.collect()}
     assert docs.columns == columns and {i: r.text for i, r in seen.items()} == left and all(r.n_chars == len(r.text) for r in seen.values())
 
