@@ -2,9 +2,10 @@
 
 Non-overlapping blocks of BLOCK words are the index; every rolling window of as many words is a
 probe. A repeated passage of at least 2 * BLOCK - 1 words contains a whole block of each of its copies,
-which the other copies' rolling windows hit. Around the hits, and only there, all windows of the
-full length are compared by their exact word sequences, and those that recur are merged into
-maximal runs.
+which the other copies' rolling windows hit. Hits are extended to maximal exact repeats window by window: around
+the hits, and only there, each window of full length asks whether its word sequence occurs anywhere else, told apart
+by 127 bits of two independent hashes, and the windows that do are merged into maximal runs. The texts of two
+copies never meet in one task, so a passage in a third of all documents makes no pairs.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunked import Chunks, Keys, collect, covered, mix, packed, pooled, repeated
+from .chunked import WIDE, Chunks, Keys, Space, covered, flagged, flags, mix, packed, pooled, repeated
 
 WINDOW = 35
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class _Words:
     """The words of a chunk in one row, their documents' edges, and hashes of all windows of `block` words."""
 
-    def __init__(self, texts: list[bytes], block: int, window: int):
+    def __init__(self, texts: list[bytes], block: int, window: int, both: bool = True):
         self.words = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.edges = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -37,7 +38,12 @@ class _Words:
         rolled = np.zeros(full, np.uint64)
         for k in range(block):
             rolled = rolled * _STEP + ids[k : k + full]
-        self.rolled = mix(rolled)
+        self.rolled, self.second = mix(rolled), None
+        if both:
+            again = np.zeros(full, np.uint64)
+            for k in range(block):
+                again = again * _OTHER + mix(ids[k : k + full])
+            self.second = mix(again)
         place = np.arange(n) - np.repeat(self.edges[:-1], self.sizes)
         rest = np.repeat(self.sizes, self.sizes) - place
         self.probes = np.flatnonzero(rest >= block)
@@ -45,10 +51,10 @@ class _Words:
         self.long = rest >= window  # windows of full length start here
 
 
-def _first(block: int, buckets: int):
+def _first(block: int, space: Space):
     def look(rows: pa.Table, _: dict):
-        words = _Words(rows["text"].to_pylist(), block, block)
-        keys = Keys(words.rolled[words.probes], buckets)
+        words = _Words(rows["text"].to_pylist(), block, block, both=False)
+        keys = Keys(words.rolled[words.probes], space)
         anchor = np.bincount(keys.inverse, words.is_block, len(keys.keys)) > 0
         low = (keys.keys & np.uint64((1 << 30) - 1)).astype(np.uint32)
         yield from keys.split(0, low << np.uint32(2) | anchor.astype(np.uint32) << np.uint32(1) | (keys.counts > 1).astype(np.uint32))
@@ -56,22 +62,23 @@ def _first(block: int, buckets: int):
     return look
 
 
-def _candidates(words: _Words, found: dict, block: int, window: int, buckets: int) -> tuple[np.ndarray, Keys]:
-    """Starts of full windows with a hit inside, and their keys: the first and the last block's worth of words."""
-    keys = Keys(words.rolled[words.probes], buckets)
+def _candidates(words: _Words, found: dict, block: int, window: int, space: Space) -> tuple[np.ndarray, Keys]:
+    """Starts of full windows with a hit inside, and their keys: of the blocks' worth of words that cover them."""
+    keys = Keys(words.rolled[words.probes], space)
     hits = words.probes[keys.marks(0, found)[keys.inverse]]
     near = covered(len(words.long), np.maximum(hits - (window - block), 0), window - block + 1)
     starts = np.flatnonzero(near & words.long)
-    whole = np.zeros(len(starts), np.uint64)
+    whole, second = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     for at in [*range(0, window - block, block), window - block]:
         whole = mix(whole * _STEP + words.rolled[starts + at])
-    return starts, Keys(whole & ~np.uint64(1), buckets)
+        second = mix(second * _OTHER + words.second[starts + at])
+    return starts, Keys(whole, space, second & ~np.uint64(1))
 
 
-def _second(block: int, window: int, buckets: int):
+def _second(block: int, window: int, space: Space):
     def look(rows: pa.Table, found: dict):
-        _, keys = _candidates(_Words(rows["text"].to_pylist(), block, window), found, block, window, buckets)
-        yield from keys.split(1, keys.keys | (keys.counts > 1).astype(np.uint64))
+        _, keys = _candidates(_Words(rows["text"].to_pylist(), block, window), found, block, window, space)
+        yield from keys.split(1, flagged(keys.keys, keys.counts > 1))
 
     return look
 
@@ -82,8 +89,9 @@ def _resolve(kind: int, bodies: list[bytes]) -> list[bytes]:
         total, _, which = repeated(entries >> np.uint32(2), 1 + (entries & np.uint32(1)).astype(np.int64))
         anchored = np.bincount(which, entries >> np.uint32(1) & np.uint32(1)) > 0 if len(entries) else np.zeros(0, bool)
         return packed((total > 1) & anchored[which], edges)
-    entries, edges = pooled(bodies, "<u8")
-    total, _, _ = repeated(entries >> np.uint64(1), 1 + (entries & np.uint64(1)).astype(np.int64))
+    entries, edges = pooled(bodies, WIDE)
+    keys, many = flags(entries)
+    total, _, _ = repeated(keys, 1 + many)
     return packed(total > 1, edges)
 
 
@@ -97,13 +105,13 @@ def marked(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col
     """
     block = (window + 1) // 2
     chunks = Chunks(docs, id_col, text_col)
-    n = chunks.n
-    hits = collect(chunks.send(_first(block, n)), _resolve, "hits")
-    marks = collect(chunks.send(_second(block, window, n), hits), _resolve, "marks")
+    space = chunks.space
+    hits = chunks.collect(chunks.send(_first(block, space)), _resolve, "hits")
+    marks = chunks.collect(chunks.send(_second(block, window, space), hits), _resolve, "marks")
 
     def look(rows: pa.Table, found: dict) -> pa.Table:
         words = _Words(rows["text"].to_pylist(), block, window)
-        starts, keys = _candidates(words, found, block, window, n)
+        starts, keys = _candidates(words, found, block, window, space)
         gone = covered(len(words.long), starts[keys.marks(1, found)[keys.inverse]], window)
         removed = np.add.reduceat(np.concatenate((gone, [0])), words.edges[:-1]) * (words.sizes > 0) if len(words.sizes) else []
         kept, digests = [], []

@@ -10,7 +10,7 @@ those bytes: there the following bytes are sorted with their longest common pref
 array of the parse, as deep as a window), the phrase suffixes get their classes byte by byte (that of
 the dictionary), and the two together give the corpus order: windows are equal if their suffix
 class and their interval of the parse order are. A place that very many rows share is split into
-keys of single windows instead, so its work and that of its rows stay bounded.
+keys of single windows instead, 127 bits of a hash of each, so its work and that of its rows stay bounded.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import Chunks, Keys, collect, covered, mix, packed, pooled, repeated
+from .chunked import WIDE, Chunks, Keys, Space, covered, flagged, flags, mix, packed, pooled, repeated
 
 WINDOW = 400
 #: Bytes hashed at a place to compare it with others.
@@ -32,6 +32,7 @@ GRAM = 12
 HOT = 4096
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _h = xxhash.xxh3_64_intdigest
+_wide = xxhash.xxh3_128_digest
 
 
 def _least(values: np.ndarray, reach: int) -> np.ndarray:
@@ -66,10 +67,10 @@ class _Parse:
         self.place, self.first = own[new], starts[new]
         self.last = starts[np.concatenate((new[1:], [len(starts)])) - 1] if len(starts) else place[:0]
 
-    def keys(self, window: int, buckets: int) -> Keys:
+    def keys(self, window: int, space: Space) -> Keys:
         """Of the bytes that follow each row's place and lie in all its windows."""
         deep = window - self.reach + 1
-        return Keys(np.array([_h(self.text[p : p + deep]) for p in self.place.tolist()], np.uint64), buckets)
+        return Keys(np.array([_h(self.text[p : p + deep]) for p in self.place.tolist()], np.uint64), space)
 
 
 def _entries(parse: _Parse, keys: Keys) -> np.ndarray:
@@ -77,7 +78,7 @@ def _entries(parse: _Parse, keys: Keys) -> np.ndarray:
     return low << np.uint32(8) | np.minimum(keys.counts, 255).astype(np.uint32)
 
 
-def _rows(parse: _Parse, keys: Keys, found: dict, window: int, buckets: int):
+def _rows(parse: _Parse, keys: Keys, found: dict, window: int, space: Space):
     """The rows that go on: which, in key order and once for equal bytes, and the hot windows' keys."""
     state = keys.marks(0, found, "u1")[keys.inverse]
     cold, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
@@ -88,36 +89,37 @@ def _rows(parse: _Parse, keys: Keys, found: dict, window: int, buckets: int):
         slot[i] = bodies.setdefault((int(keys.inverse[r]), int(place[r] - first[r]), text[first[r] : last[r] + window]), len(bodies))
     times = np.bincount(slot, minlength=len(bodies))
     windows = np.concatenate([np.arange(first[r], last[r] + 1) for r in hot.tolist()] or [first[:0]])
-    single = Keys(np.array([_h(text[i : i + window]) for i in windows.tolist()], np.uint64) & ~np.uint64(1), buckets)
+    wide = np.array([_wide(text[i : i + window]) for i in windows.tolist()], "S16").view(WIDE) if len(windows) else np.zeros(0, WIDE)
+    single = Keys(wide["a"], space, wide["b"] & ~np.uint64(1))
     return cold, list(bodies), slot, times, windows, single
 
 
 def _bucketed(bodies: list[tuple], keys: Keys) -> list[tuple[int, np.ndarray]]:
     """(bucket, numbers of the bodies whose key is in it)."""
-    bucket = np.searchsorted(keys.cuts, np.array([b[0] for b in bodies], np.int64), side="right") - 1
+    bucket = keys.bucket[np.array([b[0] for b in bodies], np.int64)]
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[part[0]]), part) for part in np.split(order, cuts) if len(part)]
 
 
-def _first(window: int, buckets: int):
+def _first(window: int, space: Space):
     def look(rows: pa.Table, _: dict):
         parse = _Parse(rows["text"].to_pylist(), window)
-        keys = parse.keys(window, buckets)
+        keys = parse.keys(window, space)
         yield from keys.split(0, _entries(parse, keys))
 
     return look
 
 
-def _second(window: int, buckets: int):
+def _second(window: int, space: Space):
     def look(rows: pa.Table, found: dict):
         parse = _Parse(rows["text"].to_pylist(), window)
-        keys = parse.keys(window, buckets)
-        _, bodies, _, times, _, single = _rows(parse, keys, found, window, buckets)
+        keys = parse.keys(window, space)
+        _, bodies, _, times, _, single = _rows(parse, keys, found, window, space)
         for bucket, part in _bucketed(bodies, keys):
             heads = np.array([(bodies[i][1], len(bodies[i][2]), times[i] > 1) for i in part], "<u4")
             yield 1, bucket, np.uint32(len(part)).tobytes() + heads.tobytes() + b"".join([bodies[i][2] for i in part])
-        yield from single.split(2, single.keys | (single.counts > 1).astype(np.uint64))
+        yield from single.split(2, flagged(single.keys, single.counts > 1))
 
     return look
 
@@ -159,16 +161,17 @@ def repeats(texts: list[bytes], before: np.ndarray, many: np.ndarray, window: in
     return np.split(out, at[1:])
 
 
-def _resolve(window: int):
+def _resolve(window: int, hot: int):
     def resolve(kind: int, bodies: list[bytes]) -> list[bytes]:
         if kind == 0:
             entries, edges = pooled(bodies, "<u4")
             total, _, _ = repeated(entries >> np.uint32(8), (entries & np.uint32(255)).astype(np.int64))
-            marks = ((total > 1).astype(np.uint8) + (total > HOT)).astype(np.uint8)
+            marks = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)
             return [marks[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         if kind == 2:
-            entries, edges = pooled(bodies, "<u8")
-            total, _, _ = repeated(entries >> np.uint64(1), 1 + (entries & np.uint64(1)).astype(np.int64))
+            entries, edges = pooled(bodies, WIDE)
+            keys, many = flags(entries)
+            total, _, _ = repeated(keys, 1 + many)
             return packed(total > 1, edges)
         texts, heads, cuts = [], [], [0]
         for body in bodies:
@@ -187,9 +190,9 @@ def _resolve(window: int):
     return resolve
 
 
-def _repeated_starts(parse: _Parse, found: dict, window: int, buckets: int) -> np.ndarray:
-    keys = parse.keys(window, buckets)
-    cold, bodies, slot, _, windows, single = _rows(parse, keys, found, window, buckets)
+def _repeated_starts(parse: _Parse, found: dict, window: int, space: Space) -> np.ndarray:
+    keys = parse.keys(window, space)
+    cold, bodies, slot, _, windows, single = _rows(parse, keys, found, window, space)
     starts = [windows[single.marks(2, found)[single.inverse]]]
     marks: list[np.ndarray] = [np.zeros(0, bool)] * len(bodies)
     for bucket, part in _bucketed(bodies, keys):
@@ -204,14 +207,14 @@ def _repeated_starts(parse: _Parse, found: dict, window: int, buckets: int) -> n
 
 def _marked(docs: DataFrame, window: int, keep: bool, id_col: str, text_col: str) -> DataFrame:
     chunks = Chunks(docs, id_col, text_col, keep)
-    n = chunks.n
-    places = collect(chunks.send(_first(window, n)), _resolve(window), "places")
-    marks = collect(chunks.send(_second(window, n), places), _resolve(window), "marks")
+    space, resolve = chunks.space, _resolve(window, HOT)
+    places = chunks.collect(chunks.send(_first(window, space)), resolve, "places")
+    marks = chunks.collect(chunks.send(_second(window, space), places), resolve, "marks")
 
     def look(rows: pa.Table, found: dict) -> pa.Table:
         texts = rows["text"].to_pylist()
         parse = _Parse(texts, window)
-        gone = covered(len(parse.text), _repeated_starts(parse, found, window, n), window)
+        gone = covered(len(parse.text), _repeated_starts(parse, found, window, space), window)
         removed, spans, digests, kept = [], [], [], []
         for text, a, b in zip(texts, parse.edges[:-1].tolist(), parse.edges[1:].tolist(), strict=True):
             own = gone[a:b]

@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from quarrystone.llm import block_dedup
+from quarrystone.llm import block_dedup, chunked
 
 
 def plain(texts, window):
@@ -31,8 +31,10 @@ def corpus(seed, window):
     return texts
 
 
-def test_against_brute_force(spark):
-    for window in (35, 6):
+def test_against_brute_force(spark, monkeypatch):
+    for window, sizes in ((35, None), (35, (20_000, 40_000, 1)), (6, (10_000, 2_000, 2))):
+        for name, value in zip(("CHUNK_BYTES", "BUCKET_BYTES", "FAN_BITS"), sizes or (), strict=bool(sizes)):
+            monkeypatch.setattr(chunked, name, value)
         texts = corpus(window, window)
         docs = spark.createDataFrame([(i, t, i, "c") for i, t in enumerate(texts)], "doc_id long, text string, row int, chunk string")
         got = sorted(map(tuple, block_dedup.marked(docs, window).collect()))

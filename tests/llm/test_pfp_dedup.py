@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from quarrystone.llm import pfp_dedup
+from quarrystone.llm import chunked, pfp_dedup
 
 
 def plain(texts, window):
@@ -35,8 +35,10 @@ def corpus(seed, window):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for window, hot in ((400, 4096), (40, 4096), (40, 3)):
+    for window, hot, sizes in ((400, 4096, None), (40, 4096, (9000, 9000, 2)), (40, 3, (4000, 1500, 1))):
         monkeypatch.setattr(pfp_dedup, "HOT", hot)
+        for name, value in zip(("CHUNK_BYTES", "BUCKET_BYTES", "FAN_BITS"), sizes or (), strict=bool(sizes)):
+            monkeypatch.setattr(chunked, name, value)
         texts = corpus(window, window)
         docs = spark.createDataFrame([(i, t, i, "k") for i, t in enumerate(texts)], "doc_id long, text string, bucket int, kind string")
         got = sorted(map(tuple, pfp_dedup.marked(docs, window).collect()))
