@@ -26,11 +26,11 @@ _LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as long; without rows that take no part, equal rows once."""
+    """(row, vec_id, v): floor(scale * x) of each component as long, without rows that take no part; row numbers every row."""
     v = F.col("v").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    return rows.select("vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("v")).distinct()
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -55,10 +55,13 @@ def _locality(m: np.ndarray) -> np.ndarray:
     return np.argsort(signs @ (1 << np.arange(15, -1, -1)), kind="stable")
 
 
-def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int = K, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row of q, vec_id, score) of each query's k best in one shard, and how many blocks were scored in all."""
+def search_shard(q_own: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int = K, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(place in q, vec_id, score) of each query's k best in one shard, and how many blocks were scored in all.
+
+    own: numbers of the rows; a query does not meet the row that it is itself.
+    """
     order = _locality(m)
-    ids, m = ids[order], m[order]
+    own, ids, m = own[order], ids[order], m[order]
     largest = max(int(np.abs(m).max(initial=0)), 1) * max(int(np.abs(q).max(initial=0)), 1) * max(m.shape[1], 1)
     kind = np.float64 if largest < 1 << 52 else object  # exact either way
     m, q = m.astype(kind), q.astype(kind)
@@ -75,7 +78,7 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
             if kth is not None:
                 chosen = chosen[mine[at : at + step] >= kth]
             rows = np.concatenate([np.arange(starts[b], min(starts[b] + block, len(ids))) for b in chosen])
-            rows = rows[ids[rows] != q_ids[i]]
+            rows = rows[own[rows] != q_own[i]]
             best, best_ids = np.concatenate([best, m[rows] @ q[i]]), np.concatenate([best_ids, ids[rows]])
             if len(best) > k:
                 keep = np.lexsort((best_ids, -best))[:k]
@@ -89,39 +92,38 @@ def search_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard: int = SHARD, group: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries the k best candidates of another id.
+    """(query_id, rank, vec_id, score): for each row of queries the k best candidates but itself.
 
-    Both have (vec_id, v). Ties go to the smaller id. Of vectors of unequal length the shorter one has
-    zeros at the end; scores beyond 64 bits become the nearest long. Queries of one id and unequal
-    vectors are answered each; without other candidates a query has no row.
+    Both are rows (row, vec_id, v) of one table of quantised(), written once, so that a row keeps its number. Repeated rows
+    are candidates each, and queries each. Ties go to the smaller id. Of vectors of unequal length the shorter one has
+    zeros at the end; scores beyond 64 bits become the nearest long. Without other candidates a query has no
+    row; without queries, or on an empty table, there are none.
     """
     queries, candidates = written(queries, "queries"), written(candidates, "candidates")
     n_q, n_c = queries.count(), candidates.count()
     groups, shards = max(1, -(-n_q // group)), max(1, -(-n_c // shard))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")).withColumn("s", every(shards))
-    right = candidates.withColumn("s", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).withColumn("g", every(groups))
+    left = queries.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn("s", every(shards))
+    right = candidates.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("g", every(groups))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         width = _width(a["v"], b["v"])
-        names = a["vec_id"].to_numpy()
+        names, own = a["vec_id"].to_numpy(), a["row"].to_numpy()
         if not a.num_rows or not b.num_rows:
             rows, found, scores = (np.empty(0, np.int64),) * 3
         else:
-            rows, found, scores, _ = search_shard(names, _matrix(a["v"], width), b["vec_id"].to_numpy(), _matrix(b["v"], width), k)
-        own = a["own"].to_numpy()
+            rows, found, scores, _ = search_shard(own, _matrix(a["v"], width), b["row"].to_numpy(), b["vec_id"].to_numpy(), _matrix(b["v"], width), k)
         return pa.table({"query_id": pa.array(names[rows], pa.int64()), "own": pa.array(own[rows], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())})
 
-    left = left.withColumn("own", F.xxhash64("v"))
     found = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(run, "query_id long, own long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SCALE) -> DataFrame:
-    """Rows whose id is divisible by `every` as queries against all rows.
+    """Rows whose id is divisible by `every` as queries against all rows but the query's own.
 
-    Rows with a null id or vector, or a vector with a null or non-finite component, take no part.
+    Repeated rows count each. Rows with a null id or vector, or a vector with a null or non-finite component, take no part.
     """
     rows = written(quantised(vectors, scale=scale), "quantised")
     return top_k(rows.where(F.col("vec_id") % every == 0), rows, k)

@@ -19,8 +19,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 4
 #: Symbols that the text of a url is made of: letters, 0 for any digit, ./_%- and ~ for all others, ^ before and $ after.
 SYMBOLS = 40
-#: Only the SQL of oracle() still leaves out contexts below this share: from 1e5 training characters on it differs from judge().
-MIN_SHARE = 1e-5
 #: One url in so many is kept for calibration.
 FOLD = 5
 #: Width of a calibration bin in millionths, and bins on either side of 0.
@@ -150,11 +148,10 @@ def oracle(rules: tuple[tuple[str, str], ...] = RULES, order: int = ORDER) -> st
         f"p_0 AS (SELECT DISTINCT gram, CAST(1.0 AS DOUBLE) / {SYMBOLS} AS allow, CAST(1.0 AS DOUBLE) / {SYMBOLS} AS block FROM grams)",
     ]
     for k in range(order + 1):
-        least = f"greatest(1, {MIN_SHARE} * (SELECT sum(allow + block) FROM counts))" if k else "0"
         step = ", ".join(f"CASE WHEN c.n_{x} > 0 THEN (coalesce(g.{x}, 0) + c.t_{x} * p.{x}) / (c.n_{x} + c.t_{x}) ELSE p.{x} END AS {x}" for x in ("allow", "block"))
         parts += [
             f"g_{k} AS (SELECT right(gram, {k + 1}) AS g, CAST(sum(allow) AS BIGINT) AS allow, CAST(sum(block) AS BIGINT) AS block FROM counts GROUP BY 1)",
-            f"c_{k} AS (SELECT left(g, {k}) AS h, CAST(sum(allow) AS BIGINT) AS n_allow, count(*) FILTER (allow > 0) AS t_allow, CAST(sum(block) AS BIGINT) AS n_block, count(*) FILTER (block > 0) AS t_block FROM g_{k} GROUP BY 1 HAVING sum(allow + block) >= {least})",
+            f"c_{k} AS (SELECT left(g, {k}) AS h, CAST(sum(allow) AS BIGINT) AS n_allow, count(*) FILTER (allow > 0) AS t_allow, CAST(sum(block) AS BIGINT) AS n_block, count(*) FILTER (block > 0) AS t_block FROM g_{k} GROUP BY 1)",
             f"p_{k + 1} AS (SELECT p.gram, {step} FROM p_{k} p LEFT JOIN c_{k} c ON substr(p.gram, {order + 1 - k}, {k}) = c.h LEFT JOIN g_{k} g ON right(p.gram, {k + 1}) = g.g)",
         ]
     place = f"greatest(-{BINS}, least({BINS}, CAST(floor(total / (n * {float(BIN)})) AS BIGINT)))"

@@ -4,14 +4,15 @@ import random
 import numpy as np
 
 from quarrystone.llm import topk
+from quarrystone.llm.common import written
 
 
 def plain(rows, k):
-    fine = {(i, tuple(math.floor(64 * np.float32(x).astype(float)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    fine = [(i, [math.floor(64 * np.float32(x).astype(float)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in fine:
+    for a, (i, q) in enumerate(fine):
         if i % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in fine if j != i)[:k]
+            scored = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for b, (j, v) in enumerate(fine) if a != b)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
     return sorted(out)
 
@@ -22,7 +23,7 @@ def test_against_brute_force(spark):
     rows += [(300, None), (301, [1.0, None]), (320, [float("nan"), 1.0]), (321, [float("inf")]), (None, [1.0] * 6), (340, []), (341, [2.0, 1.0]), (342, [0.5] * 9), (7, rows[7][1]), (20, rows[20][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.search(df).collect())) == plain(rows, 20)
-    small = topk.quantised(df)
+    small = written(topk.quantised(df), "small")
     got = topk.top_k(small.where("vec_id % 20 = 0"), small, k=20, shard=50, group=3)
     assert sorted(map(tuple, got.collect())) == plain(rows, 20)
 
@@ -32,7 +33,7 @@ def test_blocks_are_pruned_without_loss():
     centres = rng.normal(0, 40, (20, 16))
     m = np.floor(centres[rng.integers(0, 20, 6000)] + rng.normal(0, 2, (6000, 16))).astype(np.int64)
     ids = np.arange(6000)
-    rows, found, scores, scored = topk.search_shard(ids[:40], m[:40], ids, m, 10)
+    rows, found, scores, scored = topk.search_shard(ids[:40], m[:40], ids, ids, m, 10)
     for i in range(40):
         s = m @ m[i]
         want = [j for j in np.lexsort((ids, -s)) if j != i][:10]

@@ -37,15 +37,11 @@ def plain(urls):
         kind = ruled(h, p)[1]
         if kind and not held(h, p):
             counts[kind].update(grams(h, p))
-    total = sum(sum(c.values()) for c in counts.values())
 
     def chance(kind, gram):
         p = 1 / url_filter.SYMBOLS
         for k in range(order + 1):
             context, tail = gram[order - k : order], gram[order - k :]
-            everyone = sum(n for c in counts.values() for g, n in c.items() if g[order - k : order] == context)
-            if k and everyone < max(1, url_filter.MIN_SHARE * total):
-                continue
             followers = Counter()
             for g, n in counts[kind].items():
                 if g[order - k : order] == context:
