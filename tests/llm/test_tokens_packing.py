@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -114,18 +114,27 @@ def test_packing_with_a_hot_length_equals_best_fit_decreasing(spark):
     assert check_packing(out, 100) == len(plain_gaps(lengths, 100))
 
 
-def test_match_equals_best_fit_decreasing():
+def test_match_equals_best_fit_decreasing(spark):
     rng = random.Random(4)
-    for _ in range(50):
-        lengths = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 60))]
-        gaps = plain_gaps(lengths, 20)
-        found = packing.match({n: lengths.count(n) for n in lengths}, 20)
-        assert int(max(f + k for f, k in zip(found["first"], _counts(found, lengths), strict=True))) == len(gaps)
-
-
-def _counts(found, lengths):
-    out = []
-    for i, n in enumerate(found["length"]):
-        same = i + 1 < len(found["length"]) and found["length"][i + 1] == n
-        out.append((found["rank"][i + 1] if same else lengths.count(n)) - found["rank"][i])
-    return out
+    cases = [[rng.randrange(1, 21) for _ in range(60)], [20] * 5, [1] * 47, [7, 7, 7, 6, 6, 14, 13, 3, 3, 1], [11, 9] * 30 + [10] * 7]
+    for lengths in cases:
+        counts = spark.createDataFrame(sorted(Counter(lengths).items()), "length long, n long")
+        filled, placed = defaultdict(list), Counter()
+        for r in packing.match(counts, 20, ranges=3).collect():
+            placed[r.length] += r.n
+            for k in range(r.n):
+                filled[r.sequence + k // r.per].append((r.offset + k % r.per * r.length, r.length))
+        assert placed == Counter(lengths) and len(filled) == len(plain_gaps(lengths, 20))
+        for spans in filled.values():
+            at = 0
+            for offset, length in sorted(spans):
+                assert offset == at
+                at += length
+            assert at <= 20
+    assert packing.match(spark.createDataFrame([], "length long, n long"), 20).collect() == []
+
+
+def test_a_range_is_swept_by_itself():
+    runs = [("g", 9, 0, 2, 0, 0, 0), ("g", 7, 2, 1, 0, 0, 0), ("d", 8, 0, 1, 0, 0, 0), ("d", 6, 0, 4, 0, 0, 0), ("d", 5, 3, 1, 0, 0, 0)]
+    got = sorted(packing.sweep(runs, 12, 5))
+    assert got == sorted([("m", 8, 0, 1, 0, 3, 1), ("u", 1, 0, 1, 0, 0, 0), ("m", 6, 0, 1, 2, 5, 1), ("u", 1, 2, 1, 0, 0, 0), ("m", 6, 1, 1, 1, 3, 1), ("u", 3, 1, 1, 0, 0, 0), ("d", 6, 2, 2, 0, 0, 0), ("d", 5, 3, 1, 0, 0, 0)])
