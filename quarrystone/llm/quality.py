@@ -1,9 +1,12 @@
 """Quality rules with line sequence labelling: a linear-chain conditional random field over lines.
 
 Each line has features of its own; the field joins them with weights for the passage from one label to
-the next. It is trained, by gradient steps on the likelihood, on a bounded sample of labelled documents
-whose lines bear the document's label, and Viterbi decoding marks every line as content or boilerplate. The share of
-words in content lines decides whether a document is kept.
+the next. Labels of a bounded sample are known for documents, not for lines, so lines are labelled in turn: at
+first all lines bear their document's label and weights of lines alone are fitted; then lines that
+look like the other label take it, as long as most words of a document agree with its own label; on these the
+whole field is trained, by gradient steps on the likelihood, and labels them anew by Viterbi decoding.
+Viterbi decoding marks every line of a text as content or boilerplate, and the share of words in content lines
+decides whether a document is kept.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from .common import small_batches, texts
 GOOD_DOCS, BAD_DOCS, DOC_BYTES = 1500, 1500, 8192
 #: Lines, with padding, whose likelihood is computed at once in training.
 CELLS = 200_000
+#: Gradient steps of the first fit, and of each of the fits of the whole field.
+STEPS, ROUNDS = (60, 40), 2
+#: Words of a document that keep its label, of all, at least, while lines are labelled in training.
+OWN_SHARE = 0.6
 #: A document is kept if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -145,10 +152,11 @@ class Field:
         return out
 
     def gradient(self, features: np.ndarray, rows: np.ndarray, present: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-likelihood of one label for all of a document's lines, and its derivatives."""
+        """Log-likelihood of labels for the lines (padded, as rows are), and its derivatives."""
         n, width = rows.shape
-        own = (features @ self.emit)[rows]
-        at = np.arange(n)
+        part = features[rows[present]]
+        own = np.zeros((n, width, 2))
+        own[present] = part @ self.emit
         ahead, behind = np.zeros((n, width, 2)), np.zeros((n, width, 2))
         ahead[:, 0] = own[:, 0]
         for t in range(1, width):
@@ -160,16 +168,14 @@ class Field:
             behind[:, t] = np.where(present[:, t + 1, None], step, 0)
         whole = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
         chance = np.exp(ahead + behind - whole[:, None, None]) * present[:, :, None]
-        true = np.zeros_like(chance)
-        true[at, :, labels] = 1
-        true *= present[:, :, None]
-        emit = np.einsum("ntf,ntk->fk", features[rows], true - chance, optimize=True)
-        pass_on = np.zeros((2, 2))
+        true = np.stack((labels == 0, labels == 1), axis=2) * present[:, :, None].astype(float)
+        emit = part.T @ (true - chance)[present]
+        pass_on, value = np.zeros((2, 2)), (own * true).sum() - whole.sum()
         for t in range(1, width):
             pair = np.exp(ahead[:, t - 1, :, None] + self.pass_on + (own[:, t] + behind[:, t])[:, None, :] - whole[:, None, None]) * present[:, t, None, None]
-            pass_on -= pair.sum(axis=0)
-            pass_on[[0, 1], [0, 1]] += np.bincount(labels, present[:, t].astype(float), 2)
-        value = (own * true).sum() + (self.pass_on[labels, labels] * (present[:, 1:].sum(axis=1))).sum() - whole.sum()
+            seen = np.einsum("ni,nj->ij", true[:, t - 1], true[:, t])
+            pass_on += seen - pair.sum(axis=0)
+            value += (seen * self.pass_on).sum()
         return float(value), emit, pass_on
 
 
@@ -183,27 +189,60 @@ def _alike(sizes: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
     return [np.array(g) for g in groups]
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 120) -> Field:
+def _by_line(field: Field, features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray]:
+    """The slope of the emission weights while lines do not know their neighbours."""
+    scores = features @ field.emit
+    wrong = labels - 1 / (1 + np.exp(scores[:, 0] - scores[:, 1]))
+    return (features.T @ np.stack((-wrong, wrong), axis=1),)
+
+
+def _climb(field: Field, lines: Lines, groups: list[tuple], labels: np.ndarray, steps: int, chained: bool) -> Field:
+    """Gradient steps on the likelihood of line labels; without `chained` each line is by itself."""
+    weight = 1 / max(1, lines.sizes.sum())
+    names = ("emit", "pass_on") if chained else ("emit",)
+    moment, square = ({n: np.zeros_like(getattr(field, n)) for n in names} for _ in range(2))
+    for step in range(1, steps + 1):
+        parts = [field.gradient(lines.features, at, present, labels[at])[1:] for _, at, present in groups] if chained else [_by_line(field, lines.features, labels)]
+        for i, name in enumerate(names):
+            own = getattr(field, name)
+            g = sum(p[i] for p in parts) * weight - 1e-4 * own
+            moment[name] = 0.9 * moment[name] + 0.1 * g
+            square[name] = 0.99 * square[name] + 0.01 * g * g
+            setattr(field, name, own + 0.1 * (moment[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8))
+    return field
+
+
+def _relabelled(lines: Lines, own: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """Labels of lines whose documents bear the labels `own`: lines with a positive `against` take the other one, those
+    with the most of it first, until OWN_SHARE of a document's words is left with its own."""
+    doc = np.repeat(np.arange(len(lines.sizes)), lines.sizes)
+    order = np.lexsort((-against, doc))
+    words = np.cumsum(lines.line_words[order])
+    before = np.concatenate(([0], words))[lines.edges[:-1]]
+    spent = words - np.repeat(before, lines.sizes)
+    turned = np.empty(len(doc), bool)
+    turned[order] = (against[order] > 0) & (spent <= (1 - OWN_SHARE) * lines.n_words[doc])
+    return np.where(turned, 1 - own[doc], own[doc])
+
+
+def fit(rows: list[tuple[str, int]], steps: tuple[int, int] = STEPS) -> Field:
     """Train on (text, label) rows; without both labels every line is content."""
     if len({y for _, y in rows}) < 2:
         return Field(np.zeros((len(Lines([b""]).features[0]), 2)), np.zeros((2, 2)))
     rows = sorted(rows)
-    labels = np.array([y for _, y in rows])
+    own = np.array([y for _, y in rows])
     lines = Lines([t.encode() for t, _ in rows])
-    groups = [(own, *_padded(lines, own)) for own in _alike(lines.sizes)]
-    weight = 1 / max(1, lines.sizes.sum())
+    groups = [(g, *_padded(lines, g)) for g in _alike(lines.sizes)]
+    each = np.repeat(own, lines.sizes)
     field = Field(np.zeros((lines.features.shape[1], 2)), np.zeros((2, 2)))
-    moment = [np.zeros_like(field.emit), np.zeros_like(field.pass_on)]
-    square = [np.zeros_like(field.emit), np.zeros_like(field.pass_on)]
-    for step in range(1, steps + 1):
-        parts = [field.gradient(lines.features, at, present, labels[own])[1:] for own, at, present in groups]
-        slopes = [sum(p) for p in zip(*parts, strict=True)]
-        for i, (name, slope) in enumerate(zip(("emit", "pass_on"), slopes, strict=True)):
-            own = getattr(field, name)
-            g = slope * weight - 1e-4 * own
-            moment[i] = 0.9 * moment[i] + 0.1 * g
-            square[i] = 0.99 * square[i] + 0.01 * g * g
-            setattr(field, name, own + 0.1 * (moment[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8))
+    _climb(field, lines, groups, each, steps[0], False)
+    labels = each
+    for turn in range(ROUNDS):
+        margin = lines.features @ (field.emit[:, 1] - field.emit[:, 0])
+        if turn:  # by now the field knows its neighbours
+            margin = np.where(field.viterbi(lines, np.arange(len(rows))) == 1, 1.0, -1.0) * np.maximum(np.abs(margin), 1e-3)
+        labels = _relabelled(lines, own, np.where(each == 1, -margin, margin))
+        _climb(field, lines, groups, labels, steps[1], True)
     return field
 
 

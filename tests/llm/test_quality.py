@@ -67,10 +67,11 @@ def test_viterbi_and_likelihood_against_all_labellings():
     for d in range(3):
         paths = list(itertools.product((0, 1), repeat=int(lines.sizes[d])))
         assert tuple(found[lines.edges[d] : lines.edges[d + 1]]) == max(paths, key=lambda p: value(d, p))
-    labels = np.array([1, 0, 1])
     rows, present = quality._padded(lines, np.arange(3))
+    flat = rng.integers(0, 2, len(lines.features))
+    labels = flat[rows]
     at, emit, pass_on = field.gradient(lines.features, rows, present, labels)
-    want = sum(value(d, [k] * int(lines.sizes[d])) - np.log(sum(np.exp(value(d, p)) for p in itertools.product((0, 1), repeat=int(lines.sizes[d])))) for d, k in enumerate(labels))
+    want = sum(value(d, flat[lines.edges[d] : lines.edges[d + 1]]) - np.log(sum(np.exp(value(d, p)) for p in itertools.product((0, 1), repeat=int(lines.sizes[d])))) for d in range(3))
     assert np.isclose(at, want)
     for array, slope, place in ((field.emit, emit, (4, 1)), (field.emit, emit, (0, 0)), (field.pass_on, pass_on, (0, 1)), (field.pass_on, pass_on, (1, 1))):
         array[place] += 1e-5
@@ -97,9 +98,44 @@ def test_training_reads_the_ends_of_texts():
 
 def test_groups_of_texts_have_the_gradient_of_all(monkeypatch):
     rows = [(("a b.\n" * (i % 7) + "X | Y") if i % 2 else "c d e.\n" * (i % 5), i % 2) for i in range(40)]
-    whole = quality.fit(rows, steps=5)
+    whole = quality.fit(rows, steps=(5, 5))
     assert len(quality._alike(np.array([3, 1, 9, 1]), 4)) == 3
     alike = quality._alike
     monkeypatch.setattr(quality, "_alike", lambda sizes: alike(sizes, 20))
-    parted = quality.fit(rows, steps=5)
+    parted = quality.fit(rows, steps=(5, 5))
     assert np.allclose(whole.emit, parted.emit) and np.allclose(whole.pass_on, parted.pass_on)
+
+
+def test_documents_of_both_kinds_of_lines():
+    """Training knows documents only, yet lines are told apart within one."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice(["the", "river", "runs", "over", "grey", "stones"]) for _ in range(rng.randrange(7, 14))) + "."
+    junk = lambda: " | ".join("Link%d" % rng.randrange(99) for _ in range(rng.randrange(4, 8))) + " |"
+    rows = []
+    for i in range(160):
+        good = i % 2
+        most, few = ((prose, junk) if good else (junk, prose))
+        lines = [most() for _ in range(rng.randrange(6, 12))]
+        at = rng.randrange(len(lines))
+        rows.append(("\n".join(lines[:at] + [few() for _ in range(rng.randrange(1, 3))] + lines[at:]), good))
+    field = quality.fit(rows)
+    text = [prose(), prose(), junk(), junk(), prose(), prose(), prose(), junk()]
+    lines = quality.Lines(["\n".join(text).encode()])
+    assert field.viterbi(lines, np.arange(1)).tolist() == ["|" not in x for x in text]
+    assert field.pass_on[0, 0] + field.pass_on[1, 1] > field.pass_on[0, 1] + field.pass_on[1, 0]
+
+
+def test_verdicts_follow_the_lines_of_each_whole_text(spark):
+    """judge() against the field decoded over each text by itself, all labellings tried."""
+    rows = corpus()[:60]
+    texts = [(i, "\n".join(t.split("\n")[:7])) for i, t, _ in rows]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    field = quality.fit(quality.sample(docs, labels))
+    for r in quality.judge(docs, labels).collect():
+        text = dict(texts)[r.doc_id]
+        lines = quality.Lines([text.encode()])
+        scores, size = lines.features @ field.emit, int(lines.sizes[0])
+        best = max(itertools.product((0, 1), repeat=size), key=lambda p: sum(scores[t, k] for t, k in enumerate(p)) + sum(field.pass_on[a, b] for a, b in itertools.pairwise(p)))  # noqa: B023
+        share = sum(len(x.split()) for x, k in zip(text.split("\n"), best, strict=True) if k) / max(1, len(text.split()))
+        assert r.kept == (not r.base_failed and share >= quality.CONTENT_SHARE)
