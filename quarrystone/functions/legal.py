@@ -109,6 +109,11 @@ def entry_refs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + ENTRY_REF), F.lit(1)), F.upper))
 
 
+def amendment_refs(text: Column) -> Column:
+    """Amendments by their names, such as `Forty-second Amendment` of an act; each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + AMENDMENT_REF), F.lit(1)))
+
+
 def _ids(text: Column, pattern: str, canonical: Callable[[Column], Column]) -> Column:
     found = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1)), lambda x: canonical(F.regexp_replace(x, r"\s+", " ")))
     return F.filter(F.array_distinct(found), lambda x: x != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,20 +150,35 @@ def without_reasoning(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"(?i)</?{REASONING}\b[^>]*>", ""))
 
 
+_CITED = r"(?is)<citation\b[^>]*>(.*?)</citation>"
+
+
 def without_citation_tags(c: Column) -> Column:
-    """Citation tags are opened; those that speak of a synthetic source go with their content."""
-    body = r"((?:(?!</citation>).)*)"
-    c = F.regexp_replace(c, rf"(?is)<citation\b(?=[^>]*synthetic)[^>]*>{body}</citation>", "")
-    c = F.regexp_replace(c, rf"(?is)<citation\b[^>]*>(?=(?:(?!</citation>).)*synthetic){body}</citation>", "")
-    return F.regexp_replace(c, rf"(?is)<citation\b[^>]*>{body}</citation>", "$1")
+    """Citation tags are opened, their content in one line; those that speak of a synthetic source go with it."""
+    inside = lambda tag: strip(F.regexp_replace(F.regexp_extract(tag, _CITED, 1), r"\s+", " "))
+    opened = F.transform(F.regexp_extract_all(c, F.lit(_CITED), F.lit(0)), lambda t: F.when(F.contains(F.lower(t), F.lit("synthetic")), "").otherwise(inside(t)))
+    return F.array_join(F.zip_with(F.split(c, _CITED), opened, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+NOT_FOUND, NOT_FOUND_HERE = "Not found in provided context.", "Not found in retrieved constitutional context."
+
+
+def _kept_lines(answer: Column, keep: Callable[[Column], Column], shown: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Stripped lines that are blank or kept, as shown; at most one blank line in a row."""
+    lines = F.transform(F.split(answer, r"\r\n|[\n\r]"), strip)
+    told = F.transform(F.filter(lines, lambda x: (x == "") | keep(x)), shown)
+    return strip(F.regexp_replace(F.array_join(told, "\n"), r"\n{3,}", "\n\n"))
 
 
 def without_unsupported_lines(answer: Column, context: Column) -> Column:
-    """Lines go that use one of the risky terms which the context lacks."""
+    """Lines go that use one of the risky terms which the context lacks; the sentence that nothing was found stays."""
     low = F.lower(context)
-    risky = lambda line: F.exists(F.array(*map(F.lit, UNSUPPORTED_TERMS)), lambda t: F.contains(F.lower(line), t) & ~F.contains(low, t))
-    return F.array_join(F.filter(F.split(answer, "\n"), lambda line: ~risky(line)), "\n")
+    risky = lambda x: F.exists(F.array(*map(F.lit, UNSUPPORTED_TERMS)), lambda t: F.contains(F.lower(x), t) & ~F.contains(low, t))
+    return _kept_lines(answer, lambda x: (x == NOT_FOUND) | ~risky(x))
 
 
-def without_external_lines(answer: Column) -> Column:
-    return F.array_join(F.filter(F.split(answer, "\n"), lambda line: ~line.rlike("(?i)" + "|".join(EXTERNAL_LINES))), "\n")
+def without_external_lines(answer: Column, context: Column) -> Column:
+    """Lines go that speak of external law in a way that the context doesn't; the sentence that nothing was found says where."""
+    low = F.lower(context)
+    foreign = lambda x: F.exists(F.array(*(F.lit("(?i)" + p) for p in EXTERNAL_LINES)), lambda p: F.rlike(F.lower(x), p) & ~F.rlike(low, p))
+    return _kept_lines(answer, lambda x: (x == NOT_FOUND) | ~foreign(x), lambda x: F.when(x == NOT_FOUND, NOT_FOUND_HERE).otherwise(x))

@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.text import strip
 
 # What makes a bracket a citation, and the order of its parts.
-_BRACKET = re.compile(r"\[([^\[\]]{1,400})\]")
-_SIGNAL = re.compile(r"\bdoc\b|\.pdf\b|\barticle\b|\bschedule\b|\blist\b|\bentry\b|\bp:|\btype\b", re.I)
+_BRACKET = r"\[[^\[\]]{1,400}\]"
+_SIGNAL = r"(?i)\bdoc\b|\.pdf\b|\barticle\b|\bschedule\b|\blist\b|\bentry\b|\bp:|\btype\b"
 _PARTS = ("article", "schedule", "list", "entry", "p")
 
 PROMPT_TEXT, PREVIEW, SNIPPET = 1500, 500, 140
 
+# The texts of a prompt.
+RULES = (
+    "You answer questions ONLY from the provided CONTEXT.\n"
+    "Rules:\n"
+    "- If the answer is not in the context, say: \"Not found in provided context.\"\n"
+    "- Use only facts explicitly stated in the context. Do not use outside legal knowledge.\n"
+    "- Do NOT add case law, judicial expansion, doctrine, or constitutional interpretation unless that exact material appears in the context.\n"
+    "- Do NOT mention privacy, dignity, health, pollution-free environment, Maneka Gandhi, or similar expansions unless those exact topics appear in the context.\n"
+    "- Every material factual claim must be supported by one or more citations.\n"
+    "- Copy citations exactly from the chunk header tags; do not invent, rewrite, abbreviate, or leave empty fields.\n"
+    "- Do not output <think>, <thinking>, or any hidden-reasoning tags.\n"
+    "- Be precise. Quote exact text when relevant.\n"
+    "- Do NOT make up information.\n"
+    "- If a chunk is tagged type:footnote or type:amendment, note it as editorial annotation.\n"
+)
+ONLY_RULES = (
+    "- Constitution-only mode is active.\n"
+    "- Answer only from the retrieved constitutional context.\n"
+    "- Do NOT use IPC, CrPC, Evidence Act, other statutes, case law, or external legal knowledge unless that exact material appears in the context.\n"
+    "- Prefer direct constitutional text or close paraphrase before brief explanation.\n"
+    "- Remain grounded and concise.\n"
+    "- If the retrieved constitutional context is insufficient, say: \"Not found in retrieved constitutional context.\"\n"
+)
+NOTE_RULE = "- Synthetic retrieval notes are fallback context only. Do not cite them as extracted constitutional text.\n"
+ALL_NOTES_RULE = "- If the only context is a synthetic retrieval note, repeat that fallback plainly and do not add citations.\n"
+ONLY_NOTE = "CONSTITUTION-ONLY MODE: Answer only from the retrieved constitutional text. If the context is insufficient, say: Not found in retrieved constitutional context.\n\n"
+CLOSING = "Answer only from the context. If a requested detail is missing, say so.\nEnd each factual paragraph or bullet with exact copied citations:"
+
+
+def _one_line(c: Column) -> Column:
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
 
 def _named(name: str, c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ":"), c))
@@ -53,42 +82,84 @@ def preview(c: Column) -> Column:
 
 
 def snippet(c: Column) -> Column:
-    return F.substring(T.strip(F.regexp_replace(c, r"\s+", " ")), 1, SNIPPET)
-
-
-def normalised_citation(body: str) -> str | None:
-    """The inside of a citation bracket in the fixed order of parts; None if it is no citation."""
-    body = " ".join(body.split())
-    if not _SIGNAL.search(body):
-        return None
-    told: dict[str, str] = {}
-    for part in map(str.strip, body.split("|")):
-        key, colon, value = part.partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if not colon:
-            first, _, rest = part.partition(" ")
-            key, value = (first.lower(), rest.strip()) if first.lower() in ("doc", "type") and rest else ("doc", part) if ".pdf" in part.lower() else ("", "")
-        if value and key in ("doc", "type", *_PARTS):
-            told[key] = value
-    shown = [told.get("doc", ""), *(f"{k}:{told[k]}" for k in _PARTS if k in told), "" if told.get("type", "").lower() in ("generic", "article") else told.get("type", "")]
-    return " | ".join(filter(None, shown))
-
-
-@F.pandas_udf(StringType())
-def normalised_citations(answers: pd.Series) -> pd.Series:
-    """Answers with their citation brackets in one form; brackets without a known part go, others stay."""
+    return F.substring(_one_line(c), 1, SNIPPET)
+
+
+def shown_sources(chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """(qid, rank, note, text, image_path): what a reader sees of each query's chunks (filename, page, synthetic).
+
+    Texts are cut to PREVIEW characters; `note` tells synthetic notes from sources; an image, joined by (filename,
+    page) of images (filename, page, image_path), stands at the first chunk of its page only.
+    """
+    of_page = images.select("filename", "page", "image_path").dropDuplicates(["filename", "page"])
+    rows = chunks.join(of_page, ["filename", "page"], "left")
+    first = F.row_number().over(Window.partitionBy("qid", "filename", "page").orderBy("rank")) == 1
+    note = F.coalesce("synthetic", F.lit(False))
+    return rows.select("qid", "rank", note.alias("note"), preview(F.col("text")).alias("text"), F.when(first & ~note & (F.col("image_path") != ""), F.col("image_path")).alias("image_path"))
+
 
-    def one(match: re.Match) -> str:
-        inside = normalised_citation(match[1])
-        return match[0] if inside is None else f"[{inside}]" if inside else ""
+def grounding(chunks: DataFrame) -> DataFrame:
+    """(qid, context, note): each query's texts by rank, one below the other, and, if all are synthetic, the first that says something."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text"))))  # a query's few chunks
+    per = chunks.groupBy("qid").agg(ordered.alias("b"), F.every(F.coalesce("synthetic", F.lit(False))).alias("synthetic"))
+    texts = F.transform("b", lambda x: x["text"])
+    said = F.filter(F.transform(texts, _one_line), lambda x: x != "")
+    return per.select("qid", F.array_join(texts, "\n").alias("context"), F.when(F.col("synthetic") & (F.size(said) > 0), F.element_at(said, 1)).alias("note"))
 
-    return pd.Series([None if a is None else _BRACKET.sub(one, a) for a in answers], dtype="object")
+
+def normalised_citation(bracket: Column) -> Column:
+    """A bracket in the fixed order of parts, empty if it names none of them; as it is if it is no citation."""
+    body = _one_line(F.substr(bracket, F.lit(2), F.char_length(bracket) - 2))
+
+    def told(part: Column) -> Column:
+        colon = F.instr(part, ":")
+        word, rest = F.lower(F.substring_index(part, " ", 1)), strip(F.substr(part, F.instr(part, " ") + 1, F.char_length(part)))
+        lone = F.when((word == "doc") & F.contains(part, F.lit(" ")), F.struct(F.lit("doc").alias("k"), rest.alias("v"))).when(F.contains(F.lower(part), F.lit(".pdf")), F.struct(F.lit("doc").alias("k"), part.alias("v")))
+        lone = lone.when((word == "type") & F.contains(part, F.lit(" ")), F.struct(F.lit("type").alias("k"), rest.alias("v"))).otherwise(F.struct(F.lit("").alias("k"), F.lit("").alias("v")))
+        return F.when(colon > 0, F.struct(F.lower(strip(F.substring_index(part, ":", 1))).alias("k"), strip(F.substr(part, colon + 1, F.char_length(part))).alias("v"))).otherwise(lone)
+
+    fields = F.filter(F.transform(F.split(body, r"\|"), lambda p: told(strip(p))), lambda f: f["v"] != "")
+    last = lambda key: F.try_element_at(F.filter(fields, lambda f: f["k"] == key), F.lit(-1))["v"]
+    kind = last("type")
+    parts = F.concat_ws(" | ", last("doc"), *[F.concat(F.lit(k + ":"), last(k)) for k in _PARTS], F.when(~F.lower(kind).isin("generic", "article"), kind))
+    return F.when(~body.rlike(_SIGNAL), bracket).when(parts == "", "").otherwise(F.concat(F.lit("["), parts, F.lit("]")))
+
+
+def normalised_citations(answer: Column) -> Column:
+    """Answers with their citation brackets in one form; brackets without a known part go, others stay."""
+    between, brackets = F.split(answer, _BRACKET), F.regexp_extract_all(answer, F.lit(_BRACKET), F.lit(0))
+    pairs = F.zip_with(between, F.transform(brackets, normalised_citation), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(pairs, "")
 
 
 def clean(answers: DataFrame) -> DataFrame:
-    """answers (answer, context, query) with `cleaned`: reasoning, citation tags and unsupported lines gone, blanks tidied."""
+    """answers (answer, context, query, note) with `cleaned`.
+
+    A note, which stands for chunks that are all synthetic, is the answer. Else reasoning, citation tags and
+    unsupported lines go, blanks are tidied, and an answer of which nothing is left says so.
+    """
     text = normalised_citations(T.without_citation_tags(T.without_reasoning(F.col("answer"))))
-    text = T.without_unsupported_lines(text, F.col("context"))
-    text = F.when(T.constitution_only(F.col("query")), T.without_external_lines(text)).otherwise(text)
-    text = T.strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
-    return answers.withColumn("cleaned", text)
+    only = T.constitution_only(F.col("query"))
+    rows = answers.withColumn("_only", only).withColumn("_text", T.without_unsupported_lines(text, F.col("context")))
+    text = F.when(F.col("_only"), T.without_external_lines(F.col("_text"), F.col("context"))).otherwise(F.col("_text"))
+    rows = rows.withColumn("_text", strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")))
+    missing = F.when(F.col("_only"), T.NOT_FOUND_HERE).otherwise(T.NOT_FOUND)
+    note = F.col("note") if "note" in answers.columns else F.lit("")
+    cleaned = F.when(F.coalesce(note, F.lit("")) != "", note).when(F.col("_text") != "", F.col("_text")).otherwise(missing)
+    return rows.withColumn("cleaned", cleaned).drop("_only", "_text")
+
+
+def messages(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, role, content): a system and a user message for each query (qid, query) over its ranked chunks.
+
+    The rules for synthetic notes and for answers from the constitution alone come in where they apply;
+    a query without chunks has an empty context.
+    """
+    told = chunks.groupBy("qid").agg(F.some(F.coalesce("synthetic", F.lit(False))).alias("some"), F.every(F.coalesce("synthetic", F.lit(False))).alias("all"))
+    rows = queries.select("qid", "query").join(context(chunks), "qid", "left").join(told, "qid", "left")
+    only = T.constitution_only(F.col("query"))
+    block = lambda cond, text: F.when(cond, text).otherwise("")
+    system = F.concat(F.lit(RULES), block(only, ONLY_RULES), block(F.col("some"), NOTE_RULE), block(F.col("all"), ALL_NOTES_RULE))
+    user = F.concat(F.lit("CONTEXT:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQUESTION: "), F.col("query"), F.lit("\n\n"), block(only, ONLY_NOTE), F.lit(CLOSING))
+    both = F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
+    return rows.select("qid", F.explode(both).alias("m")).select("qid", "m.role", "m.content")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..tables import let
 
 CHUNK_SIZE, OVERLAP, MIN_SIZE = 700, 150, 80
-_STATE = "struct<done:array<string>,open:string>"
+_STATE = "struct<open:int,starts:array<int>>"
 
 
 def _none() -> Column:
@@ -43,27 +44,32 @@ def strides(text: Column, size: int, step: int) -> Column:
 def pack(pieces: Column, size: int = CHUNK_SIZE, min_size: int = MIN_SIZE, glue: str = "\n", oversize: Callable[[Column], Column] | None = None) -> Column:
     """Pieces joined in order as long as they fit; a chunk below min_size that cannot grow is dropped.
 
-    A piece beyond `size` closes the open chunk and becomes oversize(piece), or an open chunk itself.
+    A piece beyond `size` closes the open chunk and becomes oversize(piece), or an open chunk itself. One fold over
+    the lengths finds where chunks start; the pieces are cut and joined once.
     """
 
     def step(state: Column, piece: Column) -> Column:
-        grown = F.when(state["open"] == "", piece).otherwise(F.concat(state["open"], F.lit(glue), piece))
-        kept = F.concat(state["done"], F.when((state["open"] != "") & (F.char_length(state["open"]) >= min_size), F.array(state["open"])).otherwise(_none()))
-        after = F.struct(kept.alias("done"), piece.alias("open"))
-        if oversize:
-            cut = F.struct(F.concat(kept, oversize(piece)).alias("done"), F.lit("").alias("open"))
-            after = F.when(F.char_length(piece) > size, cut).otherwise(after)
-        return F.when(F.char_length(grown) <= size, F.struct(state["done"].alias("done"), grown.alias("open"))).otherwise(after).cast(_STATE)
+        grown = state["open"] + len(glue) + piece["n"]
+        new = (state["open"] == 0) | (piece["n"] > size) | (grown > size)
+        left = F.when(new, F.when(piece["n"] > size, 0).otherwise(piece["n"]) if oversize else piece["n"]).otherwise(grown)
+        return F.struct(left.alias("open"), F.when(new, F.concat(state["starts"], F.array(piece["i"]))).otherwise(state["starts"]).alias("starts")).cast(_STATE)
 
-    start = F.struct(_none().alias("done"), F.lit("").alias("open")).cast(_STATE)
-    last = lambda s: F.concat(s["done"], F.when((s["open"] != "") & (F.char_length(s["open"]) >= min_size), F.array(s["open"])).otherwise(_none()))
-    return F.aggregate(pieces, start, step, last)
+    def cut(ps: Column) -> Column:
+        sizes = F.transform(ps, lambda p, i: F.struct(F.char_length(p).alias("n"), (i + 1).alias("i")))
+        starts = F.aggregate(sizes, F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("starts")).cast(_STATE), step, lambda s: s["starts"])
+        joined = let(starts, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(ps, a, F.coalesce(F.get(at, k + 1), F.size(ps) + 1) - a), glue)))
+        if not oversize:
+            return F.filter(joined, lambda c: F.char_length(c) >= min_size)
+        long = F.filter(joined, lambda c: F.char_length(c) >= min(min_size, size + 1))
+        return F.flatten(F.transform(long, lambda c: F.when(F.char_length(c) > size, oversize(c)).otherwise(F.array(c))))
+
+    return let(pieces, cut)
 
 
 def generic_split(text: Column, size: int = CHUNK_SIZE, min_size: int = MIN_SIZE) -> Column:
     """Paragraphs packed; long ones cut by length; the text's start if nothing is left."""
     packed = pack(paragraphs(text), size, min_size, "\n\n", lambda p: strides(p, size, size))
-    return F.when(F.size(packed) > 0, packed).when(strip(text) != "", F.array(F.substr(text, F.lit(1), F.lit(size)))).otherwise(_none())
+    return let(packed, lambda cs: F.when(F.size(cs) > 0, cs).when(strip(text) != "", F.array(F.substr(text, F.lit(1), F.lit(size)))).otherwise(_none()))
 
 
 def hard_split(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
@@ -74,7 +80,7 @@ def hard_split(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) ->
 
 def overlapped(chunks: Column, overlap: int = OVERLAP) -> Column:
     """Each chunk after the last characters of the one before it."""
-    return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(strip(F.concat(F.right(F.element_at(chunks, F.greatest(i, F.lit(1))), F.lit(overlap)), F.lit(" "), c))))
+    return let(chunks, lambda cs: F.transform(cs, lambda c, i: F.when(i == 0, c).otherwise(strip(F.concat(F.right(F.get(cs, i - 1), F.lit(overlap)), F.lit(" "), c)))))
 
 
 def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP, min_size: int = MIN_SIZE) -> Column:

@@ -54,6 +54,28 @@ def merged_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def ocr_pages(files: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of OCR results (doc_id, name, content): one page a file, by its name's number.
+
+    Of files with one number the last by name counts. A document that is one file with one page
+    may be a combined one and is split by its marks.
+    """
+    count = F.count("*").over(Window.partitionBy("doc_id"))
+    number = page_number(F.col("name"), F.lit(1))
+    rows = files.select("doc_id", "name", number.alias("page"), F.coalesce("content", F.lit("")).alias("content")).withColumn("_files", count)
+    marked = F.col("content").rlike(_MARK) | F.contains("content", F.lit("\f"))
+    combined = split_pages(rows.where((F.col("_files") == 1) & marked).select("doc_id", "content"))
+    last = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc("name"))) == 1
+    single = rows.where(~((F.col("_files") == 1) & marked)).withColumn("_last", last).where("_last").select("doc_id", "page", strip(F.col("content")).alias("text"))
+    return combined.unionByName(single)
+
+
+def with_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """pages (doc_id, page) with image_path: the document's image of that number, from 1; empty without one."""
+    numbered = images.select("doc_id", F.col("image_no").alias("page"), "image_path")
+    return pages.join(numbered, ["doc_id", "page"], "left").withColumn("image_path", F.coalesce("image_path", F.lit("")))
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, file_hash) of the first document of each content."""
     return docs.groupBy(content_hash(F.col("text")).alias("file_hash")).agg(F.min(id_col).alias("doc_id")).select("doc_id", "file_hash")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import spread
 
 K1, B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT, NOTE_WEIGHT = 0.7, 0.3, 0.4
 #: Candidates of either side for each row of the result.
 WIDEN = 3
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl): term counts of every document; built once and kept as a table at scale."""
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(text_col if isinstance(text_col, Column) else F.col(text_col)).alias("ws"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    words = rows.select("id", T.tokens(F.col("text")).alias("ws"))
     return words.select("id", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -29,20 +35,36 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score) of every document with a query's term.
+def corpus_stats(stored: DataFrame) -> DataFrame:
+    """(n, avgdl) of stored postings (id, term, tf, dl); documents without a word are not in them."""
+    return stored.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+
 
-    Only words that some query has are exploded and counted; documents themselves are not shuffled.
+def bm25_stored(stored: DataFrame, corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, id, score) of every document with a query's term, from postings (id, term, tf, dl) and one row (n, avgdl).
+
+    Postings meet the queries' terms by key: a table kept by term is read for these terms alone.
     """
     terms = query_terms(queries)
-    words = docs.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("ws"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("ws").cast("double")).alias("avgdl"))
-    hits = words.select("id", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    hits = stored.join(terms.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = F.col("qtf") * weight * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus)).groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    return hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus)).groupBy("qid", "id").agg(F.sum(part).alias("score"))  # corpus is one row
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, id, score) of every document with a query's term, for documents without stored postings.
+
+    Words are counted inside each row, so texts stay where they are; only counts of words that some query has are
+    exploded and shuffled.
+    """
+    asked = query_terms(queries).select("term").distinct()
+    words = spread(docs.select(F.col("doc_id").alias("id"), "text"), "id", "text").select("id", T.tokens(F.col("text")).alias("ws"))
+    found = words.select("id", F.size("ws").cast("long").alias("dl"), "ws")
+    corpus = found.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    hits = found.select("id", "dl", F.explode("ws").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    return bm25_stored(hits, corpus, queries, k1, b)
 
 
 def ranked(scores: DataFrame, k: int | Column, by: str = "score") -> DataFrame:
@@ -60,10 +82,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): the k vectors (id, v) of largest inner product with each query (qid, q)."""
-    pairs = vectors.join(queries)
-    return ranked(pairs.select("qid", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k)
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, score, rank): the k vectors (id, v) of largest inner product with each query (qid, q).
+
+    Queries are counted and come in broadcast blocks of at most `block`, so each block is one pass over the vectors; a
+    task keeps its own k best before anything is shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    spread_out = spread(vectors, "id")
+    pairs = [spread_out.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)]
+    score = F.round(dot(F.col("v"), F.col("q")), 6).alias("score")
+    return ranked(reduce(DataFrame.unionByName, [p.select("qid", "id", score) for p in pairs]), k)
 
 
 def type_weight(chunk_type: Column, wants_amendments: Column) -> Column:

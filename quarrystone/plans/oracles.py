@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from ..functions import legal as L
 from ..functions import text as T
-from .queries import QUERY
+from ..operators import answer as A
+from ..operators import audit as U
+from .queries import QUERIES, QUERY
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 _HASH = "left(sha256({}), 16)"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _words(docs: str, docs_id: str) -> str:
     return f"SELECT {docs_id} AS id, {_TOKENS.format('text')} AS ws FROM {docs}"
 
@@ -44,19 +50,25 @@ def _vectors(where: str) -> str:
     return f"(SELECT q.vec_id AS qid, e.vec_id AS id, {dot} AS score FROM embeddings e, embeddings q WHERE q.{where})"
 
 
-VECTOR_TOPK = _ranked(_vectors("vec_id = 0"), 10, "id AS vec_id")
+VECTOR_TOPK = """
+WITH parts AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings),
+mean AS (SELECT label, i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM parts GROUP BY ALL),
+q AS (SELECT label, list(x ORDER BY i) AS v FROM mean GROUP BY label),
+pairs AS (SELECT q.label, vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), q.v), 6) AS s FROM embeddings e JOIN q ON true)
+SELECT CAST(label AS BIGINT) AS label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS INTEGER) AS rank, round(s, 4) AS score FROM pairs QUALIFY rank <= 10"""
+ECTOR_TOPK = _ranked(_vectors("vec_id = 0"), 10, "id AS vec_id")
 VECTOR_TOPK_MULTI = _ranked(_vectors("vec_id % 50 = 0"), 5, "qid, id AS vec_id")
 
 _CHUNK_ROWS = "SELECT doc_id, text, ['generic', 'article', 'heading', 'footnote', 'amendment'][doc_id % 5 + 1] AS chunk_type, doc_id % 30 + 1 AS page FROM documents"
 HYBRID_TOPK = f"""
-WITH {_bm25(f"SELECT 0 AS qid, {QUERY!r} AS query UNION ALL SELECT 7, 'the amended thing'")},
+WITH {_bm25(f"SELECT vec_id AS qid, CASE WHEN vec_id % 100 = 0 THEN 'the amended thing' ELSE {QUERY!r} END AS query FROM embeddings WHERE vec_id % 50 = 0")},
 chunk_rows AS ({_CHUNK_ROWS}),
-near AS (SELECT qid, id, score AS vs FROM {_vectors("vec_id IN (0, 7)")} WHERE id IN (SELECT doc_id FROM documents) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 24),
+near AS (SELECT qid, id, score AS vs FROM {_vectors("vec_id % 50 = 0")} WHERE id IN (SELECT doc_id FROM documents) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 24),
 lexical AS (SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 9) AS bs FROM scores),
 ids AS (SELECT qid, id FROM near UNION SELECT qid, id FROM (SELECT * FROM lexical QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bs DESC, id) <= 24)),
 scored AS (
   SELECT i.qid, i.id, round((0.7 * coalesce(vs, 0) + 0.3 * coalesce(bs, 0))
-    * CASE WHEN chunk_type IN ('footnote', 'amendment') AND i.qid = 0 THEN 0.4 ELSE 1 END
+    * CASE WHEN chunk_type IN ('footnote', 'amendment') AND i.qid % 100 > 0 THEN 0.4 ELSE 1 END
     * CASE WHEN chunk_type = 'heading' THEN 0.7 ELSE 1 END
     * CASE WHEN page <= 10 AND regexp_matches(text, '(?i)^\\s*contents\\b') THEN 0.35 WHEN page <= 10 AND chunk_type = 'generic' THEN 0.6 ELSE 1 END, 6) AS score
   FROM ids i LEFT JOIN near USING (qid, id) LEFT JOIN lexical USING (qid, id) JOIN chunk_rows c ON c.doc_id = i.id)
@@ -86,6 +98,43 @@ WITH {_PACK}, joined AS (
   SELECT doc_id, chunk_id, CASE WHEN chunk_id = 0 THEN text ELSE {_STRIP.format("right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_id), 150) || ' ' || text")} END AS text FROM numbered)
 SELECT doc_id, chunk_id, {_HASH.format('text')} AS hash, length(text) AS n FROM joined"""
 
+def _folded(name: str, source: str, glue: str, least: int, cut: str) -> str:
+    """CTEs up to name(k, cs): pieces of source (k, ps) joined with glue up to 700 characters; cut: what becomes of a longer piece p, whose number is i + 1."""
+    grown = f"CASE WHEN open = '' THEN ps[i + 1] ELSE open || {glue} || ps[i + 1] END"
+    return f"""{name}_fold AS (
+  SELECT k, ps, 0 AS i, '' AS open, CAST([] AS VARCHAR[]) AS done FROM {source}
+  UNION ALL
+  SELECT k, ps, i + 1, CASE WHEN length(grown) <= 700 THEN grown WHEN length(p) > 700 THEN '' ELSE p END,
+    CASE WHEN length(grown) <= 700 THEN done ELSE done || CASE WHEN length(open) >= {least} THEN [open] ELSE [] END || CASE WHEN length(p) > 700 THEN {cut} ELSE [] END END
+  FROM (SELECT *, ps[i + 1] AS p, {grown} AS grown FROM {name}_fold WHERE i < len(ps))
+), {name} AS (SELECT k, done || CASE WHEN length(open) >= {least} THEN [open] ELSE [] END AS cs FROM {name}_fold WHERE i = len(ps))"""
+
+
+_PARAGRAPHS = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?m)^(#{1,4}\s)', chr(1) || '\1', 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+_SENTENCES = r"""string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"""
+CHUNK_DOCUMENTS = f"""
+WITH RECURSIVE paragraphs AS (SELECT doc_id AS k, {_PARAGRAPHS} AS ps FROM documents),
+long AS (SELECT {{'doc': k, 'n': n}} AS k, {_SENTENCES} AS ps FROM (SELECT k, unnest(range(1, len(ps) + 1)) AS n, unnest(ps) AS p FROM paragraphs) WHERE length(p) > 700),
+{_folded('split', 'long', "' '", 1, 'list_transform(range(0, length(p), 550), lambda x: substr(p, x + 1, 700))')},
+parts AS (SELECT k.doc AS doc, map_from_entries(list({{'k': k.n, 'v': cs}})) AS cut FROM split GROUP BY k.doc),
+joint AS (SELECT {{'doc': k, 'cut': cut}} AS k, ps FROM paragraphs LEFT JOIN parts ON doc = k),
+{_folded('packed', 'joint', "chr(10) || chr(10)", 80, 'k.cut[i + 1]')},
+numbered AS (SELECT k.doc AS doc_id, unnest(range(0, len(cs))) AS chunk_id, unnest(cs) AS text FROM packed)
+SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CASE WHEN chunk_id = 0 THEN text ELSE {_STRIP.format("right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_id), 150) || ' ' || text")} END AS text FROM numbered"""
+
+
+def _chain(text: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
+_RAW_PAGE = r"""'THE CONSTITUTION OF INDIA' || chr(10) || conv_id || chr(10) || '$^{2}[**' || replace(text, ' ', '  ') || '** $ ' || repeat(chr(10), 4) || '  end "x'"""
+NORMALIZE_TEXT = "SELECT conv_id, turn, " + _STRIP.format(_chain(_RAW_PAGE, [
+    (r"\$\^\{\d+\}\[", ""), (r"\\mathrm\{([A-Z])\.\}", r"\1."), (r"\$", ""), (r"\*\*", ""), (r"(?m)^(\d+[A-Z]?\.\s+[^\n]{3,}?\.)\s*[-–—]\s*(\(.+)$", "\\1\n\\2"), (r"(?mi)^(?:THE\s+CONSTITUTION\s+OF\s+INDIA)\s*$", ""),
+    (r"(?m)^\s*\d+\s*$", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"(?m)[ \t\r]+$", ""),
+])) + " AS text FROM conversations"
+
 _CLAUSES = "'(1) ' || p_name || ' (a) ' || p_brand || ' and (b) ' || p_type || ' (2) sized ' || p_size"
 CLAUSE_SPLIT = rf"""
 WITH cut AS (SELECT p_partkey, list_filter(list_transform(string_split(regexp_replace({_CLAUSES}, '(\(\d+\)\s|\([a-z]\)\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS cs FROM part)
@@ -178,6 +227,19 @@ postings AS (
   UNION SELECT 'part', upper(unnest(regexp_extract_all(text, '(?i)Part\\s+([IVXLC]+(?:-[A-Z])?)', 1))), chunk_pos FROM legal)"""
 BUILD_POSTINGS = f"WITH {_LEGAL} SELECT kind, key, chunk_pos FROM postings"
 PRIORITY_LOOKUP = f"""
+WITH {_LEGAL}, named AS (
+  SELECT o_orderkey AS qid, [CAST(o_orderkey % 390 + 1 AS VARCHAR), CAST(o_orderkey % 3 + 19 AS VARCHAR)] AS a FROM orders),
+lists AS (
+  SELECT qid, list_concat(CASE WHEN a[1] = a[2] THEN a[1:1] ELSE a END,
+    CASE WHEN a[1] = '352' AND a[2] = '19' THEN ['358'] ELSE [] END, CASE WHEN a[1] = '352' AND a[2] IN ('20', '21') THEN ['359'] ELSE [] END,
+    CASE WHEN qid % 2 = 0 THEN ['22', '32'] ELSE [] END) AS a FROM named),
+asked AS (SELECT qid, key, min(ord) AS ord FROM (SELECT qid, unnest(a) AS key, unnest(range(0, len(a))) AS ord FROM lists) GROUP BY ALL),
+hits AS (
+  SELECT qid, ord, 0 AS d, chunk_pos FROM asked JOIN postings ON kind = 'article' AND postings.key = asked.key
+  UNION ALL SELECT qid, ord, 1, chunk_pos FROM asked JOIN postings ON kind = 'tag' AND postings.key = 'ref_article_' || asked.key),
+firsts AS (SELECT qid, chunk_pos, min(ROW(ord, d, chunk_pos)) AS place FROM hits GROUP BY ALL)
+SELECT qid, chunk_pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS rank FROM firsts"""
+RIORITY_LOOKUP = f"""
 WITH {_LEGAL}, ids AS (
   SELECT o_orderkey AS qid, ['352', CAST(o_orderkey % 3 + 19 AS VARCHAR), '22', '32'] AS a FROM orders WHERE o_orderkey % 5 = 2),
 asked AS (SELECT qid, unnest(a) AS key, unnest(range(0, len(a))) AS ord FROM ids),
@@ -190,6 +252,10 @@ HEADS_FIRST = """
 WITH n AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS nth FROM lineitem)
 SELECT l_orderkey, l_suppkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY nth > 1, l_suppkey, nth) AS INTEGER) AS rank FROM n"""
 SYNTHETIC_FALLBACK = """
+SELECT o_orderkey AS qid, CAST(o_orderkey % 395 + 1 AS VARCHAR) AS article_id, CAST(-1 AS BIGINT) AS chunk_pos, 'amendment' AS chunk_type,
+  'No ' || ['footnote', 'omission/amendment note', 'insertion/amendment note', 'amendment/editorial note'][o_orderkey % 5 + 1] || ' for Article ' || (o_orderkey % 395 + 1) || ' was found in the retrieved Constitution context.' AS text
+FROM orders WHERE o_orderkey % 5 < 4 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"""
+YNTHETIC_FALLBACK = """
 SELECT o_orderkey AS qid, CAST(o_orderkey % 395 + 1 AS VARCHAR) AS article_id, CAST(-1 AS BIGINT) AS chunk_pos,
   'No retrieved amendment or footnote evidence was found for Article ' || (o_orderkey % 395 + 1) || '.' AS text, true AS synthetic, false AS display_citation
 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"""
@@ -210,29 +276,145 @@ SELECT chunk_pos, CASE WHEN chunk_pos % 11 = 0 THEN '' ELSE '[' || parts || ']'
 PROMPT_CONTEXT = """
 SELECT conv_id AS qid, string_agg('--- Chunk ' || (turn + 1) || ' [' || role || ' | p:' || turn || ' | clause] ---' || chr(10) || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY turn) AS context
 FROM conversations GROUP BY conv_id"""
-CLEAN_ANSWER = """
+_TERMS = "['privacy', 'dignity', 'health', 'pollution-free environment', 'pollution free environment', 'maneka gandhi']"
+_FOREIGN = " OR ".join(f"regexp_matches(lower(x), '(?i){p}') AND NOT regexp_matches(lower(context), '(?i){p}')" for p in T.EXTERNAL_LINES)
+_TIDY = r"regexp_replace(regexp_replace({}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+CLEAN_ANSWER = rf"""
+WITH raw AS (
+  SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN text || chr(10) || 'The right to Privacy and health.' || chr(10) ELSE '' END || '  Under the IPC. ' || chr(10)
+      || CASE WHEN turn % 4 = 0 THEN 'A court held so.' || chr(10) || 'Not found in provided context.' || chr(10) || '<citation id="1">kept' || chr(10) || ' here</citation><citation a="synthetic">gone</citation>' || repeat(chr(10), 4) || 'End </analysis>' ELSE '</reasoning>' END AS answer,
+    concat_ws(' ', CASE WHEN turn % 2 = 0 THEN 'on health and privacy' END, CASE WHEN turn % 3 = 1 THEN 'as the Penal Code and the ipc say' END, 'of all') AS context, turn % 3 < 2 AS only_here, turn % 7 = 6 AS noted FROM conversations),
+opened AS (SELECT *, string_split(regexp_replace(replace(regexp_replace(regexp_replace(answer, '</?(?:think|thinking|analysis|reasoning)\b[^>]*>', '', 'gi'), '<citation\b[^>]*synthetic[^>]*>[^<]*</citation>', '', 'g'), 'kept' || chr(10) || ' here', 'kept here'), '</?citation[^>]*>', '', 'g'), chr(10)) AS ls FROM raw),
+stripped AS (SELECT *, list_transform(ls, lambda x: {_STRIP.format('x')}) AS lines FROM opened),
+backed AS (SELECT *, list_filter(lines, lambda x: x = '{T.NOT_FOUND}' OR len(list_filter({_TERMS}, lambda t: contains(lower(x), t) AND NOT contains(lower(context), t))) = 0) AS kept FROM stripped),
+local AS (SELECT *, CASE WHEN only_here THEN list_transform(list_filter(kept, lambda x: x = '{T.NOT_FOUND}' OR NOT ({_FOREIGN})), lambda x: CASE WHEN x = '{T.NOT_FOUND}' THEN '{T.NOT_FOUND_HERE}' ELSE x END) ELSE kept END AS told FROM backed)
+SELECT conv_id, turn, CASE WHEN noted THEN 'No footnote was found.' ELSE coalesce(nullif({_TIDY.format("array_to_string(told, chr(10))")}, ''), CASE WHEN only_here THEN '{T.NOT_FOUND_HERE}' ELSE '{T.NOT_FOUND}' END) END AS cleaned FROM local"""
+CITATION_BRACKETS = """
+SELECT p_partkey, p_name || ' [file.pdf] and [see above]  [entry:' || (p_partkey % 5) || ']' AS text FROM part WHERE false
+UNION ALL SELECT p_partkey, p_name || ' [the file.pdf | article:' || (p_partkey % 9) || ' | p:' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' | clause' END || '] and [see above]  [list:II | entry:' || (p_partkey % 5) || ']' AS text FROM part"""
+_CITED = """cited AS (
+  SELECT conv_id AS qid, turn + 1 AS rank, text, role AS filename, turn AS page, conv_id % 4 = 0 OR conv_id % 4 = 1 AND turn = 0 AS synthetic,
+    '--- Chunk ' || (turn + 1) || CASE WHEN conv_id % 4 = 0 OR conv_id % 4 = 1 AND turn = 0 THEN ' (synthetic retrieval note for Article 7; reason: none) ---' ELSE ' [' || role || ' | article:7 | p:' || turn || ' | clause] ---' END AS header FROM conversations)"""
+PROMPT_MESSAGES = f"""
+WITH {_CITED}, per AS (
+  SELECT qid, string_agg(header || chr(10) || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY rank) AS context, bool_or(synthetic) AS noted, bool_and(synthetic) AS whole, qid % 3 = 0 AS only_here FROM cited GROUP BY qid)
+SELECT qid, 'system' AS role, {_quoted(A.RULES)} || CASE WHEN only_here THEN {_quoted(A.ONLY_RULES)} ELSE '' END || CASE WHEN noted THEN {_quoted(A.NOTE_RULE)} ELSE '' END || CASE WHEN whole THEN {_quoted(A.ALL_NOTES_RULE)} ELSE '' END AS content FROM per
+UNION ALL SELECT qid, 'user', 'CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || CASE WHEN only_here THEN 'constitution only: why?' ELSE 'why?' END || chr(10) || chr(10)
+  || CASE WHEN only_here THEN {_quoted(A.ONLY_NOTE)} ELSE '' END || {_quoted(A.CLOSING)} FROM per"""
+ANSWER_GROUNDING = rf"""
+WITH {_CITED}, lines AS (SELECT *, {_STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS said FROM cited)
+SELECT qid, string_agg(text, chr(10) ORDER BY rank) AS context, CASE WHEN bool_and(synthetic) THEN min_by(said, rank) FILTER (said <> '') END AS note FROM lines GROUP BY qid"""
+SHOWN_SOURCES = f"""
+WITH {_CITED}, images AS (SELECT DISTINCT filename, page, filename || '/' || page AS image_path FROM cited WHERE page % 2 = 0)
+SELECT qid, rank, synthetic AS note, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS text,
+  CASE WHEN NOT synthetic AND row_number() OVER (PARTITION BY qid, filename, page ORDER BY rank) = 1 THEN image_path END AS image_path
+FROM cited LEFT JOIN images USING (filename, page)"""
+LEAN_ANSWER = """
 SELECT conv_id, turn, trim(regexp_replace(text || chr(10) || CASE WHEN turn % 2 = 0 THEN 'The right to Privacy and health.' || chr(10) ELSE '' END
   || CASE WHEN turn % 3 = 0 THEN '' ELSE 'Under the IPC.' || chr(10) END || 'kept' || chr(10) || chr(10) || 'End', '^\\s+|\\s+$', '', 'g')) AS cleaned FROM conversations"""
-VALIDATE_STORE = """
+_STORED = """stored AS (
+  SELECT *, page AS page_start, page + CASE WHEN chunk_id = 2 THEN -1 ELSE 1 END AS page_end FROM (
+    SELECT CASE WHEN conv_id % 17 > 0 THEN conv_id END AS doc_id, 'f' || (conv_id % 3) || '.pdf' AS filename, turn - CASE WHEN conv_id % 11 = 0 THEN turn % 2 ELSE 0 END AS chunk_id, conv_id * 1000 + turn AS chunk_pos,
+      CASE WHEN turn % 6 < 5 THEN turn * 3 % 7 END AS page, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS text, CASE role WHEN 'user' THEN 'generic' WHEN 'system' THEN 'heading' ELSE role END AS chunk_type,
+      CASE WHEN turn % 2 = 0 THEN CAST(conv_id % 40 AS VARCHAR) ELSE '' END AS article_id, role AS source_extraction FROM conversations))"""
+_WINDOWED = "rows AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk_id) AS times, page < lag(page) OVER (PARTITION BY doc_id ORDER BY chunk_id, chunk_pos) AS back FROM stored)"
+_ISSUES = {
+    "missing_section_id": "true", **{f"missing_{c}": f"{c} IS NULL" for c in ("doc_id", "filename", "page", "chunk_id", "text", "page_start", "page_end", "chunk_type", "article_id", "source_extraction")},
+    **{f"missing_{c}": "false" for c in ("image_path", "schedule_id", "list_id", "entry_id")}, "empty_text": "trim(text) = '' AND chunk_type <> 'heading'",
+    "unknown_type": "chunk_type NOT IN ('article', 'clause', 'heading', 'footnote', 'amendment', 'generic')", "row_mismatch": "chunk_pos <> chunk_id", "duplicate_key": "times > 1", "page_order": "back",
+    "page_range": "page IS NOT NULL AND (page <= 0 OR page_end <= 0 OR page NOT BETWEEN page_start AND page_end)",
+}
+VALIDATE_STORE = f"WITH {_STORED}, {_WINDOWED} " + " UNION ALL ".join(f"SELECT '{k}' AS issue, count(*) FILTER ({cond}) AS n FROM rows" for k, cond in _ISSUES.items())
+STORE_COUNTERS = f"""
+WITH {_STORED}, keys AS (SELECT unnest(['chunk_type', 'source_extraction', 'article']) AS section, unnest([chunk_type, source_extraction, article_id]) AS key FROM stored),
+sums AS (SELECT section, key, count(*) AS n FROM keys WHERE section <> 'article' OR key <> '' GROUP BY ALL)
+SELECT section, key, n FROM sums QUALIFY section <> 'article' OR row_number() OVER (PARTITION BY section ORDER BY n DESC, key) <= 20"""
+STORE_DOCUMENTS = f"WITH {_STORED} SELECT doc_id, string_agg(DISTINCT filename, ',' ORDER BY filename) AS filenames FROM stored GROUP BY doc_id"
+ALIDATE_STORE = """
 WITH rows AS (SELECT conv_id AS doc_id, turn % 5 AS chunk_id, turn * 3 % 7 AS page, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS text, CASE WHEN role = 'user' THEN 'generic' ELSE role END AS chunk_type,
   count(*) OVER (PARTITION BY conv_id, turn % 5) AS n FROM conversations)
 SELECT 'missing_field' AS issue, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'empty_text', count(*) FROM rows WHERE trim(text) = ''
 UNION ALL SELECT 'unknown_type', count(*) FROM rows WHERE chunk_type NOT IN ('article', 'clause', 'heading', 'footnote', 'amendment', 'generic')
 UNION ALL SELECT 'duplicate_key', count(*) FROM rows WHERE n > 1 UNION ALL SELECT 'page_below_one', count(*) FROM rows WHERE page < 1"""
+_VALID = """changed AS (
+  SELECT chunk_pos, CASE WHEN chunk_pos % 7 = 0 THEN '1' ELSE article_id END AS article_id, CASE WHEN chunk_pos % 13 = 0 THEN 'X' ELSE schedule_id END AS schedule_id,
+    CASE WHEN chunk_pos % 17 = 0 THEN 'I' ELSE list_id END AS list_id, entry_id FROM legal WHERE chunk_pos % 10 > 0)"""
 VALIDATE_INDEX = f"""
+WITH {_LEGAL}, {_VALID}, found AS (
+  SELECT p.kind, p.key, p.chunk_pos, CASE WHEN c.chunk_pos IS NULL THEN 'out_of_range' WHEN kind = 'article' AND article_id <> key THEN 'article_mismatch'
+    WHEN kind = 'schedule' AND schedule_id <> key AND key <> 'VII' THEN 'schedule_mismatch' WHEN kind = 'list' AND list_id <> key THEN 'list_mismatch'
+    WHEN kind = 'entry' AND list_id || ':' || entry_id <> key THEN 'entry_mismatch' END AS issue FROM postings p LEFT JOIN changed c USING (chunk_pos))
+SELECT kind, key, chunk_pos, issue FROM found WHERE issue IS NOT NULL"""
+_HEADINGS = "headings AS (SELECT chunk_pos, regexp_extract(text, '^\\[Article (\\d+)', 1) AS article FROM legal)"
+HEADING_AUDIT = f"""
+WITH {_LEGAL}, {_HEADINGS}
+SELECT article, count(*) AS n, article IN (SELECT key FROM postings WHERE kind = 'article') AS indexed FROM headings GROUP BY article"""
+TARGET_ARTICLES = f"""
+WITH {_LEGAL}, {_HEADINGS}, wanted AS (SELECT unnest([{', '.join(repr(a) for a in U.TARGET_ARTICLES)}]) AS article),
+indexed AS (SELECT article, chunk_pos, 'index' AS source FROM postings JOIN wanted ON kind = 'article' AND key = article),
+places AS (SELECT * FROM indexed UNION ALL SELECT article, chunk_pos, 'heading' FROM headings JOIN wanted USING (article) WHERE article NOT IN (SELECT article FROM indexed))
+SELECT article, source, CAST(row_number() OVER (PARTITION BY article ORDER BY chunk_pos) AS INTEGER) AS nth, chunk_pos, CAST(chunk_pos % 50 AS INTEGER) AS page, 'generic' AS chunk_type, substr(text, 1, 140) AS text
+FROM places JOIN legal USING (chunk_pos) QUALIFY nth <= 10"""
+STORE_REPORT = f"""
+WITH {_LEGAL}, {_HEADINGS}, raw AS (SELECT chunk_pos, CASE WHEN schedule_id <> '' THEN 'NINTH' ELSE '' END AS schedule_id, CASE WHEN list_id <> '' THEN 'STATE LIST' ELSE '' END AS list_id FROM legal),
+bad AS (SELECT kind, CASE WHEN kind = 'schedule' AND raw.schedule_id <> key AND key <> 'VII' THEN 'schedule_mismatch' WHEN kind = 'list' AND raw.list_id <> key THEN 'list_mismatch' WHEN kind = 'entry' THEN 'entry_mismatch' END AS issue FROM postings JOIN raw USING (chunk_pos))
+SELECT 'documents' AS section, 'documents' AS item, count(DISTINCT chunk_pos // 100) AS n FROM legal UNION ALL SELECT 'stability', 'chunks_told', count(*) FROM legal UNION ALL SELECT 'counts', 'chunks', count(*) FROM legal
+UNION ALL SELECT 'counts', 'index_' || kind, count(DISTINCT key) FROM postings GROUP BY kind UNION ALL SELECT 'index', kind || '_' || issue, count(*) FROM bad WHERE issue IS NOT NULL GROUP BY kind, issue
+UNION ALL SELECT 'articles', 'in_chunks', count(DISTINCT article_id) FROM legal WHERE article_id <> '' UNION ALL SELECT 'articles', 'in_headings', count(DISTINCT article) FROM headings
+UNION ALL SELECT 'articles', 'missing_from_index', count(DISTINCT article) FROM headings WHERE article NOT IN (SELECT key FROM postings WHERE kind = 'article')"""
+ARTICLE_BUNDLES = f"""
+WITH {_LEGAL}, own AS (SELECT article_id, min(chunk_pos) AS lead, max(chunk_pos) AS last, min(chunk_pos) // 100 AS doc, max(chunk_pos) // 100 AS last_doc, max(chunk_pos % 50) AS page FROM legal WHERE article_id <> '' GROUP BY article_id),
+wanted AS (SELECT n AS qid, CAST(n AS VARCHAR) AS article_id, n % 5 = 0 AS notes FROM (SELECT unnest(range(1, 396)) AS n)),
+lines AS (SELECT chunk_pos, article_id, CASE WHEN article_id = '' THEN '(2) ' || text ELSE text END AS body, CASE WHEN article_id <> '' AND chunk_pos % 2 = 0 THEN '1. Subs. by the Act of ' || chunk_pos ELSE '' END AS note FROM legal),
+pairs AS (
+  SELECT w.*, l.chunk_pos, l.body, l.note, l.article_id <> '' AS lead FROM wanted w JOIN own o USING (article_id) JOIN lines l ON l.chunk_pos = o.lead
+  UNION ALL SELECT w.*, l.chunk_pos, l.body, l.note, false FROM wanted w JOIN own o USING (article_id) JOIN lines l
+    ON o.doc = o.last_doc AND l.chunk_pos // 100 = o.doc AND l.chunk_pos > o.last AND l.article_id = '' AND NOT EXISTS (SELECT 1 FROM legal e WHERE e.article_id <> '' AND e.chunk_pos > o.last AND e.chunk_pos < l.chunk_pos)),
+shown AS (SELECT qid, article_id, chunk_pos, CASE WHEN notes THEN 'amendment' WHEN lead THEN 'article' ELSE 'clause' END AS chunk_type, CASE WHEN notes THEN note ELSE body END AS text FROM pairs)
+SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY chunk_pos) AS INTEGER) AS rank, chunk_pos, chunk_type, text FROM shown WHERE text <> ''"""
+ALIDATE_INDEX = f"""
 WITH {_LEGAL}
 SELECT kind, key, p.chunk_pos, CASE WHEN p.chunk_pos % 10 = 0 THEN 'out_of_range' WHEN kind = 'article' THEN 'article_mismatch' END AS issue
 FROM postings p WHERE p.chunk_pos % 10 = 0 OR kind = 'article' AND p.chunk_pos % 7 = 0 AND key <> '1'"""
 EVAL_SUMMARY = """
 SELECT coalesce(lang, '(all)') AS category, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)"""
+_EVALUATED = f"""{_CITED}, found AS (
+  SELECT qid, list(CAST((qid + rank) % 5 + 1 AS VARCHAR) ORDER BY rank) AS every, list(CASE WHEN rank = 3 THEN 'footnote' ELSE 'clause' END) AS types, lower(string_agg(text, chr(10) ORDER BY rank)) AS text, bool_or(synthetic) AS noted, bool_and(synthetic) AS whole FROM cited GROUP BY qid),
+facts AS (
+  SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i) AS articles, ['repaired_boundary', 'amendment_history', 'structural_routing'][qid % 3 + 1] AS category, qid % 4 = 0 AS amending, qid % 4 > 0 AS only_here FROM found),
+own AS (SELECT *, CASE category WHEN 'repaired_boundary' THEN 'indexing' WHEN 'amendment_history' THEN 'amendment_evidence_handling' ELSE 'retrieval' END AS tag FROM facts),
+checks AS (
+  SELECT *, [
+    CASE WHEN NOT list_has_all(articles, ['2', '3']) THEN 'retrieval:' || tag END, CASE WHEN qid % 2 = 0 THEN 'retrieval:structural_routing' END, CASE WHEN qid % 5 = 0 AND articles[1:2] <> ['1', '2'] THEN 'retrieval:' || tag END,
+    CASE WHEN list_contains(articles, '4') THEN 'retrieval:' || tag END, CASE WHEN list_contains(types, 'footnote') THEN 'retrieval:' || tag END, CASE WHEN list_contains(types, 'footnote') THEN 'retrieval:' || tag END,
+    CASE WHEN NOT contains(text, 'the') THEN 'retrieval:' || CASE WHEN category = 'structural_routing' THEN category ELSE tag END END, CASE WHEN contains(text, 'zzz') THEN 'retrieval:' || tag END, CASE WHEN contains(text, 'ing') THEN 'retrieval:' || tag END,
+    CASE WHEN NOT amending THEN 'mode:amendment_mode' END, CASE WHEN NOT only_here THEN 'mode:constitution_only_enforcement' END, CASE WHEN whole <> (qid % 4 = 0) THEN 'answer:synthetic_fallback' END,
+    CASE WHEN NOT noted THEN 'answer:synthetic_fallback' END, CASE WHEN NOT only_here THEN 'answer:constitution_only_enforcement' END, 'answer:answer_grounding', CASE WHEN only_here THEN 'answer:answer_grounding' END] AS all_issues FROM own),
+evaluated AS (SELECT *, list_filter(all_issues, lambda x: x IS NOT NULL) AS issues FROM checks)"""
+EVAL_ITEMS = f"""
+WITH {_EVALUATED}
+SELECT qid AS id, category, len(list_filter(issues, lambda x: starts_with(x, 'retrieval:'))) = 0 AS retrieval_pass, len(list_filter(issues, lambda x: starts_with(x, 'mode:'))) = 0 AS mode_pass,
+  len(list_filter(issues, lambda x: starts_with(x, 'answer:'))) = 0 AS answer_pass, len(issues) = 0 AS passed, len(issues) AS n_issues, array_to_string(articles, ',') AS articles FROM evaluated"""
+EVAL_TAGS = f"WITH {_EVALUATED} SELECT split_part(x, ':', 2) AS tag, count(*) AS n FROM (SELECT unnest(issues) AS x FROM evaluated) GROUP BY ALL"
+AMENDMENTS = """
+SELECT p_partkey, CAST(0 AS INTEGER) AS pos, ['First', 'Second', 'Ninth', 'Twelfth'][p_size % 4 + 1] || ' Amendment' AS amendment FROM part WHERE false UNION ALL
+SELECT p_partkey, 0, 'Third Amendment' FROM part"""
+PAGE_IMAGES = "SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, CASE WHEN (turn + 1) % 3 > 0 THEN conv_id || '/' || (turn + 1) ELSE '' END AS image_path FROM conversations"
+OCR_PAGES = rf"""
+WITH latest AS (SELECT conv_id, turn % 3 AS page, text FROM conversations WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY 'page_' || (turn % 3) || '_' || turn || '.md' DESC) = 1)
+SELECT conv_id AS doc_id, CAST(page AS INTEGER) AS page, {_STRIP.format('text')} AS text FROM latest
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INTEGER), {_STRIP.format('text')} FROM conversations WHERE conv_id % 2 = 1 AND trim(text) <> ''"""
+PAGE_FALLBACK = """
+WITH pages AS (SELECT conv_id AS doc_id, turn + 1 AS page, text, turn // 3 = conv_id % 3 AS blank FROM conversations),
+good AS (SELECT *, bool_or(NOT blank AND trim(text) <> '') OVER (PARTITION BY doc_id, (page - 1) // 3) AS good FROM pages)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN good THEN CASE WHEN blank THEN ' ' ELSE text END ELSE 'b: ' || text END AS text, CASE WHEN good THEN 'primary' ELSE 'secondary' END AS source FROM good"""
+VAL_SUMMARY = """
+SELECT coalesce(lang, '(all)') AS category, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total
+FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)"""
 BLOCK_TEXT = r"SELECT conv_id, turn, regexp_replace(replace(text, chr(13), ''), '^\s+|\s+$', '', 'g') AS text FROM conversations"
 
 ORACLES: dict[str, str] = {
-    "bm25_topk": BM25_TOPK, "bm25_batch": BM25_BATCH, "term_stats": TERM_STATS, "vector_topk": VECTOR_TOPK, "vector_topk_multi": VECTOR_TOPK_MULTI, "hybrid_topk": HYBRID_TOPK,
-    "pack_chunks": PACK_CHUNKS, "overlap_chunks": OVERLAP_CHUNKS, "clause_split": CLAUSE_SPLIT, "classify_chunk": CLASSIFY_CHUNK, "editorial_tail": EDITORIAL_TAIL, "dedup_by_hash": DEDUP_BY_HASH,
-    "pending_docs": PENDING_DOCS, "extract_articles": EXTRACT_ARTICLES, "expand_range": EXPAND_RANGE, "canonical_ids": CANONICAL_IDS, "query_modes": QUERY_MODES, "expand_rules": EXPAND_RULES,
-    "build_postings": BUILD_POSTINGS, "priority_lookup": PRIORITY_LOOKUP, "heads_first": HEADS_FIRST, "synthetic_fallback": SYNTHETIC_FALLBACK, "page_window": PAGE_WINDOW, "split_pages": SPLIT_PAGES,
-    "json_blocks": JSON_BLOCKS, "citation_header": CITATION_HEADER, "prompt_context": PROMPT_CONTEXT, "clean_answer": CLEAN_ANSWER, "validate_store": VALIDATE_STORE, "validate_index": VALIDATE_INDEX,
-    "eval_summary": EVAL_SUMMARY, "block_text": BLOCK_TEXT,
+    name.lower(): sql for name, sql in list(globals().items())
+    if name.isupper() and isinstance(sql, str) and not name.startswith("_") and name.lower() in QUERIES
 }

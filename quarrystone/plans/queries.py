@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import legal as L
 from ..functions import text as T
-from ..operators import answer, audit, blocks, bundle, chunks, index, pages, search, segment
+from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index, pages, search, segment
+from ..tables import spread
 
 QUERY = "the thing and tion for a remedy"
 
@@ -35,9 +36,12 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of the middle of all vectors of each label."""
     v = _vectors(spark, d)
-    q = v.where("id = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return search.vector_topk(v, F.broadcast(q), 10).select(F.col("id").alias("vec_id"), "rank", "score")
+    at = F.posexplode("embedding").alias("i", "x")
+    mean = table(spark, d, "embeddings").select("label", at).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    q = mean.groupBy(F.col("label").cast("long").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    return search.vector_topk(v, q, 10).select(F.col("qid").alias("label"), F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
 def vector_topk_multi(spark: SparkSession, d: str) -> DataFrame:
@@ -52,25 +56,28 @@ def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    q = v.where("id in (0, 7)").select(F.col("id").alias("qid"), F.when(F.col("id") == 0, QUERY).otherwise("the amended thing without case law").alias("query"), F.col("v").alias("q"))
-    rows = _chunk_rows(spark, d)
-    known = v.join(rows.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return search.hybrid_topk(rows, known, q, 8).select("qid", F.col("id").alias("doc_id"), "rank", "score")
+    vectors = _vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    asked = F.when(F.col("id") % 100 == 0, "the amended thing").otherwise(QUERY)
+    queries = _vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("qid"), asked.alias("query"), F.col("v").alias("q"))
+    return search.hybrid_topk(_chunk_rows(spark, d), vectors, queries, 8).select("qid", F.col("id").alias("doc_id"), "rank", "score")
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
     packed = chunks.pack(chunks.lines(F.col("text")), oversize=lambda p: chunks.strides(p, 700, 700))
-    return chunks.exploded(table(spark, d, "documents"), packed)
+    return chunks.exploded(_pieces(spark, d), packed)
 
 
 def overlap_chunks(spark: SparkSession, d: str) -> DataFrame:
     packed = chunks.pack(chunks.lines(F.col("text")), oversize=lambda p: chunks.strides(p, 700, 700))
-    return chunks.exploded(table(spark, d, "documents"), chunks.overlapped(packed)).select("doc_id", "chunk_id", T.content_hash(F.col("text")).alias("hash"), F.char_length("text").cast("long").alias("n"))
+    return chunks.exploded(_pieces(spark, d), chunks.overlapped(packed)).select("doc_id", "chunk_id", T.content_hash(F.col("text")).alias("hash"), F.char_length("text").cast("long").alias("n"))
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.exploded(table(spark, d, "documents"), chunks.chunk_text(F.col("text")))
+    return chunks.exploded(_pieces(spark, d), chunks.chunk_text(F.col("text")))
 
 
 def _clause_text() -> Column:
@@ -162,14 +169,19 @@ def build_postings(spark: SparkSession, d: str) -> DataFrame:
     return index.build_postings(_legal_chunks(spark, d))
 
 
+def _lookup_question() -> Column:
+    n = F.col("o_orderkey")
+    return F.concat(F.lit("What of Article "), n % 390 + 1, F.lit(" and article "), n % 3 + 19, F.when(n % 2 == 0, F.lit(", a writ for custody?")).otherwise("?"))
+
+
 def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
-    queries = table(spark, d, "orders").where("o_orderkey % 5 = 2").select(F.col("o_orderkey").alias("qid"), _question().alias("query"))
-    asked = index.identifiers(queries).where("kind <> 'part'")
-    return index.lookup(asked, index.build_postings(_legal_chunks(spark, d)))
+    """Every order's question for two articles and those that belong with them."""
+    queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), _lookup_question().alias("query"))
+    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)))
 
 
 def priority_lookup_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's question, of all five shapes, with its parts; priority_lookup has the share that its SQL can say."""
+    """Every order's question of five shapes, with its parts; priority_lookup has shapes that its SQL can say."""
     queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), _question().alias("query"))
     return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)))
 
@@ -180,9 +192,12 @@ def heads_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_fallback(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_orderkey") % 395 + 1).cast("string").alias("article_id"))
+    """Notes for orders that ask for amendments of an article and get no line item."""
+    n = F.col("o_orderkey")
+    what = F.when(n % 5 == 0, "the footnotes of").when(n % 5 == 1, "what was omitted from").when(n % 5 == 2, "insertion into").when(n % 5 == 3, "the history of change of").otherwise("the text of")
+    asked = table(spark, d, "orders").select(n.alias("qid"), F.concat(F.lit("Tell "), what, F.lit(" this article")).alias("query"), (n % 395 + 1).cast("string").alias("article_id")).withColumn("notes", T.wants_amendments(F.col("query")))
     found = table(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("qid"), (F.col("l_orderkey") % 395 + 1).cast("string").alias("article_id"))
-    return index.synthetic_notes(asked, found)
+    return bundle.not_found(asked, found).drop("rank")
 
 
 def page_window(spark: SparkSession, d: str) -> DataFrame:
@@ -214,28 +229,102 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     return answer.context(rows)
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn")
+    raw = F.concat(F.lit("<think>hidden\nsteps</think>"), F.when(turn % 4 < 3, F.concat(F.col("text"), F.lit("\nThe right to Privacy and health.\n"))).otherwise(""), F.lit("  Under the IPC. \n"), F.when(turn % 4 == 0, "A court held so.\nNot found in provided context.\n<citation id=\"1\">kept\n here</citation><citation a=\"synthetic\">gone</citation>\n\n\n\nEnd </analysis>").otherwise("</reasoning>"))
+    context = F.concat_ws(" ", F.when(turn % 2 == 0, "on health and privacy"), F.when(turn % 3 == 1, "as the Penal Code and the ipc say"), F.lit("of all"))
+    return table(spark, d, "conversations").select("conv_id", "turn", raw.alias("answer"), context.alias("context"), F.when(turn % 3 < 2, "constitution only").otherwise("any").alias("query"), F.when(turn % 7 == 6, "No footnote was found.").alias("note"))
+
+
 def clean_answer(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("<think>hidden\nsteps</think>"), F.col("text"), F.lit("\nThe right to Privacy and health.\nUnder the IPC.\n<citation id=\"1\">kept</citation>\n\n\n\nEnd </analysis>"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", raw.alias("answer"), F.when(F.col("turn") % 2 == 0, "on health and privacy").otherwise("on dignity").alias("context"), F.when(F.col("turn") % 3 == 0, "constitution only").otherwise("any").alias("query"))
-    return answer.clean(rows).select("conv_id", "turn", "cleaned")
+    return answer.clean(_answers(spark, d)).select("conv_id", "turn", "cleaned")
+
+
+def citation_brackets(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.col("p_name"), F.lit(" [p: "), k, F.lit(" | Article:"), k % 9, F.lit(" | doc the  file.pdf | type:"), F.when(k % 3 == 0, "Generic").otherwise("clause"), F.lit("] and [see above] [type: article] [entry:"), k % 5, F.lit("|list:II]"))
+    return table(spark, d, "part").select("p_partkey", answer.normalised_citations(text).alias("text"))
+
+
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), "text", F.col("role").alias("filename"), F.col("turn").cast("int").alias("page"))
+    blank = {c: F.lit("") for c in ("schedule_id", "list_id", "entry_id")}
+    note = F.col("qid") % 4 == 0
+    noted = {"synthetic": note | ((F.col("qid") % 4 == 1) & (F.col("rank") == 1)), "synthetic_reason": F.lit("none"), "display_citation": F.lit(True), "article_id": F.lit("7"), "chunk_type": F.lit("clause")}
+    return rows.withColumns(blank | noted | {"page_start": F.col("page"), "page_end": F.lit(None).cast("int")})
+
+
+def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cited(spark, d)
+    queries = rows.select("qid").distinct().withColumn("query", F.when(F.col("qid") % 3 == 0, "constitution only: why?").otherwise("why?"))
+    return answer.messages(queries, rows)
+
+
+def answer_grounding(spark: SparkSession, d: str) -> DataFrame:
+    return answer.grounding(_cited(spark, d))
+
+
+def shown_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cited(spark, d)
+    images = rows.where("page % 2 = 0").select("filename", "page", F.concat_ws("/", "filename", "page").alias("image_path"))
+    return answer.shown_sources(rows, images)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as stored chunks, with something wrong of every kind."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    rows = table(spark, d, "conversations").select(
+        F.when(conv % 17 > 0, conv).alias("doc_id"), F.concat(F.lit("f"), conv % 3, F.lit(".pdf")).alias("filename"), (turn - F.when(conv % 11 == 0, turn % 2).otherwise(0)).cast("int").alias("chunk_id"),
+        (conv * 1000 + turn).alias("chunk_pos"), F.when(turn % 6 < 5, turn * 3 % 7).cast("int").alias("page"), F.when(turn % 4 == 3, " ").otherwise(F.col("text")).alias("text"),
+        F.when(F.col("role") == "user", "generic").when(F.col("role") == "system", "heading").otherwise(F.col("role")).alias("chunk_type"), F.when(turn % 2 == 0, (conv % 40).cast("string")).otherwise("").alias("article_id"), F.col("role").alias("source_extraction"),
+    )
+    rows = rows.withColumns({c: F.lit("") for c in ("image_path", "schedule_id", "list_id", "entry_id")})
+    return rows.withColumns({"page_start": F.col("page"), "page_end": F.col("page") + F.when(F.col("chunk_id") == 2, -1).otherwise(1)})
 
 
 def validate_store(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 5).alias("chunk_id"), (F.col("turn") * 3 % 7).alias("page"), F.when(F.col("turn") % 4 == 3, " ").otherwise(F.col("text")).alias("text"), F.when(F.col("role") == "user", "generic").otherwise(F.col("role")).alias("chunk_type"))
-    rows = rows.withColumn("chunk_id", F.col("chunk_id"))
-    return audit.store_issues(rows).where("issue <> 'page_order'")
+    return audit.store_issues(_stored(spark, d))
+
+
+def store_counters(spark: SparkSession, d: str) -> DataFrame:
+    return audit.counters(_stored(spark, d))
+
+
+def store_documents(spark: SparkSession, d: str) -> DataFrame:
+    return audit.files_of_documents(_stored(spark, d)).select("doc_id", F.array_join("filenames", ",").alias("filenames"))
+
+
+def store_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legal_chunks(spark, d).withColumns({"filename": F.lit("f"), "page_start": F.col("page"), "page_end": F.col("page"), "source_extraction": F.lit("text"), "section_id": F.lit(""), "image_path": F.lit("")})
+    manifest = rows.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    return audit.report(rows, index.build_postings(rows), manifest).where("section IN ('documents', 'stability', 'counts', 'articles', 'index')")
+
+
+def heading_audit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legal_chunks(spark, d)
+    return audit.heading_audit(rows, index.build_postings(rows))
+
+
+def target_articles(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legal_chunks(spark, d).withColumn("page_start", F.col("page"))
+    return audit.target_articles(rows, index.build_postings(rows))
 
 
 def validate_index(spark: SparkSession, d: str) -> DataFrame:
-    rows = _legal_chunks(spark, d).withColumn("schedule_id", F.when(F.col("schedule_id") != "", "IX").otherwise(""))
-    return audit.index_issues(index.build_postings(rows), rows.where("chunk_pos % 10 > 0").withColumn("article_id", F.when(F.col("chunk_pos") % 7 == 0, "1").otherwise(F.col("article_id"))))
+    """Postings of chunks of which some are gone and others have got another article, schedule, list or entry since."""
+    k = F.col("chunk_pos")
+    rows = _legal_chunks(spark, d).withColumns({"schedule_id": F.when(F.col("schedule_id") != "", "IX").otherwise(""), "list_id": F.when(F.col("list_id") != "", "II").otherwise("")})
+    now = rows.where(k % 10 > 0).withColumns({"article_id": F.when(k % 7 == 0, "1").otherwise(F.col("article_id")), "schedule_id": F.when(k % 13 == 0, "X").otherwise(F.col("schedule_id")), "list_id": F.when(k % 17 == 0, "I").otherwise(F.col("list_id"))})
+    return audit.index_issues(index.build_postings(rows), now)
 
 
 def article_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """The bundles of every article that some chunk may be of, with and without notes."""
     rows = _legal_chunks(spark, d).withColumn("chunk_type", F.when(F.col("article_id") != "", "article").otherwise("clause")).withColumn("page_start", F.col("page"))
-    rows = rows.withColumn("text", F.when(F.col("article_id") == "", F.concat(F.lit("(2) "), F.col("text"))).otherwise(F.col("text")))
+    noted = F.concat(F.col("text"), F.lit("\n1. Subs. by the Act of "), F.col("chunk_pos"))
+    rows = rows.withColumn("text", F.when(F.col("article_id") == "", F.concat(F.lit("(2) "), F.col("text"))).when(F.col("chunk_pos") % 2 == 0, noted).otherwise(F.col("text")))
     rows = rows.withColumns({c: F.lit("") for c in ("schedule_id", "list_id", "entry_id")})
-    wanted = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), (F.col("n_nationkey") * 3 + 1).cast("string").alias("article_id"), (F.col("n_nationkey") % 5 == 0).alias("notes"))
+    wanted = spark.range(1, 396).select(F.col("id").alias("qid"), F.col("id").cast("string").alias("article_id"), (F.col("id") % 5 == 0).alias("notes"))
     return bundle.bundles(rows, wanted)
 
 
@@ -251,7 +340,55 @@ def block_text(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("category"), (F.col("quality") == 1).alias("passed"))
-    return audit.eval_summary(items)
+    return evaluate.summary(items)
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cited(spark, d).withColumn("chunk_id", F.col("rank").cast("long"))
+    rows = rows.withColumns({"article_id": ((F.col("qid") + F.col("rank")) % 5 + 1).cast("string"), "chunk_type": F.when(F.col("rank") == 3, "footnote").otherwise("clause")})
+    n, strings = F.col("id"), lambda *x: F.array(*map(F.lit, x))
+    ids = rows.select(F.col("qid").alias("id")).distinct()
+    items = ids.select(
+        n, F.element_at(strings("repaired_boundary", "amendment_history", "structural_routing"), (n % 3 + 1).cast("int")).alias("category"), F.when(n % 4 == 0, "amendment history").otherwise("constitution only").alias("query"),
+        strings("2", "3").alias("required_article_ids"), F.when(n % 2 == 0, strings("I")).alias("required_list_ids"), F.when(n % 5 == 0, strings("1", "2")).alias("article_prefix"), strings("4").alias("forbidden_article_ids"),
+        strings("clause").alias("allowed_chunk_types_only"), strings("footnote").alias("forbidden_chunk_types"), strings("the").alias("required_text_substrings"), strings("zzz", "ing").alias("forbidden_text_substrings"),
+        F.lit(True).alias("amendment_expected"), F.lit(True).alias("constitution_only_expected"), (n % 4 == 0).alias("synthetic_only_expected"), strings("CONTEXT:", "Synthetic retrieval", "Constitution-only mode", "no such rule").alias("prompt_must_contain"), strings("QUESTION: constitution").alias("prompt_must_not_contain"),
+    )
+    return evaluate.evaluated(items, rows, answer.messages(items.select(n.alias("qid"), "query"), rows))
+
+
+def eval_items(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("id", "category", "retrieval_pass", "mode_pass", "answer_pass", "passed", F.size("issues").cast("long").alias("n_issues"), F.array_join("articles", ",").alias("articles"))
+
+
+def eval_tags(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.failure_tags(_evaluated(spark, d))
+
+
+def amendments(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("By the Constitution ("), F.element_at(F.array(*map(F.lit, ("First", "Second", "Ninth", "Twelfth"))), (F.col("p_size") % 4 + 1).cast("int")), F.lit(" Amendment) Act or the "), F.col("p_brand"), F.lit(" Third Amendment Act, "), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(L.amendment_refs(text)).alias("pos", "amendment"))
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"))
+    images = rows.where("page % 3 > 0").select("doc_id", F.col("page").alias("image_no"), F.concat_ws("/", "doc_id", "page").alias("image_path"))
+    return pages.with_images(rows, images)
+
+
+def ocr_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Even conversations have a file for each turn, odd ones one combined file."""
+    rows = table(spark, d, "conversations")
+    named = rows.where("conv_id % 2 = 0").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("page_"), F.col("turn") % 3, F.lit("_"), F.col("turn"), F.lit(".md")).alias("name"), F.col("text").alias("content"))
+    marked = F.concat(F.lit("--- page "), F.col("turn") + 1, F.lit(" ---\n"), F.col("text"))
+    whole = rows.where("conv_id % 2 = 1").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", marked.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
+    return pages.ocr_pages(named.unionByName(whole.select(F.col("conv_id").alias("doc_id"), F.lit("all.md").alias("name"), "content")))
+
+
+def page_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
+    first = rows.withColumn("text", F.when(F.floor((F.col("page") - 1) / 3) == F.col("doc_id") % 3, " ").otherwise(F.col("text")))
+    return pages.with_fallback(first, rows.withColumn("text", F.concat(F.lit("b: "), "text")), 3)
 
 
 QUERIES = {
@@ -260,5 +397,7 @@ QUERIES = {
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
         editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_chunks, block_text,
+        citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
+        page_images, ocr_pages, page_fallback,
     )
 }

@@ -75,36 +75,93 @@ class Store:
 
     def current(self) -> str | None:
         """The snapshot in use."""
-        name = f"{self.root}/current"
-        if not self._fs.exists(self._path(name)):
-            return None
-        return json.loads(self.spark.read.text(name, wholetext=True).first().value)["snapshot"]
+        return self._state().get("snapshot")
 
     def save(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame) -> str:
         """Write a snapshot and make it the current one, unless its manifest and chunks disagree in number."""
-        snapshot = f"snapshot-{int(self.current().rpartition('-')[2]) + 1 if self.current() else 0}"
-        base = f"{self.root}/{snapshot}"
-        with_defaults(chunks).write.parquet(f"{base}/chunks")
-        postings.write.parquet(f"{base}/postings")
-        manifest.write.parquet(f"{base}/manifest")
+        return self._flip([with_defaults(chunks)], [postings], [manifest], [])
+
+    def append(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame) -> str:
+        """A snapshot with more documents: only what is new is written, the parts of the current one are named again.
+
+        chunks and postings count chunk_pos on from size().
+        """
+        return self._flip([with_defaults(chunks)], [postings], [manifest], self._parts())
+
+    def size(self) -> int:
+        """Chunks in the current snapshot, by its manifest."""
+        return int(self.read("manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]) if self.current() else 0
+
+    def delete(self, file_hash: str) -> str:
+        """A snapshot whose manifest lacks a document's record; its chunks go with the next save()."""
+        base = self._next()
+        without_document(self.read("manifest"), file_hash).write.parquet(f"{self.root}/{base}/manifest")
+        return self._point(base, [p for p in self._parts() if p], manifest=[base])
+
+    def _next(self) -> str:
+        now = self.current()
+        return f"snapshot-{int(now.rpartition('-')[2]) + 1 if now else 0}"
+
+    def _state(self) -> dict:
+        """What the pointer says; one that was lost between deletion and renaming is still under its new name."""
+        for name in (f"{self.root}/current", f"{self.root}/current.new"):
+            if self._fs.exists(self._path(name)):
+                return json.loads(self.spark.read.text(name, wholetext=True).first().value)
+        return {}
+
+    def _parts(self) -> list[str]:
+        state = self._state()
+        return state.get("chunks", [state["snapshot"]] if state else [])
+
+    def _flip(self, chunks: list[DataFrame], postings: list[DataFrame], manifest: list[DataFrame], older: list[str]) -> str:
+        name = self._next()
+        base = f"{self.root}/{name}"
+        for table, frames in (("chunks", chunks), ("postings", postings), ("manifest", manifest)):
+            frames[0].write.parquet(f"{base}/{table}")
         there = self.spark.read.parquet(f"{base}/chunks").count()
         told = self.spark.read.parquet(f"{base}/manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
         if there != told:
             self._fs.delete(self._path(base), True)
             raise ValueError(f"{there} chunks are there, the manifest tells of {told}")
-        fresh, name = self._path(f"{self.root}/current.new"), self._path(f"{self.root}/current")
+        manifests = [*self._state().get("manifest", older), name] if older else [name]
+        return self._point(name, [*older, name], manifests)
+
+    def _point(self, name: str, chunks: list[str], manifest: list[str]) -> str:
+        fresh, current = self._path(f"{self.root}/current.new"), self._path(f"{self.root}/current")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
+        out.write(bytearray(json.dumps({"snapshot": name, "chunks": chunks, "manifest": manifest}).encode()))
         out.close()
-        self._fs.delete(name, False)
-        self._fs.rename(fresh, name)
-        return snapshot
+        self._fs.delete(current, False)
+        self._fs.rename(fresh, current)
+        return name
 
     def read(self, table: str) -> DataFrame:
-        snapshot = self.current()
-        if snapshot is None:
+        state = self._state()
+        if not state:
             raise FileNotFoundError(f"no snapshot in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{snapshot}/{table}")
+        parts = state.get("manifest", [state["snapshot"]]) if table == "manifest" else self._parts()
+        return self.spark.read.parquet(*[f"{self.root}/{p}/{table}" for p in parts])
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """Evaluation results as one JSON document a row, in whatever store Spark writes."""
+    results.write.mode("overwrite").json(path)
+
+
+def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation items kept as a JSON array, flattened to one column for each criterion; a byte order mark does no harm."""
+    strings, flag = T.ArrayType(T.StringType()), T.BooleanType()
+    group = lambda names, kind: T.StructType([T.StructField(n, kind) for n in names])
+    required = tuple(f"required_{k}_ids" for k in ("article", "schedule", "list", "entry"))
+    retrieval = group((*required, "exact_article_set", "article_prefix", "forbidden_article_ids", "allowed_chunk_types_only", "forbidden_chunk_types", "required_text_substrings", "forbidden_text_substrings"), strings)
+    mode = group(("amendment_expected", "constitution_only_expected"), flag)
+    answer = T.StructType([T.StructField("synthetic_only_expected", flag), *group(("prompt_must_contain", "prompt_must_not_contain"), strings)])
+    expected = tuple(f"expected_{k}_ids" for k in ("article", "schedule", "list", "entry"))
+    item = T.StructType([*group(("id", "category", "query", "notes"), T.StringType()), T.StructField("top_k", T.IntegerType()), *group(expected, strings), T.StructField("retrieval_pass_criteria", retrieval), T.StructField("expected_mode", mode), T.StructField("answer_pass_criteria", answer)])
+    rows = read_metadata(spark, path, item)
+    either = [F.coalesce(f"retrieval_pass_criteria.{r}", e).alias(r) for r, e in zip(required, expected, strict=True)]
+    rest = [F.col(f"retrieval_pass_criteria.{f.name}") for f in retrieval if f.name not in required]
+    return rows.select("id", "category", "query", "notes", "top_k", *either, *rest, "expected_mode.*", "answer_pass_criteria.*")
 
 
 def without_document(manifest: DataFrame, file_hash: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from quarrystone.operators.retrieve import retrieve
+from quarrystone.operators.retrieve import retrieve, telemetry
 from quarrystone.sources.store import with_defaults
 
 
@@ -16,3 +16,23 @@ def test_each_query_takes_one_way(spark):
     got = sorted((r.qid, r.rank, r.chunk_pos, r.method) for r in retrieve(chunks, vectors, queries, 2).collect())
     assert got[:4] == [(1, 1, 0, "identifier"), (1, 2, 1, "identifier"), (2, 1, 2, "identifier"), (3, 1, 2, "identifier")]
     assert got[4][:3] == (4, 1, 3) and {g[3] for g in got[4:]} == {"hybrid"} and len(got) == 6
+
+
+def test_structure_fills_up_behind_articles_and_notes_stand_in(spark):
+    rows = [
+        ("d", 0, 0, 1, "[Article 21] Life\nNo person shall be deprived of life.", "article", "21", "", "", ""), ("d", 1, 1, 1, "[Article 22] Arrest\n(1) Grounds.", "article", "22", "", "", ""),
+        ("d", 2, 2, 9, "31. Posts.", "generic", "", "VII", "I", "31"), ("d", 3, 3, 9, "31. Roads.", "generic", "", "VII", "II", "31"), ("d", 4, 4, 9, "Union List", "heading", "", "VII", "I", ""), ("d", 5, 5, 9, "31. Posts again.", "generic", "", "VII", "I", "31"),
+    ]
+    names = "doc_id string, chunk_id int, chunk_pos long, page int, text string, chunk_type string, article_id string, schedule_id string, list_id string, entry_id string"
+    chunks = with_defaults(spark.createDataFrame(rows, names))
+    vectors = spark.createDataFrame([(i, [1.0]) for i in range(6)], "id long, v array<float>")
+    asked = ["Articles 22 and 21 with Entry 31 of List I and of List II", "What was substituted in Article 21", "Entry 31 of the Union List or the State List", "the Seventh Schedule", "Entry 31"]
+    queries = spark.createDataFrame([(i, q, [1.0]) for i, q in enumerate(asked)], "qid long, query string, q array<float>")
+    results = retrieve(chunks, vectors, queries, 3)
+    got = {i: [(r.chunk_pos, r.synthetic) for r in results.orderBy("rank").collect() if r.qid == i] for i in range(5)}
+    assert [c for c, _ in got[0]] == [1, 0, 2]
+    assert got[1] == [(-1, True)]
+    assert [c for c, _ in got[2]] == [2, 3, 5]
+    assert [c for c, _ in got[3]] == [2, 3, 4] and [c for c, _ in got[4]] == [2, 3, 5]
+    told = {r.qid: r for r in telemetry(results.withColumns({"page": results.chunk_pos, "page_start": results.chunk_pos}), queries).collect()}
+    assert told[1].method == "identifier" and told[1].n == 1 and told[1].top == "p-1/amendment/art21/s1.0"

@@ -25,6 +25,34 @@ def test_snapshots_flip_and_refuse_a_wrong_count(spark, tmp_path):
     assert [r.doc_id for r in store.without_document(kept.read("manifest"), "h").collect()] == ["b"]
 
 
+def test_append_writes_only_what_is_new(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "s"))
+    schema = "doc_id string, chunk_id int, text string, page int"
+    add = lambda doc, n: (store.with_defaults(store.numbered(spark.createDataFrame([(doc, i, f"{doc}{i} Article 5", 1) for i in range(n)], schema), kept.size())), spark.createDataFrame([(doc, "f", f"h{doc}", 1, n, None)], store.MANIFEST))
+    for doc, n in (("a", 2), ("b", 3)):
+        rows, manifest = add(doc, n)
+        kept.append(rows, index.build_postings(rows), manifest)
+    assert kept.current() == "snapshot-1" and kept.size() == 5
+    assert sorted((r.doc_id, r.chunk_pos) for r in kept.read("chunks").collect()) == [("a", 0), ("a", 1), ("b", 2), ("b", 3), ("b", 4)]
+    assert kept.read("postings").where("kind = 'tag'").count() == 5
+    rows, _ = add("c", 2)
+    with pytest.raises(ValueError):
+        kept.append(rows, index.build_postings(rows), add("c", 1)[1])
+    assert kept.delete("ha") == "snapshot-2" and [r.doc_id for r in kept.read("manifest").collect()] == ["b"] and kept.read("chunks").count() == 5
+    (tmp_path / "s" / "current").rename(tmp_path / "s" / "current.new")  # a writer that was lost between two steps
+    assert store.Store(spark, str(tmp_path / "s")).current() == "snapshot-2"
+
+
+def test_evaluation_items_and_reports(spark, tmp_path):
+    item = {"id": "e1", "category": "direct_article", "query": "Article 21?", "expected_article_ids": ["21"], "retrieval_pass_criteria": {"exact_article_set": ["21"]}, "expected_mode": {"amendment_expected": False}, "answer_pass_criteria": {"prompt_must_contain": ["CONTEXT"]}}
+    (tmp_path / "items.json").write_text(json.dumps([item]), encoding="utf-8-sig")
+    got = store.read_eval_items(spark, str(tmp_path / "items.json"))
+    r = got.first()
+    assert (r.id, r.required_article_ids, r.exact_article_set, r.amendment_expected, r.synthetic_only_expected, r.prompt_must_contain) == ("e1", ["21"], ["21"], False, None, ["CONTEXT"])
+    store.write_report(got, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().id == "e1"
+
+
 def test_json_with_a_byte_order_mark(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"doc_id": "a", "text": "t", "page": 3}]), encoding="utf-8-sig")
     (tmp_path / "i.json").write_text(json.dumps({"articles": {"21": [0, 4]}, "tags": {}}), encoding="utf-8-sig")
