@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .common import partitions, small_batches, written
 from .tokens import encoder
 
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out[:n], kinds[:n], strict=True)], names[:n])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECE + ", ids binary" * with_ids)
+    return spread(rows, "doc_id", "text").mapInArrow(run, PIECE + ", ids binary" * with_ids)
 
 
 #: Documents in a sequence up to which openings are estimated by number.

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .chunked import covered, mix
 from .common import small_batches, texts
 
@@ -285,4 +286,4 @@ def judge(docs: DataFrame, labels: DataFrame, content_share: float = CONTENT_SHA
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup, lines.n_repeat)), pa.array(failed), pa.array(kept), pa.array(share, pa.float64(), mask=failed)]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text").mapInArrow(run, RESULT)

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .common import partitions, small_batches, texts, written
 from .components import components
 
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, fp long")
+    return spread(rows, "doc_id", "h").mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _variants(distinct: DataFrame) -> DataFrame:

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .common import small_batches, texts
 
 ORDER, DECAY = 3, 0.6
@@ -40,6 +41,36 @@ _LETTERS = re.compile(r"[\W\d_]+")
 _END = "\x00"
 
 
+def _common(same: Callable[[int, int], np.ndarray], size: int, width: int, shape: tuple[int, int], order: int, decay: float) -> np.ndarray:
+    """Discounted common subsequences of pairs of strings of `size` and up to `width` letters; same(i, j): where their letters agree."""
+    step, square = np.float32(decay), np.float32(decay * decay)
+    # before[i][j]: subsequences of i letters in the first string so far and the second up to j, discounted to both ends
+    before = [[np.ones(shape, np.float32)] * (width + 1)] + [[np.zeros(shape, np.float32) for _ in range(width + 1)] for _ in range(order - 1)]
+    total = np.zeros(shape, np.float32)
+    for at in range(size):
+        now = [same(at, j) for j in range(width)]
+        for j in range(width):
+            total += np.where(now[j], before[order - 1][j], 0) * square
+        for i in range(order - 1, 0, -1):
+            running = np.zeros(shape, np.float32)
+            fresh = []
+            for j in range(width):
+                running = running * step + np.where(now[j], before[i - 1][j], 0) * square
+                fresh.append(running)
+            for j in range(width):
+                before[i][j + 1] = before[i][j + 1] * step + fresh[j]
+    return total
+
+
+def _by_size(words: list[str], order: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, letters) of words of one length and of at least `order` letters, some at once."""
+    sizes = np.array([len(w) for w in words])
+    for size in np.unique(sizes[sizes >= order]).tolist():
+        of = np.flatnonzero(sizes == size)
+        for part in np.array_split(of, -(-len(of) // rows)):
+            yield part, np.array([[ord(c) for c in words[r]] for r in part.tolist()], np.int32)
+
+
 def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The subsequence kernel of each word with each mark, not normalised."""
     out = np.zeros((len(words), len(marks)))
@@ -47,35 +78,29 @@ def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float
     codes = np.full((len(marks), width), -1, np.int32)
     for j, m in enumerate(marks):
         codes[j, : len(m)] = [ord(c) for c in m]
-    sizes = np.array([len(w) for w in words])
-    step, square = np.float32(decay), np.float32(decay * decay)
-    for size in np.unique(sizes[sizes >= order]).tolist():
-        for rows in np.array_split(np.flatnonzero(sizes == size), -(-int((sizes == size).sum()) // 2048)):
-            own = np.array([[ord(c) for c in words[r]] for r in rows.tolist()], np.int32)
-            shape = (len(rows), len(marks))
-            # before[i][j]: subsequences of i letters in the word so far and the mark up to j, discounted to both ends
-            before = [[np.ones(shape, np.float32)] * (width + 1)] + [[np.zeros(shape, np.float32) for _ in range(width + 1)] for _ in range(order - 1)]
-            total = np.zeros(shape, np.float32)
-            for at in range(size):
-                same = [own[:, at, None] == codes[None, :, j] for j in range(width)]
-                for j in range(width):
-                    total += np.where(same[j], before[order - 1][j], 0) * square
-                for i in range(order - 1, 0, -1):
-                    running = np.zeros(shape, np.float32)
-                    fresh = []
-                    for j in range(width):
-                        running = running * step + np.where(same[j], before[i - 1][j], 0) * square
-                        fresh.append(running)
-                    for j in range(width):
-                        before[i][j + 1] = before[i][j + 1] * step + fresh[j]
-            out[rows] = total
+    for rows, own in _by_size(words, order, 2048):
+        out[rows] = _common(lambda i, j, own=own: own[:, i, None] == codes[None, :, j], own.shape[1], width, (len(rows), len(marks)), order, decay)
     return out
 
 
-def features(words: list[str], marks: list[str], norms: np.ndarray) -> np.ndarray:
-    """Each word's kernel with each landmark in all powers; a word longer than SPAN takes its parts' largest."""
+def norms(words: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """The kernel of each word with itself; 0 for those of fewer than `order` letters."""
+    out = np.zeros(len(words))
+    for rows, own in _by_size(words, order, 65_536):
+        out[rows] = _common(lambda i, j, own=own: (own[:, i] == own[:, j])[:, None], own.shape[1], own.shape[1], (len(rows), 1), order, decay)[:, 0]
+    return out
+
+
+def normalised(words: list[str], marks: list[str], mark_norms: np.ndarray) -> np.ndarray:
+    """The kernel of unit length, from 0 to 1: K(w, m) / sqrt(K(w, w) K(m, m))."""
+    scale = np.sqrt(norms(words)[:, None] * mark_norms[None, :])
+    return np.divide(kernel(words, marks), scale, out=np.zeros((len(words), len(marks))), where=scale > 0)
+
+
+def features(words: list[str], marks: list[str], mark_norms: np.ndarray) -> np.ndarray:
+    """Each word's normalised kernel with each landmark in all powers; a word longer than SPAN takes its parts' largest."""
     parts = [(i, p) for i, w in enumerate(words) for p in _parts(w)]
-    ratio = np.minimum(kernel([p for _, p in parts], marks) / norms, 1)
+    ratio = normalised([p for _, p in parts], marks, mark_norms)
     if len(parts) > len(words):
         whole = np.zeros((len(words), len(marks)))
         np.maximum.at(whole, np.array([i for i, _ in parts]), ratio)
@@ -128,7 +153,7 @@ class Model:
 
     def __init__(self, marks: list[str], weights: np.ndarray, bias: float, slope: float, shift: float):
         self.marks, self.weights, self.bias, self.slope, self.shift = marks, weights, bias, slope, shift
-        self.norms = np.diag(kernel(marks, marks)).copy() if marks else np.zeros(0)
+        self.norms = norms(marks) if marks else np.zeros(0)
         self.memo: dict[str, float] = {_END: float("nan")}
         self.cores: dict[str, float] = {}
 
@@ -271,9 +296,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         at = int(rng.integers(1, max(2, len(word))))
         return word[:at] + "aeiklmnorstuxyz"[rng.integers(15)] + word[at:]
 
-    own = kernel(marks, marks)
-    norms = np.diag(own).copy()
-    own = own / np.sqrt(norms[:, None] * norms[None, :])
+    mark_norms = norms(marks)
+    own = normalised(marks, marks, mark_norms)
     blocks = []
     for power in POWERS:  # the Nystroem map of each power
         value, vector = np.linalg.eigh(own**power)
@@ -283,7 +307,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for i, block in enumerate(blocks):
         whiten[i * k : (i + 1) * k, i * k : (i + 1) * k] = block
     number = {w: i for i, w in enumerate(cores)}
-    table = np.concatenate([(features(cores[i : i + 8192], marks, norms) @ whiten).astype(np.float32) for i in range(0, len(cores), 8192)])
+    table = np.concatenate([(features(cores[i : i + 8192], marks, mark_norms) @ whiten).astype(np.float32) for i in range(0, len(cores), 8192)])
     # all sentences in one row of words, with the edges between sentences and between documents
     sentences = [s for d, _ in docs for s in d]
     words = np.array([number[w] for s in sentences for w in s], np.int64)
@@ -304,7 +328,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         sure = np.flatnonzero((y[of] > 0) & (value + bias > 0)) if bias else []
         positive = sorted({picked[i] for i in np.flatnonzero(y > 0).tolist()} | {int(i) for i in sure})
         worst = [max(sentences[i], key=lambda w: table[number[w]] @ weights) if sentences[i] else "" for i in positive]
-        new = features([twisted(w) if w else "" for w in worst], marks, norms) @ whiten
+        new = features([twisted(w) if w else "" for w in worst], marks, mark_norms) @ whiten
         changed = np.array([x[i] - (table[number[w]] if w else 0) for i, w in zip(positive, worst, strict=True)]) + new
         every = np.vstack([x[positive], changed.astype(np.float32), x[negative]])
         label = np.concatenate([np.ones(2 * len(positive)), -np.ones(len(negative))])
@@ -346,7 +370,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = own.scores([v.decode() for v in values])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
@@ -362,7 +386,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the model rejects."""
+    """docs (doc_id, text and any other columns, kept as they are) without those that the model rejects.
+
+    Null and empty texts score as a sentence without words, so they stay unless all documents are toxic. Repeated rows
+    and null ids stay or go each by their own text. No rows give none.
+    """
     model = fit(sample(docs, labels))
     spark = docs.sparkSession
     small_batches(spark)
@@ -374,4 +402,4 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(own.scores([t or "" for t in batch.column(at).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs, "doc_id", "text").mapInArrow(run, docs.schema)

@@ -25,6 +25,17 @@ def test_kernel_against_all_subsequences():
     got = toxicity.kernel(words, marks)
     want = [[plain_kernel(w, m, toxicity.ORDER, toxicity.DECAY) for m in marks] for w in words]
     assert np.allclose(got, want, rtol=1e-4)
+    own = [plain_kernel(w, w, toxicity.ORDER, toxicity.DECAY) for w in words]
+    assert np.allclose(toxicity.norms(words), own, rtol=1e-4)
+    unit = toxicity.normalised(words, marks, toxicity.norms(marks))
+    assert np.allclose(unit, [[k / np.sqrt(a * plain_kernel(m, m, toxicity.ORDER, toxicity.DECAY)) if a else 0 for k, m in zip(row, marks, strict=True)] for row, a in zip(want, own, strict=True)], rtol=1e-4)
+    assert unit.max() <= 1 + 1e-5 and np.isclose(unit[0, 0], 1)
+    # the map of the landmarks keeps their kernel: products of mapped landmarks are the kernel between them
+    for power in toxicity.POWERS:
+        between = toxicity.normalised(marks, marks, toxicity.norms(marks)) ** power
+        value, vector = np.linalg.eigh(between)
+        mapped = between @ (vector / np.sqrt(value) @ vector.T)
+        assert np.allclose(mapped @ mapped.T, between, atol=1e-4)
 
 
 def corpus(n, seed):
@@ -65,3 +76,12 @@ def test_nulls_long_texts_missing_labels_and_no_rows(spark):
     assert len(got) == 5 and {r.predicted for r in got} == {0}
     empty = spark.createDataFrame([], docs.schema)
     assert toxicity.classify(empty, labels).collect() == [] and toxicity.clean(empty, labels).collect() == []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = corpus(200, 6)
+    docs = spark.createDataFrame([(i if i % 9 else None, t, i, "p", None) for i, t, _ in rows] + [(None, None, 1, "q", 2.0)], "doc_id long, text string, toxic long, predicted string, score double")
+    labels = spark.createDataFrame([(i, 1, y, "x") for i, _, y in rows], "doc_id long, quality int, toxic int, text string")
+    kept = toxicity.clean(docs, labels)
+    assert kept.columns == docs.columns and kept.where("predicted = 'q'").count() == 1
+    assert toxicity.classify(docs, labels).count() == 201
