@@ -27,7 +27,7 @@ from .common import partitions, shared_path, table_name, written
 #: Bytes of text in a chunk, of all texts for each bucket of the key space, and in a task's share of the table, about.
 CHUNK_BYTES, BUCKET_BYTES, TASK_BYTES = 4 << 20, 16 << 20, 256 << 20
 #: Bits of a digit of the bucket number: rows of a kind that a chunk or a relay writes are at most 2 ** FAN_BITS.
-FAN_BITS = 5
+FAN_BITS = 6
 SENT = "sender long, kind int, path long, body binary"
 _FIELDS = [("sender", pa.int64()), ("kind", pa.int32()), ("path", pa.int64()), ("body", pa.binary())]
 
