@@ -215,7 +215,7 @@ once AS ({_distinct('o_orderkey', 'found', 'ids', 'article')})
 SELECT o_orderkey, coalesce(articles, '') AS articles FROM orders LEFT JOIN (SELECT o_orderkey, string_agg(article, ',' ORDER BY pos) AS articles FROM once GROUP BY o_orderkey) USING (o_orderkey)"""
 
 _LEGAL = """legal AS (
-  SELECT p_partkey AS chunk_pos, '[Article ' || (p_partkey % 395 + 1) || '] see article ' || (p_partkey % 91 + 1) || ' and Art. ' || (p_partkey % 395 + 1) || ' of part iii ' || p_name AS text,
+  SELECT p_partkey AS chunk_pos, '[Article ' || (p_partkey % 395 + 1) || '] see article ' || (p_partkey % 391 + 1) || ' and Art. ' || (p_partkey % 395 + 1) || ' of part ' || ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii'][p_partkey % 12 + 1] || ' ' || p_name AS text,
     CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 395 + 1 AS VARCHAR) ELSE '' END AS article_id, CASE WHEN p_partkey % 4 = 1 THEN 'IX' ELSE '' END AS schedule_id,
     CASE WHEN p_partkey % 5 = 2 THEN 'II' ELSE '' END AS list_id, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 40 + 1) || 'A' ELSE '' END AS entry_id FROM part),
 postings AS (

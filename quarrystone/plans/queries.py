@@ -157,7 +157,7 @@ def expand_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def _legal_chunks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    body = F.concat(F.lit("[Article "), k % 395 + 1, F.lit("] see article "), k % 91 + 1, F.lit(" and Art. "), k % 395 + 1, F.lit(" of part iii "), F.col("p_name"))
+    body = F.concat(F.lit("[Article "), k % 395 + 1, F.lit("] see article "), k % 391 + 1, F.lit(" and Art. "), k % 395 + 1, F.lit(" of part "), F.lower(F.element_at(F.array(*map(F.lit, L.ROMAN)), (k % 12 + 1).cast("int"))), F.lit(" "), F.col("p_name"))
     return table(spark, d, "part").select(
         k.alias("chunk_pos"), body.alias("text"), F.when(k % 3 == 0, (k % 395 + 1).cast("string")).otherwise("").alias("article_id"), F.when(k % 4 == 1, "Ninth").otherwise("").alias("schedule_id"),
         F.when(k % 5 == 2, "State List").otherwise("").alias("list_id"), F.when(k % 2 == 0, F.concat(k % 40 + 1, F.lit("a"))).otherwise("").alias("entry_id"), F.lit("generic").alias("chunk_type"), (k % 50).cast("int").alias("page"),
