@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import block_dedup, mixing, packing, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
+from . import block_dedup, co_bucket, mixing, packing, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
 from .common import table
 
 
@@ -49,6 +50,14 @@ def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.marked(table(spark, sf_dir, "documents"))
 
 
+def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = co_bucket.bucket(F.col("sale_id"))
+    sales = co_bucket.Side("sales", table(spark, sf_dir, "sales"), F.when(own % 4 == 1, own - 1).otherwise(own))
+    item = F.crc32(F.col("item_id").cast("string").cast("binary")) % co_bucket.BUCKETS
+    lines = co_bucket.Side("sale_lines", table(spark, sf_dir, "sale_lines"), F.coalesce(item, F.lit(0)))
+    return co_bucket.co_bucket(sales, lines, "sale_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -60,4 +69,5 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_block_anchor_dedup": op10_block_anchor_dedup,
+    "op12_co_bucketed_pair": op12_co_bucketed_pair,
 }
