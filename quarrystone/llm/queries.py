@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, co_bucket, mixing, packing, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
+from . import block_dedup, co_bucket, mixing, packing, periodic_runs, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co_bucket.co_bucket(sales, lines, "sale_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.detect(table(spark, sf_dir, "documents"), periodic_runs.planted_period))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -70,4 +74,5 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_block_anchor_dedup": op10_block_anchor_dedup,
     "op12_co_bucketed_pair": op12_co_bucketed_pair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
