@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, co_bucket, mixing, packing, periodic_runs, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
+from . import block_dedup, boosted_trees, co_bucket, mixing, packing, periodic_runs, pfp_dedup, quality, simhash, token_files, topk, toxicity, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.marked(table(spark, sf_dir, "documents"))
 
 
+def op11_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_trees.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = co_bucket.bucket(F.col("sale_id"))
     sales = co_bucket.Side("sales", table(spark, sf_dir, "sales"), F.when(own % 4 == 1, own - 1).otherwise(own))
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_source_mixing": op9_source_mixing,
     "op10_block_anchor_dedup": op10_block_anchor_dedup,
+    "op11_boosted_trees": op11_boosted_trees,
     "op12_co_bucketed_pair": op12_co_bucketed_pair,
     "op13_periodic_runs": op13_periodic_runs,
 }
