@@ -173,10 +173,16 @@ def _started(number: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"start-(\d+)\.", 1).cast("int").alias(number)
 
 
+def _held(folder: Folder, df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the staging folder. A join with one, not with an aggregate, is one whose hot partitions Spark splits."""
+    df.write.parquet(f"{folder.staging}/{name}")
+    return folder.spark.read.schema(df.schema).parquet(f"{folder.staging}/{name}")
+
+
 def matrix(folder: Folder, first: Side, second: Side, key: str, buckets: int, salt: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, joined, ids): rows by (table, start, bucket), inner-join rows by bucket, and the first table's keys."""
     counts = [_stored(folder, s).select(_started("start"), _named(key).alias("id")).groupBy("start", "id").agg(F.count("*").alias("n")) for s in (first, second)]
-    ids = counts[0].where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n_first"))
+    ids = _held(folder, counts[0].where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n_first")), "ids")
     others = counts[1].where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n_second"))
     joined = ids.join(others, "id").groupBy(bucket(F.col("id"), None, buckets, salt).alias("bucket")).agg(F.sum(F.col("n_first") * F.col("n_second")).alias("n_joined"))
     own = counts[0].withColumn("bucket", bucket(F.col("id"), None, buckets, salt))
@@ -228,8 +234,7 @@ def co_bucket(first: Side, second: Side, key: str, path: str | None = None, buck
     starts = {s.name: lay_out(folder, s, key) for s in sides}
 
     cells, joined, ids = matrix(folder, first, second, key, buckets, salt)
-    cells.write.parquet(f"{folder.staging}/cells")
-    cells = spark.read.schema(cells.schema).parquet(f"{folder.staging}/cells")
+    cells = _held(folder, cells, "cells")
     stay = {s.name: {r["start"]: r["bucket"] for r in staying(cells).where(F.col("table_name") == s.name).collect()} for s in sides}  # at most a row for each file
     facts = [tuple(r) for r in lineage(cells).join(joined, "bucket", "left").select("table_name", "bucket", "lineage_sha256", F.coalesce("n_joined", F.lit(0))).collect()]  # likewise
     known = {(t, b): (digest, n) for t, b, digest, n in facts}
