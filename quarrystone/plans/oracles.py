@@ -7,6 +7,7 @@ from ..functions import text as T
 from ..operators import answer as A
 from ..operators import audit as U
 from .queries import QUERIES, QUERY
+from .structure_sql import PAGE_STRUCTURE
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 _HASH = "left(sha256({}), 16)"

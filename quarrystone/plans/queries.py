@@ -328,9 +328,30 @@ def article_bundles(spark: SparkSession, d: str) -> DataFrame:
     return bundle.bundles(rows, wanted)
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of pages with articles, schedules, lists, entries, notes and contents."""
+    n, text, end, case = F.col("turn"), F.col("text"), F.lit("\n"), (F.col("conv_id") + F.col("turn")) % 9
+    lines = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    page = (
+        F.when(case == 0, lines(n + 14, ". Heading of this.-(1) ", text))
+        .when(case == 2, lines("SEVENTH SCHEDULE\n(Article 246)\nLIST I-UNION LIST\n1. Defence of ", text))
+        .when(case == 3, lines("(SEVENTH SCHEDULE)\n", n + 2, ". Taxes on ", text, "\n1. Subs. by the Act of 1956, w.e.f. 1-11-1956.\n", n + 3, ". Banking and insurance, ", text))
+        .when(case == 4, lines(text, "\nSTATE LIST\n5. Police; ", text, " LIST III - CONCURRENT LIST 6. Trusts, ", text))
+        .when(case == 5, lines("CONTENTS\nFIRST SCHEDULE\nSECOND SCHEDULE\nLIST I\n", text))
+        .when(case == 6, lines("1[FIRST SCHEDULE\nThe States, as the Seventh Schedule says\n", text, "\n7. Loans of ", text))
+        .when(case == 7, lines("UNION LIST Items follow\nSECOND SCHEDULE;\nArticle ", n, ". Equality before law", end, text))
+        .when(case == 8, lines("2[", n + 300, "A. Right of ", text, "]\n", n + 301, ". Arrest of all.-No person shall ", text, "\nPART IV-A of duties"))
+        .otherwise(text)
+    )
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), n.cast("int").alias("page"), page.alias("text"))
+
+
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment_pages(_pages(spark, d))
+
+
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat((F.col("turn") + 14).cast("string"), F.lit(". Heading of this.-(1) "), F.col("text")).alias("text"))
-    return segment.chunk_pages(rows)
+    return segment.chunk_pages(_pages(spark, d))
 
 
 def block_text(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +417,7 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
         editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, heads_first,
-        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_chunks, block_text,
+        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
     )

@@ -1,11 +1,12 @@
 """The stored corpus: chunks with their vectors in one table, postings and a manifest of documents, in snapshots.
 
-A snapshot is a directory; `current` names the one in use, so readers see a whole snapshot or none.
+A snapshot names the tables that it is made of, so appending writes what is new and deleting writes what is gone.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,82 +66,135 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Store:
-    """Snapshots of a corpus below a folder of any file system that Spark writes."""
+    """Snapshots of a corpus below a folder of any file system that Spark writes.
+
+    Tables are folders of Parquet that are written once. A snapshot is a small file that names those it is made of, and is put
+    in its place by a rename that fails if the place is taken: readers see a whole snapshot or none, and of two writers
+    one wins and the other one is told. Positions of chunks are never used again: the snapshot keeps the next free one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def current(self) -> str | None:
         """The snapshot in use."""
         return self._state().get("snapshot")
 
+    def size(self) -> int:
+        """Chunks in the current snapshot, by its manifest."""
+        return int(self.read("manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]) if self.current() else 0
+
+    def next_position(self) -> int:
+        """The chunk_pos from which new chunks count on: larger than any that was ever given out."""
+        return self._state().get("next_position", 0)
+
+    def batch(self, stream: str) -> int:
+        """The last batch of a stream that the store holds, -1 before the first."""
+        return self._state().get("batches", {}).get(stream, -1)
+
     def save(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame) -> str:
-        """Write a snapshot and make it the current one, unless its manifest and chunks disagree in number."""
-        return self._flip([with_defaults(chunks)], [postings], [manifest], [])
+        """Make these the whole of a new snapshot, unless manifest and chunks disagree in number."""
+        state, name = self._state(), self._written(chunks, postings, manifest)
+        return self._point(state, chunks=[name], postings=[name], manifest=[name], deleted=[], next_position=max(state.get("next_position", 0), self._after(name)))
 
-    def append(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame) -> str:
-        """A snapshot with more documents: only what is new is written, the parts of the current one are named again.
+    def append(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame, batch: tuple[str, int] | None = None) -> str:
+        """A snapshot with more documents: only what is new is written, the tables of the current one are named again.
 
-        chunks and postings count chunk_pos on from size().
+        chunk_pos counts on from next_position() in chunks and postings. With the (stream, number) of a batch, one that
+        the store holds already changes nothing.
         """
-        return self._flip([with_defaults(chunks)], [postings], [manifest], self._parts())
-
-    def size(self) -> int:
-        """Chunks in the current snapshot, by its manifest."""
-        return int(self.read("manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]) if self.current() else 0
+        state = self._state()
+        if batch and batch[1] <= self.batch(batch[0]):
+            return state["snapshot"]
+        name = self._written(chunks, postings, manifest, state.get("next_position", 0))
+        more = {t: [*state.get(t, []), name] for t in ("chunks", "postings", "manifest")}
+        batches = {**state.get("batches", {}), **({batch[0]: batch[1]} if batch else {})}
+        return self._point(state, **more, batches=batches, next_position=max(state.get("next_position", 0), self._after(name)))
 
     def delete(self, file_hash: str) -> str:
-        """A snapshot whose manifest lacks a document's record; its chunks go with the next save()."""
-        base = self._next()
-        without_document(self.read("manifest"), file_hash).write.parquet(f"{self.root}/{base}/manifest")
-        return self._point(base, [p for p in self._parts() if p], manifest=[base])
+        """A snapshot without the documents of this content: their chunks and postings are read no more, and go with compact()."""
+        state, name = self._state(), self._new()
+        manifest = self.read("manifest")
+        gone = manifest.where(F.col("file_hash") == file_hash).select("doc_id").distinct()
+        self.read("chunks").join(gone, "doc_id", "left_semi").select("chunk_pos").write.parquet(f"{self.root}/{name}/deleted")
+        without_document(manifest, file_hash).write.parquet(f"{self.root}/{name}/manifest")
+        return self._point(state, manifest=[name], deleted=[*state.get("deleted", []), name])
+
+    def compact(self) -> str:
+        """A snapshot of what is read now, in tables of its own, without deleted rows; positions stay."""
+        state, name = self._state(), self._new()
+        for table in ("chunks", "postings", "manifest"):
+            self.read(table).write.parquet(f"{self.root}/{name}/{table}")
+        return self._point(state, chunks=[name], postings=[name], manifest=[name], deleted=[])
 
-    def _next(self) -> str:
-        now = self.current()
-        return f"snapshot-{int(now.rpartition('-')[2]) + 1 if now else 0}"
+    def read(self, table: str) -> DataFrame:
+        """chunks, postings or manifest of the current snapshot."""
+        state = self._state()
+        if not state:
+            raise FileNotFoundError(f"no snapshot in {self.root}")
+        rows = self._tables(state[table], table)
+        if table == "manifest" or not state.get("deleted"):
+            return rows
+        return rows.join(self._tables(state["deleted"], "deleted"), "chunk_pos", "left_anti").select(*rows.columns)
 
-    def _state(self) -> dict:
-        """What the pointer says; one that was lost between deletion and renaming is still under its new name."""
-        for name in (f"{self.root}/current", f"{self.root}/current.new"):
-            if self._fs.exists(self._path(name)):
-                return json.loads(self.spark.read.text(name, wholetext=True).first().value)
-        return {}
+    def _tables(self, names: list[str], table: str) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.root}/{n}/{table}" for n in names))
 
-    def _parts(self) -> list[str]:
-        state = self._state()
-        return state.get("chunks", [state["snapshot"]] if state else [])
+    def _new(self) -> str:
+        return f"tables-{uuid.uuid4().hex[:12]}"
+
+    def _version(self) -> int:
+        """The number of the newest snapshot, -1 if there is none."""
+        folder = self._path(f"{self.root}/snapshots")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=-1)
 
-    def _flip(self, chunks: list[DataFrame], postings: list[DataFrame], manifest: list[DataFrame], older: list[str]) -> str:
-        name = self._next()
+    def _state(self) -> dict:
+        version = self._version()
+        return json.loads(self.spark.read.text(f"{self.root}/snapshots/{version:08d}", wholetext=True).first().value) if version >= 0 else {}
+
+    def _written(self, chunks: DataFrame, postings: DataFrame, manifest: DataFrame, least: int = 0) -> str:
+        name = self._new()
         base = f"{self.root}/{name}"
-        for table, frames in (("chunks", chunks), ("postings", postings), ("manifest", manifest)):
-            frames[0].write.parquet(f"{base}/{table}")
-        there = self.spark.read.parquet(f"{base}/chunks").count()
+        for table, rows in (("chunks", with_defaults(chunks)), ("postings", postings), ("manifest", manifest)):
+            rows.write.parquet(f"{base}/{table}")
+        stored = self.spark.read.parquet(f"{base}/chunks")
+        there, placed, first = stored.agg(F.count("*"), F.count_distinct("chunk_pos"), F.min("chunk_pos")).first()
         told = self.spark.read.parquet(f"{base}/manifest").agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+        wrong = None
         if there != told:
+            wrong = f"{there} chunks are there, the manifest tells of {told}"
+        elif placed != there or (first is not None and first < least):
+            wrong = f"{there} chunks have {placed} positions from {first} on; the store's next one is {least}"
+        if wrong:
             self._fs.delete(self._path(base), True)
-            raise ValueError(f"{there} chunks are there, the manifest tells of {told}")
-        manifests = [*self._state().get("manifest", older), name] if older else [name]
-        return self._point(name, [*older, name], manifests)
+            raise ValueError(wrong)
+        return name
 
-    def _point(self, name: str, chunks: list[str], manifest: list[str]) -> str:
-        fresh, current = self._path(f"{self.root}/current.new"), self._path(f"{self.root}/current")
+    def _after(self, name: str) -> int:
+        return int(self._tables([name], "chunks").agg(F.coalesce(F.max("chunk_pos") + 1, F.lit(0))).first()[0])
+
+    def _point(self, state: dict, **changes: object) -> str:
+        """Put the next snapshot in its place, after the one that `state` is; another writer's fails to."""
+        version = int(state["snapshot"].rpartition("-")[2]) + 1 if state else 0
+        now = {**state, **changes, "snapshot": f"snapshot-{version}"}
+        fresh, place = self._path(f"{self.root}/snapshots/_{uuid.uuid4().hex}"), self._path(f"{self.root}/snapshots/{version:08d}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"snapshot": name, "chunks": chunks, "manifest": manifest}).encode()))
+        out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
-        return name
-
-    def read(self, table: str) -> DataFrame:
-        state = self._state()
-        if not state:
-            raise FileNotFoundError(f"no snapshot in {self.root}")
-        parts = state.get("manifest", [state["snapshot"]]) if table == "manifest" else self._parts()
-        return self.spark.read.parquet(*[f"{self.root}/{p}/{table}" for p in parts])
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            self._context.rename(fresh, place, none)
+        except Exception as e:
+            self._fs.delete(fresh, False)
+            if self._fs.exists(place):
+                raise RuntimeError(f"another writer has made snapshot-{version}; read it and try again") from e
+            raise
+        return now["snapshot"]
 
 
 def write_report(results: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import index
 from quarrystone.sources import store
-from quarrystone.streaming.ingest import ingest
+from quarrystone.streaming.ingest import ingest, ingest_into, store_batch
 
 
 def test_snapshots_flip_and_refuse_a_wrong_count(spark, tmp_path):
@@ -28,7 +28,7 @@ def test_snapshots_flip_and_refuse_a_wrong_count(spark, tmp_path):
 def test_append_writes_only_what_is_new(spark, tmp_path):
     kept = store.Store(spark, str(tmp_path / "s"))
     schema = "doc_id string, chunk_id int, text string, page int"
-    add = lambda doc, n: (store.with_defaults(store.numbered(spark.createDataFrame([(doc, i, f"{doc}{i} Article 5", 1) for i in range(n)], schema), kept.size())), spark.createDataFrame([(doc, "f", f"h{doc}", 1, n, None)], store.MANIFEST))
+    add = lambda doc, n: (store.with_defaults(store.numbered(spark.createDataFrame([(doc, i, f"{doc}{i} Article 5", 1) for i in range(n)], schema), kept.next_position())), spark.createDataFrame([(doc, "f", f"h{doc}", 1, n, None)], store.MANIFEST))
     for doc, n in (("a", 2), ("b", 3)):
         rows, manifest = add(doc, n)
         kept.append(rows, index.build_postings(rows), manifest)
@@ -38,11 +38,69 @@ def test_append_writes_only_what_is_new(spark, tmp_path):
     rows, _ = add("c", 2)
     with pytest.raises(ValueError):
         kept.append(rows, index.build_postings(rows), add("c", 1)[1])
-    assert kept.delete("ha") == "snapshot-2" and [r.doc_id for r in kept.read("manifest").collect()] == ["b"] and kept.read("chunks").count() == 5
-    (tmp_path / "s" / "current").rename(tmp_path / "s" / "current.new")  # a writer that was lost between two steps
+    assert kept.delete("ha") == "snapshot-2" and [r.doc_id for r in kept.read("manifest").collect()] == ["b"] and kept.read("chunks").count() == 3
+    (tmp_path / "s" / "snapshots" / "_left").write_text("{")  # a writer that was lost before its snapshot had a place
     assert store.Store(spark, str(tmp_path / "s")).current() == "snapshot-2"
 
 
+def _added(spark, kept, doc, n):
+    rows = spark.createDataFrame([(doc, i, f"{doc}{i} Article 5", 1) for i in range(n)], "doc_id string, chunk_id int, text string, page int")
+    full = store.with_defaults(store.numbered(rows, kept.next_position()))
+    return full, index.build_postings(full), spark.createDataFrame([(doc, "f", f"h{doc}", 1, n, None)], store.MANIFEST)
+
+
+def test_positions_are_never_used_again(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path / "s"))
+    kept.save(*_added(spark, kept, "a", 3))
+    kept.append(*_added(spark, kept, "b", 2))
+    kept.delete("ha")
+    kept.append(*_added(spark, kept, "c", 2))
+    assert sorted((r.doc_id, r.chunk_pos) for r in kept.read("chunks").collect()) == [("b", 3), ("b", 4), ("c", 5), ("c", 6)]
+    assert sorted(r.chunk_pos for r in kept.read("postings").where("kind = 'tag'").collect()) == [3, 4, 5, 6]
+    kept.delete("hc")
+    assert kept.next_position() == 7 and kept.size() == 2
+    again = store.with_defaults(store.numbered(spark.createDataFrame([("d", 0, "t", 1)], "doc_id string, chunk_id int, text string, page int"), kept.size()))
+    with pytest.raises(ValueError):  # counted from what is left
+        kept.append(again, index.build_postings(again), spark.createDataFrame([("d", "f", "hd", 1, 1, None)], store.MANIFEST))
+    kept.append(*_added(spark, kept, "a", 1))  # a document that comes again is not the deleted one
+    before = sorted(map(str, kept.read("chunks").collect()))
+    kept.compact()
+    assert sorted(map(str, kept.read("chunks").collect())) == before and kept.next_position() == 8
+    assert spark.read.parquet(*(f"{tmp_path}/s/{n}/chunks" for n in kept._state()["chunks"])).count() == 3
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    one, other = (store.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.save(*_added(spark, one, "a", 1))
+    rows, late = _added(spark, other, "b", 1), other._state()
+    one.append(*_added(spark, one, "c", 2))
+    with pytest.raises(RuntimeError):
+        other._point(late, chunks=[other._written(*rows)])
+    assert sorted(r.doc_id for r in other.read("chunks").collect()) == ["a", "c", "c"]
+    with pytest.raises(ValueError):  # its positions are taken by now
+        other.append(*rows)
+    other.append(*_added(spark, other, "b", 1))
+    assert sorted(r.chunk_pos for r in one.read("chunks").collect()) == [0, 1, 2, 3]
+
+
+def test_a_stream_fills_a_store_once(spark, tmp_path):
+    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    kept = store.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, "word " * 60, "a"), (2, "word " * 60, "b"), (3, "See Article 5. " * 100, "c"), (4, None, "d")], "doc_id long, text string, filename string")
+    rows.write.parquet(source)
+    run = lambda: ingest_into(spark.readStream.schema(rows.schema).parquet(source), kept, mark).awaitTermination()
+    run()
+    assert kept.batch("documents") == 0 and sorted(r.doc_id for r in kept.read("manifest").collect()) == ["1", "3"]
+    first = sorted(map(str, kept.read("chunks").collect()))
+    store_batch(kept, "documents")(rows, 0)  # the batch runs again after a crash
+    assert sorted(map(str, kept.read("chunks").collect())) == first and kept.current() == "snapshot-0"
+    more = rows.withColumn("doc_id", F.col("doc_id") + 10).union(spark.createDataFrame([(20, "another text " * 30, "e")], rows.schema))
+    more.write.mode("append").parquet(source)
+    run()
+    assert sorted(r.doc_id for r in kept.read("manifest").collect()) == ["1", "20", "3"]
+    assert kept.read("chunks").select("chunk_pos").distinct().count() == kept.read("chunks").count() == kept.size() == kept.next_position()
+
+
 def test_evaluation_items_and_reports(spark, tmp_path):
     item = {"id": "e1", "category": "direct_article", "query": "Article 21?", "expected_article_ids": ["21"], "retrieval_pass_criteria": {"exact_article_set": ["21"]}, "expected_mode": {"amendment_expected": False}, "answer_pass_criteria": {"prompt_must_contain": ["CONTEXT"]}}
     (tmp_path / "items.json").write_text(json.dumps([item]), encoding="utf-8-sig")
