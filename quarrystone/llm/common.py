@@ -89,8 +89,29 @@ def last_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of a table that one task of a shuffle gets, about.
+TASK_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, rows: DataFrame | None = None) -> int:
+    """Tasks of a shuffle: as many as the session says, or as the bytes of the scanned `rows` ask for, if those are more.
+
+    Spark's estimate for a plan without joins is the size of its files; for other plans the session's number counts.
+    """
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is None:
+        return least
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return least if "Join" in plan.toString() or size >= 1 << 60 else max(least, size // TASK_BYTES)  # rows of unknown size count as 2**63 - 1 bytes
+
+
+def unused(name: str, rows: DataFrame) -> str:
+    """A column name that rows do not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

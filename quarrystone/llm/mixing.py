@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checked_broadcast, partitions, written
+from .common import WORD, checked_broadcast, partitions, unused, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -111,9 +111,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, bucket: int = BUCKET) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with their own columns."""
+    """The mix itself: the rows of docs, each as often as it is taken, with their own columns, of any names and types.
+
+    Null and empty texts, which have no words, are never taken; null sources, equal ids and no rows are as in mix().
+    """
     _, known = plan(docs, weights, max_epochs, seed, bucket)
-    known = known.select("_source", F.col("whole").alias("_whole"), F.col("cutoff").alias("_cutoff"))
-    repeats = F.col("_whole") + (_place(docs["doc_id"], seed) <= F.col("_cutoff")).cast("long")
-    found = docs.join(known, docs["source"].eqNullSafe(known["_source"])).withColumn("_times", F.explode(F.array_repeat(F.lit(1), repeats.cast("int"))))
+    name = unused("_mix", docs)
+    goals = known.select(F.struct("_source", "whole", "cutoff").alias(name))
+    repeats = F.col(f"{name}.whole") + (_place(docs["doc_id"], seed) <= F.col(f"{name}.cutoff")).cast("long")
+    found = docs.join(goals, docs["source"].eqNullSafe(F.col(f"{name}._source"))).withColumn(name, F.explode(F.array_repeat(F.lit(1), repeats.cast("int"))))
     return found.select(*[docs[c] for c in docs.columns])

@@ -196,7 +196,7 @@ def match(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) ->
 def _ranked(rows: DataFrame) -> DataFrame:
     """rows with `part` and `nth`: the place among the part's rows of one length, in range-sorted order."""
     keys = [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession, rows), *keys).sortWithinPartitions(*keys)
     at = dealt.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ on variants, followed by a count of the differing bits, finds every linked pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import spread
-from .common import partitions, small_batches, texts, written
+from .common import partitions, small_batches, texts, unused, written
 from .components import components
 
 SEGMENT = 32
@@ -149,7 +150,7 @@ def links(distinct: DataFrame, group: int = 1024) -> DataFrame:
     A variant shared by more than `group` fingerprints is refined by parts of the other segment,
     which a linked pair must share as well; so no task gets more than 2**14 fingerprints at once.
     """
-    n = partitions(distinct.sparkSession)
+    n = partitions(distinct.sparkSession, distinct)
     rows, out = _variants(distinct.repartition(n, "fp")), None  # a small table would else be one task, and 64 times as many rows after it
     for level in range(len(_LEVELS) + 1):
         counts = written(rows.groupBy("key").count().where("count > 1"), "variants")
@@ -192,8 +193,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with one document of each component: the one with the smallest id, a null id coming last.
 
     A row is known by its id and its text, so rows that share an id alone are told apart; of rows that
-    share both, the one whose other columns come first in order stays. A component is decided on
-    ids and hashes only. The texts move once, to meet the rows that stay, whatever the size.
+    share both, the one whose other columns come first in order stays, maps being ordered as JSON. A component is
+    decided on ids and hashes only. The texts move once, to meet the rows that stay, whatever the size. Other columns
+    may have any names and types; null and empty texts are texts without words; no rows give none.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
@@ -203,11 +205,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = fps.groupBy("doc_id", "h").agg(F.count("*").alias("_rows")).where("_rows > 1")
     keep = alone.union(chosen).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     keep = written(keep.join(copies, keep["_id"].eqNullSafe(copies["doc_id"]) & (keep["_h"] == copies["h"]), "left").select("_id", "_h", F.coalesce("_rows", F.lit(1)).alias("_rows")), "kept")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
-    out = docs.join(keep.where("_rows = 1").hint("shuffle_hash"), same, "left_semi")
-    again = keep.where("_rows > 1")
+    name = unused("_kept", docs)  # whatever names docs have, one column of ours is another one
+    stay = keep.select(F.struct("_id", "_h", "_rows").alias(name))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{name}._id")) & (F.xxhash64(docs[text_col]) == F.col(f"{name}._h"))
+    out = docs.join(stay.where(f"{name}._rows = 1").hint("shuffle_hash"), same, "left_semi")
+    again = stay.where(f"{name}._rows > 1")
     if again.head(1):
         twice = docs.join(again, same, "left_semi")
-        key = [F.col(id_col).alias("_i"), F.xxhash64(text_col).alias("_t")]
-        out = out.unionByName(twice.groupBy(*key).agg(F.min(F.struct(*twice.columns)).alias("row")).select("row.*"))
+        ordered = [F.to_json(f.name) if re.search("map<|variant", f.dataType.simpleString()) else F.col(f.name) for f in docs.schema]
+        first = F.min_by(F.struct(*twice.columns), F.struct(*(c.alias(f"c{i}") for i, c in enumerate(ordered))))
+        out = out.unionByName(twice.groupBy(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t")).agg(first.alias("row")).select("row.*"))
     return out

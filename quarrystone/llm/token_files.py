@@ -99,7 +99,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str =
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(partitions(spark, rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

@@ -70,3 +70,12 @@ def test_one_source_ties_nulls_and_no_rows(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.mix(blank).collect()] == [(0, 0.0, 0)] * 2
     same = spark.createDataFrame([(None, "a", "x y"), (None, "a", "x y"), (3, "a", "x y"), (3, "a", "x y")], schema)
     assert sum(r.taken for r in mixing.mix(same).collect()) == 8
+
+
+def test_any_other_columns(spark):
+    rows = [(i, "s" if i % 3 else "t", "a b c", 1, 2, 3, 4, 5, {"k": i}) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _whole int, _cutoff int, _source int, _times int, _mix int, whole map<string,int>")
+    taken = {r.doc_id: r.repeats for r in mixing.mix(docs, bucket=4).collect()}
+    mix = mixing.mixed(docs, bucket=4)
+    assert mix.columns == docs.columns
+    assert sorted(map(str, mix.collect())) == sorted(str(r) for r in docs.collect() for _ in range(taken[r.doc_id]))

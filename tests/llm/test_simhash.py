@@ -94,3 +94,11 @@ def test_one_id_with_different_texts_and_links_through_a_row_without_id(spark):
     bridge = spark.createDataFrame([(4, 0, 0b111), (None, 0, 0), (3, 0, 0b111000), (8, 0, 1 << 40 | 0b1111 << 50)], "doc_id long, h long, fp long")
     found = {r.fp: r.root for r in simhash._components(bridge, 1024).collect()}
     assert found.keys() == {0b111, 0, 0b111000} and len(set(found.values())) == 1
+
+
+def test_any_other_columns(spark):
+    rows = [(1, "q r s t u", 5, 6, 7, {"a": 1}, b"x"), (1, "q r s t u", 5, 6, 7, {"a": 0}, b"x"), (1, "q r s t u", 5, 6, 7, None, b"y"), (2, "Q R S T U", 0, 0, 0, None, None), (3, "another text of its own here", 1, 1, 1, {}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _h long, _rows int, _kept map<string,int>, fp binary")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[2], rows[4]], key=str)
