@@ -25,7 +25,7 @@ from .common import small_batches, texts
 
 #: Bounds of the training sample: documents of either label, and bytes of one, which is used whole.
 GOOD_DOCS, BAD_DOCS, DOC_BYTES = 1500, 1500, 8192
-#: Lines, with padding, whose likelihood is computed at once in training.
+#: Lines, with padding, that are worked on at once, in training and in decoding; a longer text is by itself.
 CELLS = 200_000
 #: Gradient steps of the first fit, and of each of the fits of the whole field.
 STEPS, ROUNDS = (60, 40), 2
@@ -129,11 +129,8 @@ class Field:
     def viterbi(self, lines: Lines, chosen: np.ndarray) -> np.ndarray:
         """Label of every line of the chosen documents; -1 for other lines. Ties go to content."""
         out = np.full(len(lines.features), -1)
-        order = chosen[np.argsort(lines.sizes[chosen], kind="stable")]
         scores = lines.features @ self.emit
-        for group in np.array_split(order, max(1, len(order) // 64)):
-            if not len(group):
-                continue
+        for group in (chosen[alike] for alike in _alike(lines.sizes[chosen]) if len(alike)):
             rows, present = _padded(lines, group)
             own = scores[rows]
             best, back = own[:, 0], []
@@ -272,7 +269,8 @@ def _judged(values: list[bytes], field: Field, content_share: float) -> tuple[Li
 def judge(docs: DataFrame, labels: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:
     """The counts, base_failed, kept and content_share (null where base_failed) of every row of docs.
 
-    Null and empty texts have no words and fail. Repeated rows are judged each. Null labels, and
+    Null and empty texts have no words and fail. Repeated rows are judged each. Windows of words are told apart by 64 bits
+    of a hash. Null labels, and
     labels of unknown documents, are left out; without labels of both kinds every line is content.
     Null ids stay null. No rows give none.
     """
