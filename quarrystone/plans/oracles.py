@@ -6,7 +6,7 @@ from ..functions import legal as L
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import audit as U
-from .queries import QUERIES, QUERY
+from .queries import QUERIES, QUERY, TOP
 from .structure_sql import PAGE_STRUCTURE
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -57,7 +57,6 @@ mean AS (SELECT label, i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM parts GROUP
 q AS (SELECT label, list(x ORDER BY i) AS v FROM mean GROUP BY label),
 pairs AS (SELECT q.label, vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), q.v), 6) AS s FROM embeddings e JOIN q ON true)
 SELECT CAST(label AS BIGINT) AS label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS INTEGER) AS rank, round(s, 4) AS score FROM pairs QUALIFY rank <= 10"""
-ECTOR_TOPK = _ranked(_vectors("vec_id = 0"), 10, "id AS vec_id")
 VECTOR_TOPK_MULTI = _ranked(_vectors("vec_id % 50 = 0"), 5, "qid, id AS vec_id")
 
 _CHUNK_ROWS = "SELECT doc_id, text, ['generic', 'article', 'heading', 'footnote', 'amendment'][doc_id % 5 + 1] AS chunk_type, doc_id % 30 + 1 AS page FROM documents"
@@ -239,16 +238,28 @@ hits AS (
   SELECT qid, ord, 0 AS d, chunk_pos FROM asked JOIN postings ON kind = 'article' AND postings.key = asked.key
   UNION ALL SELECT qid, ord, 1, chunk_pos FROM asked JOIN postings ON kind = 'tag' AND postings.key = 'ref_article_' || asked.key),
 firsts AS (SELECT qid, chunk_pos, min(ROW(ord, d, chunk_pos)) AS place FROM hits GROUP BY ALL)
-SELECT qid, chunk_pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS rank FROM firsts"""
-RIORITY_LOOKUP = f"""
-WITH {_LEGAL}, ids AS (
-  SELECT o_orderkey AS qid, ['352', CAST(o_orderkey % 3 + 19 AS VARCHAR), '22', '32'] AS a FROM orders WHERE o_orderkey % 5 = 2),
-asked AS (SELECT qid, unnest(a) AS key, unnest(range(0, len(a))) AS ord FROM ids),
-hits AS (
-  SELECT qid, ord, 0 AS d, chunk_pos FROM asked JOIN postings ON kind = 'article' AND postings.key = asked.key
-  UNION ALL SELECT qid, ord, 1, chunk_pos FROM asked JOIN postings ON kind = 'tag' AND postings.key = 'ref_article_' || asked.key),
-firsts AS (SELECT qid, chunk_pos, min(ROW(ord, d, chunk_pos)) AS place FROM hits GROUP BY ALL)
-SELECT qid, chunk_pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS rank FROM firsts"""
+SELECT qid, chunk_pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS rank FROM firsts QUALIFY rank <= {TOP}"""
+STRUCTURAL_LOOKUP = f"""
+WITH {_LEGAL}, asked AS (
+  SELECT o_orderkey AS qid, CASE o_orderkey % 5 WHEN 0 THEN 'What is entry ' || (o_orderkey % 40 + 1) || 'a of the State List and of list 3?' WHEN 1 THEN 'Entry ' || (o_orderkey % 40 + 1) || 'A, please'
+    WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'All of the State  List' ELSE 'LIST 2 or the Union List' END WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'the Ninth Schedule' ELSE 'Sch. 7 and schedule IX' END
+    ELSE 'Part ' || {list(L.ROMAN)}[o_orderkey % 12 + 1] END AS q FROM orders),
+said AS (
+  SELECT qid, list_transform(regexp_extract_all(q, '(?i)\\b(LIST\\s+(?:III|II|I|1|2|3)|UNION\\s+LIST|STATE\\s+LIST|CONCURRENT\\s+LIST)\\b', 1),
+      lambda x: CASE WHEN regexp_matches(x, '(?i)union|list +(i|1)$') THEN 'I' WHEN regexp_matches(x, '(?i)state|(ii|2)$') THEN 'II' ELSE 'III' END) AS lists,
+    list_transform(regexp_extract_all(q, '(?i)\\bEntry\\s+(\\d+[A-Z]?)\\b', 1), lambda x: upper(x)) AS entries,
+    list_transform(list_concat(regexp_extract_all(q, '(?i)\\b(NINTH|SEVENTH)\\s+SCHEDULE\\b', 1), regexp_extract_all(q, '(?i)\\b(?:Schedule|Sch\\.?)\\s+([IVXLC]+|\\d+)\\b', 1)),
+      lambda x: CASE WHEN upper(x) IN ('NINTH', 'IX', '9') THEN 'IX' WHEN upper(x) IN ('SEVENTH', 'VII', '7') THEN 'VII' END) AS schedules,
+    list_transform(regexp_extract_all(q, '(?i)Part\\s+([IVXLC]+)', 1), lambda x: upper(x)) AS parts FROM asked),
+keys AS (
+  SELECT qid, 2 AS prio, 'part' AS kind, unnest(parts) AS key, unnest(range(0, len(parts))) AS ord FROM said
+  UNION ALL SELECT qid, 3, 'entry', l || ':' || unnest(entries), ord * 1000 + unnest(range(0, len(entries))) FROM (SELECT qid, entries, unnest(lists) AS l, unnest(range(0, len(lists))) AS ord FROM said)
+  UNION ALL SELECT qid, 4, 'schedule', unnest(schedules), unnest(range(0, len(schedules))) FROM said
+  UNION ALL SELECT qid, 5, 'list', unnest(lists), unnest(range(0, len(lists))) FROM said WHERE len(entries) = 0
+  UNION ALL SELECT qid, 6, 'any', unnest(entries), unnest(range(0, len(entries))) FROM said WHERE len(lists) = 0),
+known AS (SELECT kind, key, chunk_pos FROM postings UNION ALL SELECT 'any', split_part(key, ':', 2), chunk_pos FROM postings WHERE kind = 'entry'),
+firsts AS (SELECT qid, chunk_pos, min(ROW(prio, ord, chunk_pos)) AS place FROM keys JOIN known USING (kind, key) GROUP BY ALL)
+SELECT qid, chunk_pos, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS rank FROM firsts QUALIFY rank <= {TOP}"""
 HEADS_FIRST = """
 WITH n AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS nth FROM lineitem)
 SELECT l_orderkey, l_suppkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY nth > 1, l_suppkey, nth) AS INTEGER) AS rank FROM n"""
@@ -256,10 +267,6 @@ SYNTHETIC_FALLBACK = """
 SELECT o_orderkey AS qid, CAST(o_orderkey % 395 + 1 AS VARCHAR) AS article_id, CAST(-1 AS BIGINT) AS chunk_pos, 'amendment' AS chunk_type,
   'No ' || ['footnote', 'omission/amendment note', 'insertion/amendment note', 'amendment/editorial note'][o_orderkey % 5 + 1] || ' for Article ' || (o_orderkey % 395 + 1) || ' was found in the retrieved Constitution context.' AS text
 FROM orders WHERE o_orderkey % 5 < 4 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"""
-YNTHETIC_FALLBACK = """
-SELECT o_orderkey AS qid, CAST(o_orderkey % 395 + 1 AS VARCHAR) AS article_id, CAST(-1 AS BIGINT) AS chunk_pos,
-  'No retrieved amendment or footnote evidence was found for Article ' || (o_orderkey % 395 + 1) || '.' AS text, true AS synthetic, false AS display_citation
-FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"""
 PAGE_WINDOW = """
 SELECT d.doc_id, CAST(p.page AS INTEGER) AS page, coalesce(c.text, '') AS text, c.text IS NULL AS missing
 FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d CROSS JOIN (SELECT unnest(range(0, 6)) AS page) p
@@ -310,9 +317,6 @@ WITH {_CITED}, images AS (SELECT DISTINCT filename, page, filename || '/' || pag
 SELECT qid, rank, synthetic AS note, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS text,
   CASE WHEN NOT synthetic AND row_number() OVER (PARTITION BY qid, filename, page ORDER BY rank) = 1 THEN image_path END AS image_path
 FROM cited LEFT JOIN images USING (filename, page)"""
-LEAN_ANSWER = """
-SELECT conv_id, turn, trim(regexp_replace(text || chr(10) || CASE WHEN turn % 2 = 0 THEN 'The right to Privacy and health.' || chr(10) ELSE '' END
-  || CASE WHEN turn % 3 = 0 THEN '' ELSE 'Under the IPC.' || chr(10) END || 'kept' || chr(10) || chr(10) || 'End', '^\\s+|\\s+$', '', 'g')) AS cleaned FROM conversations"""
 _STORED = """stored AS (
   SELECT *, page AS page_start, page + CASE WHEN chunk_id = 2 THEN -1 ELSE 1 END AS page_end FROM (
     SELECT CASE WHEN conv_id % 17 > 0 THEN conv_id END AS doc_id, 'f' || (conv_id % 3) || '.pdf' AS filename, turn - CASE WHEN conv_id % 11 = 0 THEN turn % 2 ELSE 0 END AS chunk_id, conv_id * 1000 + turn AS chunk_pos,
@@ -331,12 +335,6 @@ WITH {_STORED}, keys AS (SELECT unnest(['chunk_type', 'source_extraction', 'arti
 sums AS (SELECT section, key, count(*) AS n FROM keys WHERE section <> 'article' OR key <> '' GROUP BY ALL)
 SELECT section, key, n FROM sums QUALIFY section <> 'article' OR row_number() OVER (PARTITION BY section ORDER BY n DESC, key) <= 20"""
 STORE_DOCUMENTS = f"WITH {_STORED} SELECT doc_id, string_agg(DISTINCT filename, ',' ORDER BY filename) AS filenames FROM stored GROUP BY doc_id"
-ALIDATE_STORE = """
-WITH rows AS (SELECT conv_id AS doc_id, turn % 5 AS chunk_id, turn * 3 % 7 AS page, CASE WHEN turn % 4 = 3 THEN ' ' ELSE text END AS text, CASE WHEN role = 'user' THEN 'generic' ELSE role END AS chunk_type,
-  count(*) OVER (PARTITION BY conv_id, turn % 5) AS n FROM conversations)
-SELECT 'missing_field' AS issue, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'empty_text', count(*) FROM rows WHERE trim(text) = ''
-UNION ALL SELECT 'unknown_type', count(*) FROM rows WHERE chunk_type NOT IN ('article', 'clause', 'heading', 'footnote', 'amendment', 'generic')
-UNION ALL SELECT 'duplicate_key', count(*) FROM rows WHERE n > 1 UNION ALL SELECT 'page_below_one', count(*) FROM rows WHERE page < 1"""
 _VALID = """changed AS (
   SELECT chunk_pos, CASE WHEN chunk_pos % 7 = 0 THEN '1' ELSE article_id END AS article_id, CASE WHEN chunk_pos % 13 = 0 THEN 'X' ELSE schedule_id END AS schedule_id,
     CASE WHEN chunk_pos % 17 = 0 THEN 'I' ELSE list_id END AS list_id, entry_id FROM legal WHERE chunk_pos % 10 > 0)"""
@@ -373,10 +371,6 @@ pairs AS (
     ON o.doc = o.last_doc AND l.chunk_pos // 100 = o.doc AND l.chunk_pos > o.last AND l.article_id = '' AND NOT EXISTS (SELECT 1 FROM legal e WHERE e.article_id <> '' AND e.chunk_pos > o.last AND e.chunk_pos < l.chunk_pos)),
 shown AS (SELECT qid, article_id, chunk_pos, CASE WHEN notes THEN 'amendment' WHEN lead THEN 'article' ELSE 'clause' END AS chunk_type, CASE WHEN notes THEN note ELSE body END AS text FROM pairs)
 SELECT qid, article_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY chunk_pos) AS INTEGER) AS rank, chunk_pos, chunk_type, text FROM shown WHERE text <> ''"""
-ALIDATE_INDEX = f"""
-WITH {_LEGAL}
-SELECT kind, key, p.chunk_pos, CASE WHEN p.chunk_pos % 10 = 0 THEN 'out_of_range' WHEN kind = 'article' THEN 'article_mismatch' END AS issue
-FROM postings p WHERE p.chunk_pos % 10 = 0 OR kind = 'article' AND p.chunk_pos % 7 = 0 AND key <> '1'"""
 EVAL_SUMMARY = """
 SELECT coalesce(lang, '(all)') AS category, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)"""
@@ -410,9 +404,6 @@ PAGE_FALLBACK = """
 WITH pages AS (SELECT conv_id AS doc_id, turn + 1 AS page, text, turn // 3 = conv_id % 3 AS blank FROM conversations),
 good AS (SELECT *, bool_or(NOT blank AND trim(text) <> '') OVER (PARTITION BY doc_id, (page - 1) // 3) AS good FROM pages)
 SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN good THEN CASE WHEN blank THEN ' ' ELSE text END ELSE 'b: ' || text END AS text, CASE WHEN good THEN 'primary' ELSE 'secondary' END AS source FROM good"""
-VAL_SUMMARY = """
-SELECT coalesce(lang, '(all)') AS category, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS passed, count(*) AS total
-FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)"""
 BLOCK_TEXT = r"SELECT conv_id, turn, regexp_replace(replace(text, chr(13), ''), '^\s+|\s+$', '', 'g') AS text FROM conversations"
 
 ORACLES: dict[str, str] = {

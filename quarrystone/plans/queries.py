@@ -11,6 +11,8 @@ from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index,
 from ..tables import spread
 
 QUERY = "the thing and tion for a remedy"
+#: Chunks that a lookup by identifiers returns for each query.
+TOP = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,15 +177,30 @@ def _lookup_question() -> Column:
 
 
 def priority_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's question for two articles and those that belong with them."""
+    """The first chunks for every order's question for two articles and those that belong with them."""
     queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), _lookup_question().alias("query"))
-    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)))
+    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)), TOP)
 
 
 def priority_lookup_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every order's question of five shapes, with its parts; priority_lookup has shapes that its SQL can say."""
+    """The same for questions of five shapes, with their parts; priority_lookup has shapes that its SQL can say."""
     queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), _question().alias("query"))
-    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)))
+    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)), TOP)
+
+
+def structural_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunks for every order's question for an entry of a list, an entry of any list, a list, a schedule or a part."""
+    n = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    asked = (
+        F.when(n % 5 == 0, text("What is entry ", n % 40 + 1, "a of the State List and of list 3?"))
+        .when(n % 5 == 1, text("Entry ", n % 40 + 1, "A, please"))
+        .when(n % 5 == 2, F.when(n % 2 == 0, "All of the State  List").otherwise("LIST 2 or the Union List"))
+        .when(n % 5 == 3, F.when(n % 2 == 0, "the Ninth Schedule").otherwise("Sch. 7 and schedule IX"))
+        .otherwise(text("Part ", F.element_at(F.array(*map(F.lit, L.ROMAN)), (n % 12 + 1).cast("int"))))
+    )
+    queries = table(spark, d, "orders").select(n.alias("qid"), asked.alias("query"))
+    return index.lookup(index.identifiers(queries), index.build_postings(_legal_chunks(spark, d)), TOP)
 
 
 def heads_first(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +433,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
-        editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, heads_first,
+        editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
