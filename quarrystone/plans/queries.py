@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import legal as L
 from ..functions import text as T
 from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index, pages, search, segment
+from ..sources import store
 from ..tables import spread
 
 QUERY = "the thing and tion for a remedy"
@@ -335,6 +336,17 @@ def validate_index(spark: SparkSession, d: str) -> DataFrame:
     return audit.index_issues(index.build_postings(rows), now)
 
 
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of an index stored as JSON, a text for each key, in which some keys have no list and some values are no positions."""
+    rows = _legal_chunks(spark, d).withColumns({"schedule_id": F.when(F.col("schedule_id") != "", "IX").otherwise(""), "list_id": F.when(F.col("list_id") != "", "II").otherwise("")})
+    keys = index.build_postings(rows).groupBy("kind", "key").agg(F.array_sort(F.collect_set("chunk_pos")).alias("places"))
+    case, known = F.col("places")[0] % 7, F.array_join(F.col("places").cast("array<string>"), ",")
+    body = F.when(case == 0, '"n/a"').when(case == 1, F.concat(F.lit("["), known, F.lit(',"x"]'))).when(case == 2, F.concat(F.lit("[1000000000,"), known, F.lit("]"))).when(case == 3, F.concat(F.lit("["), known, F.lit(",1.5,{}]"))).otherwise(F.concat(F.lit("["), known, F.lit("]")))
+    group = F.create_map(*(F.lit(x) for stored, kind in audit.GROUPS.items() for x in (kind, stored)))[F.col("kind")]
+    raw = keys.select(F.concat(F.when(case == 4, "\ufeff").otherwise(""), F.lit('{"'), group, F.lit('":{"'), "key", F.lit('":'), body, F.lit("}}")).alias("value"))
+    return audit.stored_index_issues(store.index_values(raw), rows.where("chunk_pos % 10 > 0"))
+
+
 def article_bundles(spark: SparkSession, d: str) -> DataFrame:
     """The bundles of every article that some chunk may be of, with and without notes."""
     rows = _legal_chunks(spark, d).withColumn("chunk_type", F.when(F.col("article_id") != "", "article").otherwise("clause")).withColumn("page_start", F.col("page"))
@@ -434,7 +446,7 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
         editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
-        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
+        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
     )

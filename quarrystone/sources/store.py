@@ -59,10 +59,26 @@ def read_metadata(spark: SparkSession, path: str, schema: T.StructType = CHUNKS)
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(kind, key, chunk_pos) of an index kept as a JSON object of maps; what cannot be read gives no rows."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
-    kinds = F.from_json("v", T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.LongType()))), {"mode": "PERMISSIVE"})
-    keys = raw.select(F.explode(kinds).alias("kind", "keys")).select("kind", F.explode("keys").alias("key", "places"))
-    return keys.select("kind", "key", F.explode("places").alias("chunk_pos"))
+    return index_values(spark.read.text(path, wholetext=True)).where("chunk_pos IS NOT NULL").select("kind", "key", "chunk_pos")
+
+
+def index_values(raw: DataFrame) -> DataFrame:
+    """(kind, key, place, chunk_pos, type) of every value of indexes kept as JSON objects of maps in the column `value`.
+
+    place counts from 0 in a key's list, and is null for a key without a list; chunk_pos is null unless the value is a
+    whole number. Empty lists have no values, and neither have texts that are no JSON objects.
+    """
+    return raw.sparkSession.sql(
+        """
+        WITH parsed AS (SELECT try_parse_json(regexp_replace(value, '^\ufeff', '')) AS v FROM {raw}),
+        kinds AS (SELECT k.key AS kind, k.value AS keys FROM parsed, LATERAL variant_explode(v) k WHERE schema_of_variant(v) LIKE 'OBJECT%'),
+        found AS (SELECT kind, e.key, e.value, schema_of_variant(e.value) AS type FROM kinds, LATERAL variant_explode(keys) e WHERE schema_of_variant(keys) LIKE 'OBJECT%'),
+        listed AS (SELECT kind, f.key, p.pos, p.value, schema_of_variant(p.value) AS type FROM found f, LATERAL variant_explode(f.value) p WHERE f.type LIKE 'ARRAY%')
+        SELECT kind, key, pos AS place, CASE WHEN type = 'BIGINT' THEN variant_get(value, '$', 'bigint') END AS chunk_pos, type FROM listed
+        UNION ALL SELECT kind, key, NULL, NULL, type FROM found WHERE type NOT LIKE 'ARRAY%'
+        """,
+        raw=raw,
+    )
 
 
 class Store:

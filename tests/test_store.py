@@ -131,3 +131,10 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.select("file_hash").distinct().count() == 2 and got.where("doc_id > 10").count() == 0
     assert [r.chunk_id for r in got.where("doc_id = 3").orderBy("chunk_id").collect()][:2] == [0, 1]
+
+
+def test_values_of_a_malformed_index(spark):
+    raw = spark.createDataFrame([('\ufeff{"articles":{"21":[0,"x",1.5,{"a":1},null],"22":"no","23":7,"24":[]},"tags":{},"parts":[1],"lists":4}',), ("[1]",), ("not JSON",), (None,)], "value string")
+    got = sorted(map(str, store.index_values(raw).select("kind", "key", "place", "chunk_pos").collect()))
+    values = [("articles", "21", p, 0 if p == 0 else None) for p in range(5)] + [("articles", k, None, None) for k in ("22", "23")]
+    assert got == sorted(str(spark.createDataFrame([v], "kind string, key string, place int, chunk_pos long").first()) for v in values)
