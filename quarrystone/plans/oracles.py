@@ -410,7 +410,38 @@ PAGE_FALLBACK = """
 WITH pages AS (SELECT conv_id AS doc_id, turn + 1 AS page, text, turn // 3 = conv_id % 3 AS blank FROM conversations),
 good AS (SELECT *, bool_or(NOT blank AND trim(text) <> '') OVER (PARTITION BY doc_id, (page - 1) // 3) AS good FROM pages)
 SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN good THEN CASE WHEN blank THEN ' ' ELSE text END ELSE 'b: ' || text END AS text, CASE WHEN good THEN 'primary' ELSE 'secondary' END AS source FROM good"""
-BLOCK_TEXT = r"SELECT conv_id, turn, regexp_replace(replace(text, chr(13), ''), '^\s+|\s+$', '', 'g') AS text FROM conversations"
+_BLOCKED = """CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.blocks') = 'ARRAY' THEN [json_extract(j, '$.blocks')]
+  WHEN json_type(j) = 'ARRAY' AND json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) IS DISTINCT FROM 'OBJECT' OR NOT list_contains(json_keys(x), 'blocks'))) = 0
+    THEN list_transform(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x, '$.blocks') = 'ARRAY'), lambda x: json_extract(x, '$.blocks'))
+  WHEN json_type(j) = 'ARRAY' AND json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) IS DISTINCT FROM 'OBJECT' OR NOT list_contains(json_keys(x), 'text'))) = 0 THEN [j] END"""
+BLOCK_TEXT = rf"""
+WITH RECURSIVE made AS (
+  SELECT conv_id, turn, text, (conv_id + turn) % 8 AS c, to_json({{'text': text, 'reading_order': 2, 'layout_tag': 'footnote'}}) AS note,
+    to_json({{'text': 'end of ' || turn, 'layout_tag': 'paragraph', 'coordinates': {{'y1': 5, 'x1': turn}}}}) AS last FROM conversations),
+paged AS (
+  SELECT *, '[' || note || ',' || last || ']' AS plain, '{{"blocks":[{{"text":"skip","layout_tag":"Header","reading_order":0}},' || last || ',' || note || ',7,{{"text":"5. Title","reading_order":"1","layout_tag":"paragraph"}}]}}' AS page FROM made),
+raw AS (
+  SELECT conv_id, turn, CASE c WHEN 0 THEN 'page: ' || page WHEN 1 THEN '```json' || chr(10) || page || chr(10) || '```' WHEN 2 THEN '{{"meta":{{"n":1}},"result":{{"pages":[' || page || ']}}}}' WHEN 3 THEN plain
+    WHEN 4 THEN '[' || page || ',' || page || ']' WHEN 5 THEN '[{{"blocks":"none"}},' || page || ']' WHEN 6 THEN '{{"z":{{"blocks":' || plain || '}},"a":' || page || '}}' ELSE 'no JSON ' || text END AS content FROM paged),
+chosen AS (
+  SELECT conv_id, turn, list_filter([regexp_extract(content, '(?s)^```(?:json)?\s*(.*?)\s*```$', 1), content, regexp_extract(content, '(?s)\{{.*\}}'), regexp_extract(content, '(?s)\[.*\]')], lambda x: x <> '' AND json_valid(x))[1] AS j FROM raw),
+nodes AS (
+  SELECT conv_id, turn, CAST([] AS BIGINT[]) AS path, CAST(j AS JSON) AS j FROM chosen WHERE j IS NOT NULL
+  UNION ALL
+  SELECT conv_id, turn, path || [i], inside[i] FROM (
+    SELECT conv_id, turn, path, inside, unnest(range(1, len(inside) + 1)) AS i FROM (
+      SELECT *, CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: json_extract(j, '$."' || k || '"')) WHEN 'ARRAY' THEN json_extract(j, '$[*]') END AS inside FROM nodes WHERE {_BLOCKED} IS NULL))),
+hits AS (SELECT conv_id, turn, path, {_BLOCKED} AS pages FROM nodes),
+first AS (SELECT conv_id, turn, arg_min(pages, path) AS pages FROM hits WHERE len(pages) > 0 GROUP BY ALL),
+rows AS (SELECT conv_id, turn, unnest(json_extract(pages[1], '$[*]')) AS b, unnest(range(0, CAST(json_array_length(pages[1]) AS BIGINT))) AS i FROM first WHERE len(pages) = 1),
+told AS (
+  SELECT conv_id, turn, i, coalesce(try_cast(b->>'reading_order' AS DOUBLE), 'infinity') AS place, coalesce(try_cast(b->>'$.coordinates.y1' AS DOUBLE), 'infinity') AS y, coalesce(try_cast(b->>'$.coordinates.x1' AS DOUBLE), 'infinity') AS x,
+    lower(trim(coalesce(b->>'layout_tag', ''))) AS layout, {_STRIP.format("coalesce(b->>'text', '')")} AS text FROM rows WHERE json_type(b) = 'OBJECT'),
+read AS (SELECT *, lag(layout) OVER (PARTITION BY conv_id, turn ORDER BY place, y, x, i) AS before FROM told WHERE text <> '' AND layout NOT IN ('header', 'image', 'image-caption', 'page-number', 'table')),
+texts AS (
+  SELECT conv_id, turn, string_agg(CASE WHEN layout IN ('section-title', 'title', 'headline') OR regexp_matches(text, '(?i)^(?:PART\s+[IVXLC]+|(?:Article|Art\.?)\s+\d+[A-Z]?\b|\d+[A-Z]?\.\s+[A-Z])') OR (before = 'footnote' AND layout <> 'footnote') THEN chr(10) ELSE '' END || text, chr(10) ORDER BY place, y, x, i) AS text
+  FROM read GROUP BY ALL)
+SELECT conv_id, turn, {_STRIP.format('found')} AS text FROM conversations c LEFT JOIN (SELECT conv_id, turn, text AS found FROM texts) t USING (conv_id, turn)"""
 
 ORACLES: dict[str, str] = {
     name.lower(): sql for name, sql in list(globals().items())

@@ -384,8 +384,20 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_text(spark: SparkSession, d: str) -> DataFrame:
-    block = F.to_json(F.struct(F.array(F.struct(F.col("text"), F.col("turn").alias("reading_order"), F.lit("paragraph").alias("layout_tag"))).alias("blocks")))
-    return table(spark, d, "conversations").select("conv_id", "turn", blocks.readable_text(F.concat(F.lit("page: "), block)).alias("text"))
+    """Payloads of eight shapes: bare, fenced, nested, a list of blocks, lists of pages, in an order of their own, and none."""
+    block = lambda **fields: F.to_json(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items())))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    note = block(text=F.col("text"), reading_order=2, layout_tag="footnote")
+    end = F.concat(F.lit("end of "), F.col("turn"))
+    last = F.to_json(F.struct(end.alias("text"), F.lit("paragraph").alias("layout_tag"), F.struct(F.lit(5).alias("y1"), F.col("turn").alias("x1")).alias("coordinates")))
+    every = text("[", block(text="skip", layout_tag="Header", reading_order=0), ",", last, ",", note, ",7,", block(text="5. Title", reading_order="1", layout_tag="paragraph"), "]")
+    plain, page = text("[", note, ",", last, "]"), text('{"blocks":', every, "}")
+    case = (F.col("conv_id") + F.col("turn")) % 8
+    content = (
+        F.when(case == 0, text("page: ", page)).when(case == 1, text("```json\n", page, "\n```")).when(case == 2, text('{"meta":{"n":1},"result":{"pages":[', page, "]}}")).when(case == 3, plain)
+        .when(case == 4, text("[", page, ",", page, "]")).when(case == 5, text('[{"blocks":"none"},', page, "]")).when(case == 6, text('{"z":{"blocks":', plain, '},"a":', page, "}")).otherwise(text("no JSON ", F.col("text")))
+    )
+    return blocks.readable_pages(table(spark, d, "conversations").select("conv_id", "turn", content.alias("content")), ["conv_id", "turn"], "content")
 
 
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
