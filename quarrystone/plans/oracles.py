@@ -129,8 +129,11 @@ def _chain(text: str, steps: list[tuple[str, str]]) -> str:
     return text
 
 
-_RAW_PAGE = r"""'THE CONSTITUTION OF INDIA' || chr(10) || conv_id || chr(10) || '$^{2}[**' || replace(text, ' ', '  ') || '** $ ' || repeat(chr(10), 4) || '  end "x'"""
-NORMALIZE_TEXT = "SELECT conv_id, turn, " + _STRIP.format(_chain(_RAW_PAGE, [
+_RAW_PAGE = r"""'THE CONSTITUTION OF INDIA' || chr(10) || conv_id || chr(10) || '$^{2}[**' || replace(text, ' ', '  ') || '** $ ' || repeat(chr(10), 4) || '  end â€œx'"""
+_REPAIRED = _RAW_PAGE
+for _bad, _good in T.MOJIBAKE:
+    _REPAIRED = f"replace({_REPAIRED}, {_quoted(_bad)}, {_quoted(_good)})"
+NORMALIZE_TEXT = "SELECT conv_id, turn, " + _STRIP.format(_chain(_REPAIRED, [
     (r"\$\^\{\d+\}\[", ""), (r"\\mathrm\{([A-Z])\.\}", r"\1."), (r"\$", ""), (r"\*\*", ""), (r"(?m)^(\d+[A-Z]?\.\s+[^\n]{3,}?\.)\s*[-–—]\s*(\(.+)$", "\\1\n\\2"), (r"(?mi)^(?:THE\s+CONSTITUTION\s+OF\s+INDIA)\s*$", ""),
     (r"(?m)^\s*\d+\s*$", ""), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"(?m)[ \t\r]+$", ""),
 ])) + " AS text FROM conversations"
@@ -193,14 +196,25 @@ WITH ends AS (SELECT p_partkey, p_size % 60 + 1 AS a, p_partkey % 60 + 1 AS b, p
 found AS (SELECT p_partkey, CASE WHEN lettered THEN [CAST(a AS VARCHAR), b || 'A']
   ELSE list_transform(CASE WHEN a <= b THEN range(a, b + 1) ELSE range(a, b - 1, -1) END, lambda n: CAST(n AS VARCHAR)) END AS ids FROM ends)
 SELECT p_partkey, CAST(unnest(range(0, len(ids))) AS INTEGER) AS pos, unnest(ids) AS article FROM found"""
-CANONICAL_IDS = """
-SELECT p_partkey, ['VII', 'VIII', 'IX', 'XII', '13', 'I', '', 'II', 'II', ''][p_partkey % 10 + 1] AS schedule_id,
-  ['I', 'II', 'I', 'II', 'III', '', '', 'III', 'II', ''][p_partkey % 10 + 1] AS list_id, p_size || 'A' AS entry_id FROM part"""
+_UPPER = r"upper(regexp_replace(trim({}), '[\[\](){{}}.]', '', 'g'))"
+CANONICAL_IDS = rf"""
+WITH raw AS (
+  SELECT p_partkey, p_size, ['Seventh', ' [viii] ', '9th', '12', '13', 'first', '', 'second.', '2nd', 'xyz'][p_partkey % 10 + 1] AS s, ['Union List', 'state list', '1', 'II', 'list 3', '4', 'l1', ' (iii) ', '11', ''][p_partkey % 10 + 1] AS l FROM part),
+bare AS (SELECT p_partkey, p_size, regexp_replace({_UPPER.format('s')}, '^(\d+)(?:ST|ND|RD|TH)$', '\1') AS s, regexp_replace({_UPPER.format('l')}, '^LIST\s+', '') AS l FROM raw),
+named AS (SELECT *, list_position({list(L.ORDINALS)}, s) AS nth, try_cast(s AS INTEGER) AS n, CASE WHEN regexp_matches(l, '^[I1]+$') THEN replace(l, '1', 'I') ELSE l END AS li FROM bare)
+SELECT p_partkey, CASE WHEN nth > 0 THEN {list(L.ROMAN)}[nth] WHEN n BETWEEN 1 AND 12 THEN {list(L.ROMAN)}[n] WHEN regexp_matches(s, '^(\d+|[IVXLC]+)$') THEN s ELSE '' END AS schedule_id,
+  CASE WHEN list_position({list(L.LISTS)}, li) > 0 THEN {list(L.ROMAN)}[list_position({list(L.LISTS)}, li)] WHEN li IN ('1', 'I') THEN 'I' WHEN li IN ('2', 'II') THEN 'II' WHEN li IN ('3', 'III') THEN 'III' ELSE '' END AS list_id,
+  {_UPPER.format("' [' || p_size || 'a.] '")} AS entry_id FROM named"""
+_PLAIN_QUERY = "q"
+for _pattern in T.CONSTITUTION_ONLY:
+    _PLAIN_QUERY = f"regexp_replace({_PLAIN_QUERY}, '(?i){_pattern}', ' ', 'g')"
+_PLAIN_QUERY = rf"trim(regexp_replace({_PLAIN_QUERY}, '\s+', ' ', 'g'))"
 QUERY_MODES = f"""
-WITH {_ASKED}
+WITH {_ASKED}, plain AS (SELECT *, {_PLAIN_QUERY} AS p, regexp_matches(q, '(?i){T.REMEDY}') AND regexp_matches(q, '(?i){T.FUNDAMENTAL_RIGHTS}') AS more FROM asked)
 SELECT o_orderkey, regexp_matches(q, '(?i){T.WANTS_AMENDMENTS}') AS amendments,
-  CASE WHEN regexp_matches(q, '(?i)footnotes?') THEN 'footnote' WHEN regexp_matches(q, '(?i)omitted') THEN 'omission' ELSE 'amendment' END AS label,
-  regexp_matches(q, '(?i){"|".join(T.CONSTITUTION_ONLY)}') AS "only", trim(regexp_replace(regexp_replace(q, '(?i)\\bno\\s+case\\s+law\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS lexical FROM asked"""
+  CASE {' '.join(f"WHEN regexp_matches(q, '(?i){pattern}') THEN '{name}'" for name, pattern in T.AMENDMENT_LABELS)} ELSE 'amendment' END AS label,
+  regexp_matches(q, '(?i){"|".join(T.CONSTITUTION_ONLY)}') AS "only",
+  CASE WHEN p = '' AND NOT more THEN q WHEN more THEN trim(p || ' {T.REMEDY_TERMS}') ELSE p END AS lexical FROM plain"""
 EXPAND_RULES = f"""
 WITH {_ASKED}, base AS (
   SELECT o_orderkey, q, {_numbers('q', r'\bArticles?\s+([^\n?.;:]+)')} AS mentions, {_numbers('q', L.ARTICLE_REF)} AS refs FROM asked),
@@ -271,16 +285,26 @@ PAGE_WINDOW = """
 SELECT d.doc_id, CAST(p.page AS INTEGER) AS page, coalesce(c.text, '') AS text, c.text IS NULL AS missing
 FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d CROSS JOIN (SELECT unnest(range(0, 6)) AS page) p
 LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = p.page"""
-SPLIT_PAGES = """
-SELECT p_partkey AS doc_id, CAST(page AS INTEGER) AS page, text FROM part, LATERAL (
-  SELECT unnest(CASE WHEN p_partkey % 2 = 0 THEN [1, 12] ELSE [1, 3] END) AS page, unnest(CASE WHEN p_partkey % 2 = 0 THEN [p_name, p_type] ELSE [p_name, p_brand] END) AS text)"""
+_PAGE_MARK = r"(?i)---\s*page\s+(\d+)\s*---"
+SPLIT_PAGES = rf"""
+WITH files AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'preamble' || chr(10) || '--- page 1 ---' || chr(10) || p_name || chr(10) || chr(10) || '--- Page 7 ---' || chr(10) || ' ' || chr(10) || '--- page 12 ---' || chr(10) || p_type || chr(10)
+    ELSE p_name || chr(12) || ' ' || chr(12) || p_brand END AS content FROM part),
+cut AS (SELECT *, regexp_extract_all(content, '{_PAGE_MARK}', 1) AS marks, string_split_regex(content, '{_PAGE_MARK}') AS bodies, string_split(content, chr(12)) AS fed FROM files),
+found AS (
+  SELECT p_partkey, unnest(CASE WHEN len(marks) > 0 THEN list_transform(marks, lambda m: CAST(m AS INTEGER)) ELSE CAST(range(1, len(fed) + 1) AS INTEGER[]) END) AS page,
+    unnest(CASE WHEN len(marks) > 0 THEN bodies[2:] ELSE fed END) AS body FROM cut)
+SELECT p_partkey AS doc_id, page, {_STRIP.format('body')} AS text FROM found WHERE {_STRIP.format('body')} <> ''"""
 JSON_BLOCKS = "SELECT event_id, json_extract_string(props, '$.page') AS page, json_valid(props) AS valid FROM events"
-CITATION_HEADER = f"""
-WITH {_LEGAL}, parts AS (
-  SELECT chunk_pos, concat_ws(' | ', 'the file ' || (chunk_pos // 100) || '.pdf', CASE WHEN article_id <> '' THEN 'article:' || article_id END, CASE WHEN schedule_id <> '' THEN 'schedule:Ninth' END,
-    CASE WHEN list_id <> '' THEN 'list:State List' END, CASE WHEN entry_id <> '' THEN 'entry:' || lower(entry_id) END,
-    'p:' || (chunk_pos % 50) || CASE WHEN chunk_pos % 2 = 1 THEN '-' || (chunk_pos % 50 + 1) ELSE '' END, CASE WHEN chunk_pos % 3 = 0 THEN 'footnote' END) AS parts FROM legal)
-SELECT chunk_pos, CASE WHEN chunk_pos % 11 = 0 THEN '' ELSE '[' || parts || ']' END AS header FROM parts"""
+CITATION_HEADER = rf"""
+WITH raw AS (
+  SELECT p_partkey AS k, ' the  file ' || (p_partkey // 100) || '.pdf' AS name, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 395 + 1 AS VARCHAR) ELSE '' END AS article, CASE WHEN p_partkey % 4 = 1 THEN 'Ninth' ELSE '' END AS schedule,
+    CASE WHEN p_partkey % 5 = 2 THEN 'State List' ELSE '' END AS list, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 40 + 1) || 'a' ELSE '' END AS entry,
+    p_partkey % 50 AS page, CASE WHEN p_partkey % 6 > 0 THEN p_partkey % 50 END AS page_start, p_partkey % 50 + p_partkey % 2 AS page_end, p_partkey % 11 > 0 AS cited, CASE WHEN p_partkey % 3 = 0 THEN 'footnote' ELSE 'generic' END AS kind FROM part),
+parts AS (
+  SELECT k, cited, concat_ws(' | ', nullif(trim(regexp_replace(name, '\s+', ' ', 'g')), ''), 'article:' || nullif(article, ''), 'schedule:' || nullif(schedule, ''), 'list:' || nullif(list, ''), 'entry:' || nullif(entry, ''),
+    'p:' || coalesce(page_start, page) || CASE WHEN coalesce(page_end, page_start, page) <> coalesce(page_start, page) THEN '-' || page_end ELSE '' END, CASE WHEN kind NOT IN ('', 'generic', 'article') THEN kind END) AS parts FROM raw)
+SELECT k AS chunk_pos, CASE WHEN cited AND parts <> '' THEN '[' || parts || ']' ELSE '' END AS header FROM parts"""
 PROMPT_CONTEXT = """
 SELECT conv_id AS qid, string_agg('--- Chunk ' || (turn + 1) || ' [' || role || ' | p:' || turn || ' | clause] ---' || chr(10) || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY turn) AS context
 FROM conversations GROUP BY conv_id"""
@@ -297,9 +321,22 @@ stripped AS (SELECT *, list_transform(ls, lambda x: {_STRIP.format('x')}) AS lin
 backed AS (SELECT *, list_filter(lines, lambda x: x = '{T.NOT_FOUND}' OR len(list_filter({_TERMS}, lambda t: contains(lower(x), t) AND NOT contains(lower(context), t))) = 0) AS kept FROM stripped),
 local AS (SELECT *, CASE WHEN only_here THEN list_transform(list_filter(kept, lambda x: x = '{T.NOT_FOUND}' OR NOT ({_FOREIGN})), lambda x: CASE WHEN x = '{T.NOT_FOUND}' THEN '{T.NOT_FOUND_HERE}' ELSE x END) ELSE kept END AS told FROM backed)
 SELECT conv_id, turn, CASE WHEN noted THEN 'No footnote was found.' ELSE coalesce(nullif({_TIDY.format("array_to_string(told, chr(10))")}, ''), CASE WHEN only_here THEN '{T.NOT_FOUND_HERE}' ELSE '{T.NOT_FOUND}' END) END AS cleaned FROM local"""
-CITATION_BRACKETS = """
-SELECT p_partkey, p_name || ' [file.pdf] and [see above]  [entry:' || (p_partkey % 5) || ']' AS text FROM part WHERE false
-UNION ALL SELECT p_partkey, p_name || ' [the file.pdf | article:' || (p_partkey % 9) || ' | p:' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' | clause' END || '] and [see above]  [list:II | entry:' || (p_partkey % 5) || ']' AS text FROM part"""
+CITATION_BRACKETS = rf"""
+WITH texts AS (
+  SELECT p_partkey, p_name || ' [p: ' || p_partkey || ' | Article:' || (p_partkey % 9) || ' | doc the  file.pdf | type:' || CASE WHEN p_partkey % 3 = 0 THEN 'Generic' ELSE 'clause' END || '] and [see above] [type: article] [entry:' || (p_partkey % 5) || '|list:II]' AS text FROM part),
+cut AS (SELECT p_partkey, string_split_regex(text, '\[[^\]]*\]') AS between, regexp_extract_all(text, '\[[^\]]*\]') AS brackets FROM texts),
+each AS (SELECT p_partkey, unnest(brackets) AS bracket, unnest(range(0, len(brackets))) AS i FROM cut),
+bodies AS (SELECT *, trim(regexp_replace(bracket[2:-2], '\s+', ' ', 'g')) AS body FROM each),
+parts AS (SELECT p_partkey, i, trim(unnest(string_split(body, '|'))) AS part, unnest(range(0, len(string_split(body, '|')))) AS nth FROM bodies),
+told AS (
+  SELECT p_partkey, i, nth, CASE WHEN contains(part, ':') THEN lower(trim(split_part(part, ':', 1))) WHEN regexp_matches(part, '(?i)^doc .|\.pdf') THEN 'doc' WHEN regexp_matches(part, '(?i)^type .') THEN 'type' ELSE '' END AS k,
+    CASE WHEN contains(part, ':') THEN trim(part[strpos(part, ':') + 1:]) WHEN regexp_matches(part, '(?i)^(doc|type) .') THEN trim(part[strpos(part, ' ') + 1:]) WHEN regexp_matches(part, '(?i)\.pdf') THEN part ELSE '' END AS v FROM parts),
+fields AS (SELECT p_partkey, i, map_from_entries(list((k, v) ORDER BY k)) AS f FROM (SELECT p_partkey, i, k, arg_max(v, nth) AS v FROM told WHERE v <> '' GROUP BY ALL) GROUP BY ALL),
+formed AS (
+  SELECT b.p_partkey, b.i, CASE WHEN NOT regexp_matches(body, '{A._SIGNAL}') THEN bracket WHEN said = '' THEN '' ELSE '[' || said || ']' END AS form
+  FROM (SELECT b.*, concat_ws(' | ', f['doc'], {', '.join(f"'{k}:' || f['{k}']" for k in A._PARTS)}, CASE WHEN lower(f['type']) NOT IN ('generic', 'article') THEN f['type'] END) AS said FROM bodies b LEFT JOIN fields USING (p_partkey, i)) b)
+SELECT p_partkey, array_to_string(list_transform(range(1, len(between) + 1), lambda n: between[n] || coalesce(forms[n], '')), '') AS text
+FROM cut JOIN (SELECT p_partkey, list(form ORDER BY i) AS forms FROM formed GROUP BY p_partkey) USING (p_partkey)"""
 _CITED = """cited AS (
   SELECT conv_id AS qid, turn + 1 AS rank, text, role AS filename, turn AS page, conv_id % 4 = 0 OR conv_id % 4 = 1 AND turn = 0 AS synthetic,
     '--- Chunk ' || (turn + 1) || CASE WHEN conv_id % 4 = 0 OR conv_id % 4 = 1 AND turn = 0 THEN ' (synthetic retrieval note for Article 7; reason: none) ---' ELSE ' [' || role || ' | article:7 | p:' || turn || ' | clause] ---' END AS header FROM conversations)"""
@@ -398,9 +435,12 @@ WITH {_EVALUATED}
 SELECT qid AS id, category, len(list_filter(issues, lambda x: starts_with(x, 'retrieval:'))) = 0 AS retrieval_pass, len(list_filter(issues, lambda x: starts_with(x, 'mode:'))) = 0 AS mode_pass,
   len(list_filter(issues, lambda x: starts_with(x, 'answer:'))) = 0 AS answer_pass, len(issues) = 0 AS passed, len(issues) AS n_issues, array_to_string(articles, ',') AS articles FROM evaluated"""
 EVAL_TAGS = f"WITH {_EVALUATED} SELECT split_part(x, ':', 2) AS tag, count(*) AS n FROM (SELECT unnest(issues) AS x FROM evaluated) GROUP BY ALL"
-AMENDMENTS = """
-SELECT p_partkey, CAST(0 AS INTEGER) AS pos, ['First', 'Second', 'Ninth', 'Twelfth'][p_size % 4 + 1] || ' Amendment' AS amendment FROM part WHERE false UNION ALL
-SELECT p_partkey, 0, 'Third Amendment' FROM part"""
+AMENDMENTS = rf"""
+WITH texts AS (
+  SELECT p_partkey, 'By the Constitution (' || ['First', 'Second', 'Ninth', 'Twelfth'][p_size % 4 + 1] || ' Amendment' || CASE WHEN p_size % 3 = 0 THEN ')' ELSE '' END || ' Act or the ' || p_brand || ' Third Amendment Act, ' || p_name
+    || CASE WHEN p_size % 2 = 0 THEN ' and THIRD amendment act, Third Amendment Act' ELSE '' END AS text FROM part),
+found AS (SELECT p_partkey, regexp_extract_all(text, '(?i){L.AMENDMENT_REF}', 1) AS ids FROM texts)
+{_distinct('p_partkey', 'found', 'ids', 'amendment')}"""
 PAGE_IMAGES = "SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, CASE WHEN (turn + 1) % 3 > 0 THEN conv_id || '/' || (turn + 1) ELSE '' END AS image_path FROM conversations"
 OCR_PAGES = rf"""
 WITH latest AS (SELECT conv_id, turn % 3 AS page, text FROM conversations WHERE conv_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY 'page_' || (turn % 3) || '_' || turn || '.md' DESC) = 1)

@@ -428,7 +428,10 @@ def eval_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def amendments(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("By the Constitution ("), F.element_at(F.array(*map(F.lit, ("First", "Second", "Ninth", "Twelfth"))), (F.col("p_size") % 4 + 1).cast("int")), F.lit(" Amendment) Act or the "), F.col("p_brand"), F.lit(" Third Amendment Act, "), F.col("p_name"))
+    size = F.col("p_size")
+    ordinal = F.element_at(F.array(*map(F.lit, ("First", "Second", "Ninth", "Twelfth"))), (size % 4 + 1).cast("int"))
+    closed, again = F.when(size % 3 == 0, ")").otherwise(""), F.when(size % 2 == 0, " and THIRD amendment act, Third Amendment Act").otherwise("")
+    text = F.concat(F.lit("By the Constitution ("), ordinal, F.lit(" Amendment"), closed, F.lit(" Act or the "), F.col("p_brand"), F.lit(" Third Amendment Act, "), F.col("p_name"), again)
     return table(spark, d, "part").select("p_partkey", F.posexplode(L.amendment_refs(text)).alias("pos", "amendment"))
 
 
