@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import spread
+from ..tables import settled, spread
 
 K1, B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT, NOTE_WEIGHT = 0.7, 0.3, 0.4
@@ -114,7 +114,9 @@ def hybrid_topk(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     wide = WIDEN * k
     near = vector_topk(vectors, queries.select("qid", "q"), wide).select("qid", "id", F.col("score").alias("vs"))
     shaped = queries.select("qid", T.lexical_query(F.col("query")).alias("query"))
-    lexical = bm25(chunks, shaped).withColumn("top", F.max("score").over(Window.partitionBy("qid"))).select("qid", "id", F.round(F.col("score") / F.col("top"), 9).alias("score"))
+    scored = settled(bm25(chunks, shaped))  # used for the largest scores, for candidates and for all that are near
+    tops = scored.groupBy("qid").agg(F.max("score").alias("top"))  # partial maxima, where a window would gather a query's scores
+    lexical = scored.join(tops, "qid").select("qid", "id", F.round(F.col("score") / F.col("top"), 9).alias("score"))
     ids = near.select("qid", "id").union(ranked(lexical, wide).select("qid", "id")).distinct()
     both = ids.join(near, ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "bs"), ["qid", "id"], "left")
     rows = both.join(chunks.select(F.col("doc_id").alias("id"), "text", "chunk_type", "page"), "id").join(queries.select("qid", T.wants_amendments(F.col("query")).alias("wants")), "qid")

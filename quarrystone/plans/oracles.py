@@ -155,6 +155,37 @@ found AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x,
 SELECT p_partkey, {_STRIP.format("array_to_string(CASE WHEN coalesce(k, 0) = 0 THEN ls ELSE ls[1:k - 1] END, chr(10))")} AS body,
   {_STRIP.format("array_to_string(CASE WHEN coalesce(k, 0) = 0 THEN [] ELSE ls[k:] END, chr(10))")} AS notes FROM found"""
 
+_CUT = "list_transform(range(0, length(p), 700), lambda k: substr(p, k + 1, 700))"
+_PARTED = rf"list_filter(list_transform(string_split_regex({{}}, '\n{{{{2,}}}}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+ARTICLE_SUBCHUNKS = rf"""
+WITH RECURSIVE named AS (
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 395 AS VARCHAR) ELSE '' END AS article, CASE WHEN p_partkey % 2 = 0 THEN 'Of parts' ELSE '' END AS heading,
+    CASE WHEN p_partkey % 5 = 0 THEN 'Article ' || (p_partkey % 395) || '. ' ELSE '' END || CASE WHEN p_partkey % 3 > 0
+      THEN '(1) ' || repeat(p_name || ' of ' || p_brand || ' ', p_size % 9 + 1) || '(a) ' || repeat(p_name || ' of ' || p_brand || ' ', p_size % 31) || 'and so on. (2) ' || repeat(p_name || ' of ' || p_brand || ' ', CAST(p_partkey % 4 AS INTEGER)) || 'the end'
+      ELSE repeat(p_type || ' and ', p_size % 12 + 1) || chr(10) || chr(10) || repeat(p_name || '; ', CAST(p_partkey % 60 AS INTEGER)) || chr(10) || chr(10) || p_brand END AS text FROM part),
+marked AS (SELECT *, CASE WHEN article <> '' THEN '[Article ' || article || '] (continued) ' ELSE '' END AS mark, list_filter(list_transform(string_split(regexp_replace(text, '(\(\d+\)\s|\([a-z]\)\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS clauses FROM named),
+pieces AS (SELECT k, clauses AS ps FROM marked WHERE length(text) > 700 AND len(clauses) > 1),
+{_folded('packed', 'pieces', 'chr(10)', 80, '[p]')},
+numbered AS (SELECT k, unnest(range(0, len(cs))) AS i, unnest(cs) AS c FROM packed),
+prefixed AS (SELECT k, i, CASE WHEN i > 0 THEN mark ELSE '' END || c AS c, mark FROM numbered JOIN marked USING (k)),
+long AS (
+  SELECT ROW(k, i) AS k, {_PARTED.format('c')} AS ps FROM prefixed WHERE length(c) > 700
+  UNION ALL SELECT ROW(k, CAST(-1 AS BIGINT)), {_PARTED.format('text')} FROM marked WHERE length(text) > 700 AND len(clauses) <= 1),
+{_folded('split', 'long', 'chr(10) || chr(10)', 80, _CUT)},
+pairs AS (SELECT k[1] AS k, k[2] AS i, unnest(cs) AS c, unnest(range(0, len(cs))) AS j FROM split),
+cut AS (
+  SELECT k, i, 0 AS j, c AS text FROM prefixed WHERE length(c) <= 700
+  UNION ALL SELECT p.k, p.i, j, mark || c FROM pairs p JOIN marked USING (k)
+  UNION ALL SELECT k, 0, 0, CASE WHEN article = '' OR contains(substr(text, 1, 80), 'Article ' || article) THEN text ELSE '[Article ' || article || ']' || CASE WHEN heading <> '' THEN ' ' || heading ELSE '' END || chr(10) || text END FROM marked WHERE length(text) <= 700)
+SELECT k AS p_partkey, CAST(row_number() OVER (PARTITION BY k ORDER BY i, j) - 1 AS INTEGER) AS pos, text FROM cut"""
+MERGED_BATCHES = "SELECT conv_id AS doc_id, CAST(turn % 3 AS INTEGER) AS page, turn // 3 AS batch_no, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn // 3 DESC) = 1"
+TELEMETRY = """
+WITH rows AS (
+  SELECT conv_id AS qid, turn, CASE WHEN conv_id % 2 = 0 THEN 'identifier' ELSE 'hybrid' END AS method,
+    'p' || CASE WHEN turn % 3 > 0 THEN CAST(turn AS VARCHAR) ELSE '?' END || '/' || CASE WHEN turn % 2 = 0 THEN 'clause' ELSE 'generic' END || '/art' || CASE WHEN turn % 4 = 0 THEN '21' ELSE '' END || '/s' || CAST(round(1 / (turn + 1), 4) AS DOUBLE) AS told
+  FROM conversations WHERE conv_id % 9 > 0)
+SELECT q.conv_id AS qid, method, substr(q.text, 1, 60) AS query, coalesce(n, 0) AS n, coalesce(top, '') AS top
+FROM conversations q LEFT JOIN (SELECT qid, method, count(*) AS n, string_agg(told, ', ' ORDER BY turn) FILTER (turn < 5) AS top FROM rows GROUP BY ALL) r ON r.qid = q.conv_id WHERE q.turn = 0"""
 DEDUP_BY_HASH = f"SELECT min(doc_id) AS doc_id, {_HASH.format('text')} AS file_hash FROM documents GROUP BY 2"
 PENDING_DOCS = f"""
 SELECT doc_id, {_HASH.format('text')} AS file_hash FROM documents
@@ -381,6 +412,13 @@ WITH {_LEGAL}, {_VALID}, found AS (
     WHEN kind = 'schedule' AND schedule_id <> key AND key <> 'VII' THEN 'schedule_mismatch' WHEN kind = 'list' AND list_id <> key THEN 'list_mismatch'
     WHEN kind = 'entry' AND list_id || ':' || entry_id <> key THEN 'entry_mismatch' END AS issue FROM postings p LEFT JOIN changed c USING (chunk_pos))
 SELECT kind, key, chunk_pos, issue FROM found WHERE issue IS NOT NULL"""
+BEST_OF_ARTICLE = rf"""
+WITH {_LEGAL}, own AS (
+  SELECT chunk_pos, article_id, repeat(text, CAST(chunk_pos % 4 AS INTEGER)) || CASE WHEN chunk_pos % 5 = 0 THEN '(1) x' ELSE ' ' END AS text, ['article', 'generic', 'heading', 'footnote'][(chunk_pos // 3) % 4 + 1] AS kind,
+    CASE WHEN chunk_pos % 50 > 0 THEN chunk_pos % 50 ELSE 1000000000 END AS page FROM legal WHERE article_id <> ''),
+sized AS (SELECT *, length({_STRIP.format('text')}) AS n FROM own)
+SELECT article_id, arg_min(chunk_pos, ROW(CASE WHEN page <= 10 AND n < 180 THEN 1 ELSE 0 END, CASE WHEN n >= 180 OR contains(text, '(1)') THEN 0 ELSE 1 END, CASE WHEN kind IN ('article', 'clause', 'amendment') THEN 0 ELSE 1 END, page, -n, chunk_pos)) AS chunk_pos
+FROM sized GROUP BY article_id"""
 STORED_INDEX = f"""
 WITH {_LEGAL}, keyed AS (SELECT kind, key, chunk_pos, min(chunk_pos) OVER (PARTITION BY kind, key) % 7 AS m, row_number() OVER (PARTITION BY kind, key) = 1 AS one FROM postings)
 SELECT kind, key, CAST(NULL AS BIGINT) AS chunk_pos, 'not_list' AS issue FROM keyed WHERE m = 0 AND one

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal as L
 from ..functions import text as T
-from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index, pages, search, segment
+from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index, pages, retrieve, search, segment
 from ..sources import store
 from ..tables import spread
 
@@ -111,6 +111,51 @@ def editorial_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", body.alias("body"), notes.alias("notes"))
 
 
+def _long_article() -> Column:
+    """A text of clauses and paragraphs, some longer than a chunk, that begins with its article's name or not."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    clause = lambda mark, n: F.concat(F.lit(f"({mark}) "), F.repeat(F.concat("p_name", F.lit(" of "), "p_brand", F.lit(" ")), n.cast("int")))
+    marked = F.concat(clause("1", size % 9 + 1), clause("a", size % 31), F.lit("and so on. "), clause("2", k % 4), F.lit("the end"))
+    plain = F.concat(F.repeat(F.concat("p_type", F.lit(" and ")), (size % 12 + 1).cast("int")), F.lit("\n\n"), F.repeat(F.concat("p_name", F.lit("; ")), (k % 60).cast("int")), F.lit("\n\n"), F.col("p_brand"))
+    return F.concat(F.when(k % 5 == 0, F.concat(F.lit("Article "), k % 395, F.lit(". "))).otherwise(""), F.when(k % 3 > 0, marked).otherwise(plain))
+
+
+def article_subchunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of articles under their names, cut by clauses or paragraphs where they are long."""
+    article = F.when(F.col("p_partkey") % 7 > 0, (F.col("p_partkey") % 395).cast("string")).otherwise("")
+    rows = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", article.alias("article"), _long_article().alias("text"))
+    named = T.with_article_prefix(F.col("text"), F.col("article"), F.when(F.col("p_partkey") % 2 == 0, "Of parts").otherwise(""))
+    cut = F.when(F.char_length("text") > chunks.CHUNK_SIZE, chunks.subchunk_article(F.col("text"), F.col("article"))).otherwise(F.array(named))
+    return rows.select("p_partkey", F.posexplode(cut).alias("pos", "text"))
+
+
+def merged_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that several batches have read: the latest counts."""
+    turn = F.col("turn")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (turn % 3).cast("int").alias("page"), F.floor(turn / 3).alias("batch_no"), "text")
+    return pages.merged_pages(rows)
+
+
+def best_of_article(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk of each article that ranks first among its own."""
+    k = F.col("chunk_pos")
+    text = F.concat(F.repeat(F.col("text"), (k % 4).cast("int")), F.when(k % 5 == 0, "(1) x").otherwise(" "))
+    rows = _legal_chunks(spark, d).where("article_id <> ''").withColumns({"text": text, "chunk_type": F.element_at(F.array(*map(F.lit, ("article", "generic", "heading", "footnote"))), (F.floor(k / 3) % 4 + 1).cast("int"))})
+    place = F.struct(bundle.direct_rank(F.col("text"), F.col("chunk_type"), F.coalesce(F.nullif("page", F.lit(0)), F.lit(10**9))).alias("rank"), "chunk_pos")
+    return rows.groupBy("article_id").agg(F.min(place).alias("p")).select("article_id", "p.chunk_pos")
+
+
+def telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """How every conversation was answered, with its first turns as results; some have none."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    rows = table(spark, d, "conversations").where("conv_id % 9 > 0").select(
+        conv.alias("qid"), (turn + 1).cast("int").alias("rank"), F.when(turn % 3 > 0, turn).cast("int").alias("page"), F.lit(0).alias("page_start"), F.when(turn % 2 == 0, "clause").alias("chunk_type"),
+        F.when(turn % 4 == 0, "21").alias("article_id"), F.round(1 / (turn + 1), 4).alias("score"), F.when(conv % 2 == 0, "identifier").otherwise("hybrid").alias("method"),
+    )
+    queries = table(spark, d, "conversations").where("turn = 0").select(conv.alias("qid"), F.col("text").alias("query"))
+    return retrieve.telemetry(rows, queries)
+
+
 def dedup_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return pages.first_of_each(table(spark, d, "documents"))
 
@@ -460,7 +505,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
-        editorial_tail, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
+        editorial_tail, article_subchunks, merged_batches, best_of_article, telemetry, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
