@@ -149,6 +149,7 @@ WITH rows AS (SELECT p_partkey, {_FOOTNOTED} AS t, ['text_block', 'article', 'li
 counted AS (SELECT *, len(regexp_extract_all(t, '(?im){T.FOOTNOTE}')) AS m, length(t) - length(replace(t, chr(10), '')) + 1 AS n FROM rows)
 SELECT p_partkey, CASE WHEN kind = 'list_heading' THEN 'heading' WHEN kind = 'article' THEN 'article' WHEN m > 0 AND (m / n > 0.3 OR m >= 3 AND length(t) < 600) THEN 'amendment'
   WHEN m > 0 AND length(t) < 300 THEN 'footnote' ELSE 'generic' END AS chunk_type, regexp_extract(t, '(?i){T.SECTION}', 1) AS section_id, m AS notes FROM counted"""
+SQL_FUNCTIONS = CLASSIFY_CHUNK
 EDITORIAL_TAIL = f"""
 WITH rows AS (SELECT p_partkey, string_split({_FOOTNOTED}, chr(10)) AS ls FROM part),
 found AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '(?i){T.EDITORIAL_LINE}')), true) AS k FROM rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import legal as L
+from ..functions import sql
 from ..functions import text as T
 from ..operators import answer, audit, blocks, bundle, chunks, evaluate, index, pages, retrieve, search, segment
 from ..sources import store
@@ -106,6 +107,14 @@ def classify_chunk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.chunk_type(_footnoted(), kind).alias("chunk_type"), T.section_id(_footnoted()).alias("section_id"), T.footnotes(_footnoted()).cast("long").alias("notes"))
 
 
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """classify_chunk in SQL alone, by the functions that the session's catalog gets."""
+    sql.register(spark)
+    kind = F.element_at(F.array(*map(F.lit, ("text_block", "article", "list_heading", "entry"))), (F.floor(F.col("p_partkey") / 4) % 4 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", _footnoted().alias("t"), kind.alias("kind"))
+    return spark.sql("SELECT p_partkey, chunk_type(t, kind) AS chunk_type, section_id(t) AS section_id, CAST(footnotes(t) AS BIGINT) AS notes FROM {rows}", rows=rows)
+
+
 def editorial_tail(spark: SparkSession, d: str) -> DataFrame:
     body, notes = T.editorial_tail(_footnoted())
     return table(spark, d, "part").select("p_partkey", body.alias("body"), notes.alias("notes"))
@@ -504,7 +513,7 @@ def page_fallback(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk,
+        bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk, sql_functions,
         editorial_tail, article_subchunks, merged_batches, best_of_article, telemetry, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
