@@ -436,13 +436,24 @@ indexed AS (SELECT article, chunk_pos, 'index' AS source FROM postings JOIN want
 places AS (SELECT * FROM indexed UNION ALL SELECT article, chunk_pos, 'heading' FROM headings JOIN wanted USING (article) WHERE article NOT IN (SELECT article FROM indexed))
 SELECT article, source, CAST(row_number() OVER (PARTITION BY article ORDER BY chunk_pos) AS INTEGER) AS nth, chunk_pos, CAST(chunk_pos % 50 AS INTEGER) AS page, 'generic' AS chunk_type, substr(text, 1, 140) AS text
 FROM places JOIN legal USING (chunk_pos) QUALIFY nth <= 10"""
+_REPORTED = {k: (f"{k.removeprefix('missing_')} IS NULL" if k.startswith("missing_") else cond) for k, cond in _ISSUES.items()}
 STORE_REPORT = f"""
-WITH {_LEGAL}, {_HEADINGS}, raw AS (SELECT chunk_pos, CASE WHEN schedule_id <> '' THEN 'NINTH' ELSE '' END AS schedule_id, CASE WHEN list_id <> '' THEN 'STATE LIST' ELSE '' END AS list_id FROM legal),
+WITH {_LEGAL}, {_HEADINGS}, stored AS (
+  SELECT chunk_pos, CAST(chunk_pos // 100 AS VARCHAR) AS doc_id, 'f' AS filename, chunk_pos % 100 AS chunk_id, chunk_pos % 50 AS page, chunk_pos % 50 AS page_start, chunk_pos % 50 AS page_end, text, 'generic' AS chunk_type, 'text' AS source_extraction,
+    '' AS image_path, article_id, schedule_id, list_id, entry_id, '' AS section_id FROM legal),
+{_WINDOWED}, keys AS (SELECT unnest(['chunk_type', 'source_extraction', 'article']) AS section, unnest([chunk_type, source_extraction, article_id]) AS key FROM stored),
+sums AS (SELECT section, key, count(*) AS n FROM keys WHERE section <> 'article' OR key <> '' GROUP BY ALL),
+counted AS (SELECT * FROM sums QUALIFY section <> 'article' OR row_number() OVER (PARTITION BY section ORDER BY n DESC, key) <= 20), raw AS (SELECT chunk_pos, CASE WHEN schedule_id <> '' THEN 'NINTH' ELSE '' END AS schedule_id, CASE WHEN list_id <> '' THEN 'STATE LIST' ELSE '' END AS list_id FROM legal),
 bad AS (SELECT kind, CASE WHEN kind = 'schedule' AND raw.schedule_id <> key AND key <> 'VII' THEN 'schedule_mismatch' WHEN kind = 'list' AND raw.list_id <> key THEN 'list_mismatch' WHEN kind = 'entry' THEN 'entry_mismatch' END AS issue FROM postings JOIN raw USING (chunk_pos))
 SELECT 'documents' AS section, 'documents' AS item, count(DISTINCT chunk_pos // 100) AS n FROM legal UNION ALL SELECT 'stability', 'chunks_told', count(*) FROM legal UNION ALL SELECT 'counts', 'chunks', count(*) FROM legal
 UNION ALL SELECT 'counts', 'index_' || kind, count(DISTINCT key) FROM postings GROUP BY kind UNION ALL SELECT 'index', kind || '_' || issue, count(*) FROM bad WHERE issue IS NOT NULL GROUP BY kind, issue
 UNION ALL SELECT 'articles', 'in_chunks', count(DISTINCT article_id) FROM legal WHERE article_id <> '' UNION ALL SELECT 'articles', 'in_headings', count(DISTINCT article) FROM headings
-UNION ALL SELECT 'articles', 'missing_from_index', count(DISTINCT article) FROM headings WHERE article NOT IN (SELECT key FROM postings WHERE kind = 'article')"""
+UNION ALL SELECT 'articles', 'missing_from_index', count(DISTINCT article) FROM headings WHERE article NOT IN (SELECT key FROM postings WHERE kind = 'article')
+UNION ALL SELECT 'metadata', section || '_' || key, n FROM counted UNION ALL {" UNION ALL ".join(f"SELECT 'metadata', '{k}', count(*) FILTER ({cond}) FROM rows" for k, cond in _REPORTED.items())}"""
+STRUCTURAL_SAMPLES = rf"""
+WITH {_LEGAL}, firsts AS (SELECT kind, min(key) AS key FROM postings WHERE kind IN ('schedule', 'list', 'entry') GROUP BY kind),
+placed AS (SELECT kind, key, chunk_pos, row_number() OVER (PARTITION BY kind ORDER BY chunk_pos) AS nth FROM postings JOIN firsts USING (kind, key))
+SELECT kind, key, CAST(nth AS INTEGER) AS nth, chunk_pos, CAST(chunk_pos % 50 AS INTEGER) AS page, 'generic' AS chunk_type, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 140) AS text FROM placed JOIN legal USING (chunk_pos) WHERE nth <= {U.SAMPLE_REFS}"""
 ARTICLE_BUNDLES = f"""
 WITH {_LEGAL}, own AS (SELECT article_id, min(chunk_pos) AS lead, max(chunk_pos) AS last, min(chunk_pos) // 100 AS doc, max(chunk_pos) // 100 AS last_doc, max(chunk_pos % 50) AS page FROM legal WHERE article_id <> '' GROUP BY article_id),
 wanted AS (SELECT n AS qid, CAST(n AS VARCHAR) AS article_id, n % 5 = 0 AS notes FROM (SELECT unnest(range(1, 396)) AS n)),

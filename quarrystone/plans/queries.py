@@ -369,7 +369,12 @@ def store_documents(spark: SparkSession, d: str) -> DataFrame:
 def store_report(spark: SparkSession, d: str) -> DataFrame:
     rows = _legal_chunks(spark, d).withColumns({"filename": F.lit("f"), "page_start": F.col("page"), "page_end": F.col("page"), "source_extraction": F.lit("text"), "section_id": F.lit(""), "image_path": F.lit("")})
     manifest = rows.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
-    return audit.report(rows, index.build_postings(rows), manifest).where("section IN ('documents', 'stability', 'counts', 'articles', 'index')")
+    return audit.report(rows, index.build_postings(rows), manifest)
+
+
+def structural_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = _legal_chunks(spark, d).withColumn("page_start", F.col("page"))
+    return audit.structural_samples(rows, index.build_postings(rows))
 
 
 def heading_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -516,7 +521,7 @@ QUERIES = {
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk, sql_functions,
         editorial_tail, article_subchunks, merged_batches, best_of_article, telemetry, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
         synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
-        citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, heading_audit, target_articles, eval_items, eval_tags, amendments,
+        citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, structural_samples, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
     )
 }
