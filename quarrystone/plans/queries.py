@@ -434,6 +434,32 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), n.cast("int").alias("page"), page.alias("text"))
 
 
+def _article_store(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as chunks of articles, eight a piece: a heading, clauses, one that has lost its article, a note and another text."""
+    k = F.col("p_partkey")
+    nth, turn = F.floor(k / 8), (k % 8).cast("int")
+    letters = F.array(*(F.lit(x) for x in ("", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    article = F.concat((nth % 390 + 1).cast("string"), F.element_at(letters, (F.floor(nth / 390) % 27 + 1).cast("int")))
+    text = F.when(turn == 0, F.concat(article, F.lit(". Of "), "p_name", F.lit(".-(1) No person shall have a "), "p_type")).when(turn < 6, F.concat(F.lit("("), turn + 1, F.lit(") Nothing in this shall apply to "), "p_name", F.lit(" of "), "p_brand"))
+    text = text.when(turn == 6, F.concat(F.lit("1. Subs. by the Act of "), F.col("p_size"), F.lit(", for "), F.col("p_type"))).otherwise(F.concat(F.lit("Quite another "), F.col("p_name")))
+    kinds = F.element_at(F.array(*map(F.lit, ("article", "clause", "clause", "clause", "clause", "clause", "footnote", "generic"))), turn + 1)
+    blank = {c: F.lit("") for c in ("schedule_id", "list_id", "entry_id")}
+    page = (F.floor(k / 5) % 80 + 1).cast("int")
+    return table(spark, d, "part").select(k.alias("chunk_pos"), F.floor(k / 400).alias("doc_id"), text.alias("text"), F.when(turn < 5, article).otherwise("").alias("article_id"), kinds.alias("chunk_type"), page.alias("page"), page.alias("page_start")).withColumns(blank)
+
+
+def routed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's question for articles, with and without notes, and the benchmark's texts, which name none, through the router."""
+    n = F.col("o_orderkey")
+    letters = F.array(*(F.lit(x) for x in ("", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    article = lambda shift: F.concat(((n + shift) % 390 + 1).cast("string"), F.element_at(letters, (F.floor(n / 390) % 27 + 1).cast("int")))
+    asked = F.when(n % 3 == 0, F.concat(F.lit("What does Article "), article(0), F.lit(" say?"))).when(n % 3 == 1, F.concat(F.lit("Footnotes to Article "), article(0), F.lit(", as amended"))).otherwise(F.concat(F.lit("Articles "), article(0), F.lit(" and "), article(7)))
+    vectors = _vectors(spark, d)
+    orders = table(spark, d, "orders").select((2 * n).alias("qid"), asked.alias("query"), F.array().cast("array<float>").alias("q"))
+    texts = table(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("id")).select((2 * F.col("item_id") + 1).alias("qid"), F.substring("text", 1, 200).alias("query"), F.col("v").alias("q"))
+    return retrieve.retrieve(_article_store(spark, d), vectors, orders.union(texts))
+
+
 def page_structure(spark: SparkSession, d: str) -> DataFrame:
     return segment.segment_pages(_pages(spark, d))
 
@@ -520,7 +546,7 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_batch, term_stats, vector_topk, vector_topk_multi, hybrid_topk, pack_chunks, overlap_chunks, chunk_documents, clause_split, normalize_text, classify_chunk, sql_functions,
         editorial_tail, article_subchunks, merged_batches, best_of_article, telemetry, dedup_by_hash, pending_docs, extract_articles, expand_range, canonical_ids, query_modes, expand_rules, build_postings, priority_lookup, priority_lookup_all, structural_lookup, heads_first,
-        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, page_structure, page_chunks, block_text,
+        synthetic_fallback, page_window, split_pages, json_blocks, citation_header, prompt_context, clean_answer, validate_store, validate_index, stored_index, eval_summary, article_bundles, routed_questions, page_structure, page_chunks, block_text,
         citation_brackets, prompt_messages, answer_grounding, shown_sources, store_counters, store_documents, store_report, structural_samples, heading_audit, target_articles, eval_items, eval_tags, amendments,
         page_images, ocr_pages, page_fallback,
     )

@@ -1,3 +1,4 @@
+from quarrystone.plans import queries
 from quarrystone.operators.retrieve import retrieve, telemetry
 from quarrystone.sources.store import with_defaults
 
@@ -36,3 +37,27 @@ def test_structure_fills_up_behind_articles_and_notes_stand_in(spark):
     assert [c for c, _ in got[3]] == [2, 3, 4] and [c for c, _ in got[4]] == [2, 3, 5]
     told = {r.qid: r for r in telemetry(results.withColumns({"page": results.chunk_pos, "page_start": results.chunk_pos}), queries).collect()}
     assert told[1].method == "identifier" and told[1].n == 1 and told[1].top == "p-1/amendment/art21/s1.0"
+
+
+def test_every_orders_question_takes_its_way(spark):
+    d = "/root/testdata/sf0.001"
+    found = {}
+    for r in queries.routed_questions(spark, d).collect():
+        found.setdefault(r["qid"], []).append(r)
+    last = spark.read.parquet(f"{d}/part.parquet").count() // 8
+    seen = 0
+    for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect():
+        n = r["o_orderkey"]
+        got, nth = sorted(found.get(2 * n, []), key=lambda x: x["rank"]), n % 390
+        if n >= 390 or not 0 < nth < last - 8:
+            continue
+        seen += 1
+        own = lambda k: list(range(8 * k, 8 * k + 6))  # noqa: E731  the heading, its clauses, and the one without an article
+        if n % 3 == 1:
+            assert [(x["chunk_pos"], x["chunk_type"], x["synthetic"]) for x in got] == [(8 * nth + 6, "amendment", False)]
+        else:
+            assert [x["chunk_pos"] for x in got] == (own(nth) if n % 3 == 0 else own(nth) + own(nth + 7)) and {x["method"] for x in got} == {"identifier"}
+            assert got[0]["text"].startswith(f"{nth + 1}. Of ")
+    assert seen > 8
+    texts = [x for qid, own in found.items() if qid % 2 for x in own]
+    assert texts and {x["method"] for x in texts} == {"hybrid"} and max(x["rank"] for x in texts) <= 8
