@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import let
 from .text import ARREST, REMEDY, strip
 
 # Names of schedules and lists, and the patterns of references.
@@ -84,17 +85,20 @@ def explicit_articles(q: Column) -> Column:
 
 def expanded_articles(q: Column, articles: Column) -> Column:
     """Explicit mentions first, then the other identifiers, then articles that belong with them."""
-    mentions = explicit_articles(q)
-    first = F.when(F.size(mentions) > 0, mentions).otherwise(articles)
-    has = lambda n: F.array_contains(first, n)
     none = F.array().cast("array<string>")
     add = lambda cond, n: F.when(cond, F.array(F.lit(n))).otherwise(none)
     arrest = q.rlike("(?i)" + ARREST)
-    return F.array_distinct(F.concat(
-        first, articles,
-        add(has("352") & has("19"), "358"), add(has("352") & (has("20") | has("21")), "359"),
-        add(arrest, "22"), add(arrest & q.rlike("(?i)" + REMEDY), "32"),
-    ))
+
+    def with_rules(x: Column) -> Column:
+        has = lambda n: F.array_contains(x["first"], n)
+        return F.array_distinct(F.concat(
+            x["first"], x["articles"],
+            add(has("352") & has("19"), "358"), add(has("352") & (has("20") | has("21")), "359"),
+            add(arrest, "22"), add(arrest & q.rlike("(?i)" + REMEDY), "32"),
+        ))
+
+    found = F.struct(explicit_articles(q).alias("mentions"), articles.alias("articles"))
+    return let(found, lambda x: let(F.struct(F.when(F.size(x["mentions"]) > 0, x["mentions"]).otherwise(x["articles"]).alias("first"), x["articles"].alias("articles")), with_rules))
 
 
 def article_refs(text: Column) -> Column:
