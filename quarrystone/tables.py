@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def settled(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+        if not found and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or f"file:///tmp/checkpoints/quarrystone-{os.getpid()}")
     return df.checkpoint()
