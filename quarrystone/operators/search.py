@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ K1, B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT, NOTE_WEIGHT = 0.7, 0.3, 0.4
 #: Candidates of either side for each row of the result.
 WIDEN = 3
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 4096
+#: Queries and vectors that meet in one task.
+QUERY_BLOCK, SHARD = 4096, 32_768
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,18 +82,107 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _plain(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows are vectors of this length with moderate components, their matrix)."""
+    sizes = _sizes(lists)
+    ends = np.cumsum(np.maximum(sizes, 0))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+    rows = np.flatnonzero(sizes == width)
+    m = flat[(ends[rows] - width)[:, None] + np.arange(width)]
+    fine = (np.abs(m) < 1e100).all(axis=1)
+    ok = np.zeros(len(sizes), bool)
+    ok[rows[fine]] = True
+    return ok, m[fine]
+
+
+def _odd_score(v: list | None, q: list | None) -> float | None:
+    if v is None or q is None or len(v) != len(q) or None in v or None in q:
+        return None
+    return sum((x * y for x, y in zip(v, q, strict=True)), 0.0)
+
+
+def _in_order(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products added up from the first component to the last, as dot() does."""
+    out = np.zeros(len(m))
+    for j in range(m.shape[1]):
+        out += m[:, j] * q[j]
+    return out
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of all scores but those that k equal ones with smaller ids precede."""
+    order = np.lexsort((ids, -scores))
+    s = scores[order]
+    first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1] if len(s) else np.empty(0, np.int64)
+    nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
+    return order[nth < k]
+
+
+def near_in_shard(ids: np.ndarray, m: np.ndarray, q: np.ndarray, k: int, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of q (places in m, scores) of all vectors that may be among its k best by score rounded to six digits.
+
+    Matrix products, which add up in any order, choose those within a rounding step of the k-th; their scores are then added up in order.
+    """
+    out, size = [], np.sqrt((m * m).sum(axis=1).max(initial=0.0))
+    for at in range(0, len(q), rows):
+        part = q[at : at + rows]
+        raw = part @ m.T
+        kth = np.partition(raw, len(m) - k, axis=1)[:, len(m) - k] if len(m) > k else np.full(len(part), -np.inf)
+        least = kth - 2e-6 - 1e-12 * size * np.sqrt((part * part).sum(axis=1))
+        for i in range(len(part)):
+            near = np.flatnonzero(raw[i] >= least[i])
+            scores = _in_order(m[near], part[i])
+            kept = _best(ids[near], scores, k)
+            out.append((near[kept], scores[kept]))
+    return out
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """(qid, id, score, rank): the k vectors (id, v) of largest inner product with each query (qid, q).
 
-    Queries are counted and come in broadcast blocks of at most `block`, so each block is one pass over the vectors; a
-    task keeps its own k best before anything is shuffled.
+    Groups of at most some `block` queries meet shards of at most some `shard` vectors, so a task holds one of each. Both are
+    counted and dealt; a group's or shard's k best are all that is shuffled then. Vectors that are null, of another
+    length or not finite get the score that dot() gives.
     """
-    blocks = max(1, -(-queries.count() // block))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    spread_out = spread(vectors, "id")
-    pairs = [spread_out.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)]
-    score = F.round(dot(F.col("v"), F.col("q")), 6).alias("score")
-    return ranked(reduce(DataFrame.unionByName, [p.select("qid", "id", score) for p in pairs]), k)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_q, n_v = queries.count(), vectors.count()
+    blocks = max(1, -(-n_q // block))
+    shards = max(1, -(-n_v // shard), min(-(-2 * cores // blocks), n_v // 1024))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    name, number = vectors.schema["id"].dataType, queries.schema["qid"].dataType
+    asked = queries.select("qid", F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("g"))
+    known = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        qids, ids, asked_for, held = (x.combine_chunks() for x in (a["qid"], b["id"], a["q"], b["v"]))
+        width = int(np.bincount(np.maximum(_sizes(asked_for), 0)).argmax()) if len(qids) else 0
+        ok_q, q = _plain(asked_for, width)
+        ok_v, m = _plain(held, width)
+        rows_q, rows_v = np.flatnonzero(ok_q), np.flatnonzero(ok_v)
+        order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+        if len(rows_q) and len(rows_v):
+            out += [(np.full(len(at), rows_q[i]), rows_v[at], scores, np.zeros(len(at), bool)) for i, (at, scores) in enumerate(near_in_shard(order[rows_v], m, q, k))]
+        odd_v = {int(j): held[int(j)].as_py() for j in np.flatnonzero(~ok_v)}
+        plain_v = {} if ok_q.all() else {int(j): held[int(j)].as_py() for j in rows_v}
+        for i in range(len(qids)) if odd_v or plain_v else ():
+            value, met = asked_for[i].as_py(), odd_v if ok_q[i] else odd_v | plain_v
+            scores = [_odd_score(v, value) for v in met.values()]
+            at, null = np.array(list(met), np.int64), np.array([x is None for x in scores], bool)
+            numbers = np.array([0.0 if x is None else x for x in scores], np.float64)
+            for group in (null, ~null & np.isnan(numbers), ~null & ~np.isnan(numbers)):
+                kept = np.flatnonzero(group)[_best(order[at[group]], np.nan_to_num(numbers[group], nan=0.0, posinf=np.inf, neginf=-np.inf), k)]
+                out.append((np.full(len(kept), i), at[kept], numbers[kept], null[kept]))
+        at_q, at_v, scores, null = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"qid": qids.take(pa.array(at_q)), "id": ids.take(pa.array(at_v)), "score": pa.array(scores, pa.float64(), mask=null)})
+
+    left, right = asked.withColumn("s", every(shards)), known.withColumn("g", every(blocks))
+    found = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(run, f"qid {number.simpleString()}, id {name.simpleString()}, score double")
+    return ranked(found.select("qid", "id", F.round("score", 6).alias("score")), k)
 
 
 def type_weight(chunk_type: Column, wants_amendments: Column) -> Column:
