@@ -14,8 +14,9 @@ K1, B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT, NOTE_WEIGHT = 0.7, 0.3, 0.4
 #: Candidates of either side for each row of the result.
 WIDEN = 3
-#: Queries and vectors that meet in one task.
+#: Queries and vectors that meet in one task, and terms of queries that are broadcast.
 QUERY_BLOCK, SHARD = 4096, 32_768
+BROADCAST_TERMS = 500_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,17 +41,36 @@ def corpus_stats(stored: DataFrame) -> DataFrame:
     return stored.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
 
 
+def _weighted(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, term, qtf, df) of queries' terms that some document has: broadcast where they are few."""
+    known = terms.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term")
+    return F.broadcast(known) if terms.count() <= BROADCAST_TERMS else known
+
+
+def _part(k1: float, b: float) -> Column:
+    weight = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    return F.col("qtf") * weight * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
 def bm25_stored(stored: DataFrame, corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, id, score) of every document with a query's term, from postings (id, term, tf, dl) and one row (n, avgdl).
 
-    Postings meet the queries' terms by key: a table kept by term is read for these terms alone.
+    Postings meet the queries' terms by key: a table kept by term is read for these terms alone. They are dealt by document
+    then, so scores are added up where they arise: what is shuffled grows with the postings, not with queries times documents.
     """
     terms = query_terms(queries)
-    hits = stored.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    part = F.col("qtf") * weight * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus)).groupBy("qid", "id").agg(F.sum(part).alias("score"))  # corpus is one row
+    hits = stored.join(terms.select("term").distinct(), "term", "left_semi").repartition("id")
+    return hits.join(_weighted(hits, terms), "term").crossJoin(F.broadcast(corpus)).groupBy("qid", "id").agg(F.sum(_part(k1, b)).alias("score"))  # corpus is one row
+
+
+def _hits(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, dl, term, tf) of the documents' words that are terms, one row (n, avgdl) of all documents)."""
+    words = spread(docs.select(F.col("doc_id").alias("id"), "text"), "id", "text").select("id", T.tokens(F.col("text")).alias("ws"))
+    found = words.select("id", F.size("ws").cast("long").alias("dl"), "ws")
+    corpus = found.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    asked = terms.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked  # else all words would be shuffled to meet them
+    return found.select("id", "dl", F.explode("ws").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf")), corpus
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -59,11 +79,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     Words are counted inside each row, so texts stay where they are; only counts of words that some query has are
     exploded and shuffled.
     """
-    asked = query_terms(queries).select("term").distinct()
-    words = spread(docs.select(F.col("doc_id").alias("id"), "text"), "id", "text").select("id", T.tokens(F.col("text")).alias("ws"))
-    found = words.select("id", F.size("ws").cast("long").alias("dl"), "ws")
-    corpus = found.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    hits = found.select("id", "dl", F.explode("ws").alias("term")).join(asked, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    hits, corpus = _hits(docs, query_terms(queries))
     return bm25_stored(hits, corpus, queries, k1, b)
 
 
@@ -198,16 +214,28 @@ def rank_weight(text: Column, chunk_type: Column, page: Column) -> Column:
 def hybrid_topk(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, vector_weight: float = VECTOR_WEIGHT, bm25_weight: float = BM25_WEIGHT) -> DataFrame:
     """(qid, id, score, rank) of chunks (doc_id, text, chunk_type, page) for queries (qid, query, q).
 
-    Candidates are the best WIDEN * k of either side; lexical scores are divided by their largest.
+    Candidates are the best WIDEN * k of either side; lexical scores are divided by their largest. Queries of one
+    text share its lexical scores, which are added up again for each use, so that none are stored.
     """
     wide = WIDEN * k
-    near = vector_topk(vectors, queries.select("qid", "q"), wide).select("qid", "id", F.col("score").alias("vs"))
+    near = settled(vector_topk(vectors, queries.select("qid", "q"), wide).select("qid", "id", F.col("score").alias("vs")))  # few rows of each query, used three times
     shaped = queries.select("qid", T.lexical_query(F.col("query")).alias("query"))
-    scored = settled(bm25(chunks, shaped))  # used for the largest scores, for candidates and for all that are near
-    tops = scored.groupBy("qid").agg(F.max("score").alias("top"))  # partial maxima, where a window would gather a query's scores
-    lexical = scored.join(tops, "qid").select("qid", "id", F.round(F.col("score") / F.col("top"), 9).alias("score"))
-    ids = near.select("qid", "id").union(ranked(lexical, wide).select("qid", "id")).distinct()
-    both = ids.join(near, ["qid", "id"], "left").join(lexical.withColumnRenamed("score", "bs"), ["qid", "id"], "left")
+    texts = settled(shaped.groupBy("query").agg(F.min("qid").alias("tid")))
+    of_text = settled(shaped.join(texts, shaped["query"].eqNullSafe(texts["query"])).select("qid", "tid"))
+    terms = settled(query_terms(texts.select(F.col("tid").alias("qid"), "query")))
+    found, corpus = _hits(chunks, terms)
+    hits = settled(found)  # no more than the chunks' words
+    weighted, one = _weighted(hits, terms), F.broadcast(settled(corpus))
+    part = F.sum(_part(K1, B)).alias("score")
+    scored = hits.repartition("id").join(weighted, "term").crossJoin(one).groupBy("qid", "id").agg(part)
+    tops = settled(scored.groupBy("qid").agg(F.max("score").alias("top")))  # partial maxima, where a window would gather a text's scores
+    relative = F.round(F.col("score") / F.col("top"), 9)
+    leading = ranked(scored.join(tops, "qid").select("qid", "id", relative.alias("bs")), wide, "bs").select(F.col("qid").alias("tid"), "id", "bs")
+    lexical = leading.join(of_text, "tid").select("qid", "id")
+    ids = settled(near.select("qid", "id").union(lexical).distinct().join(of_text, "qid"))
+    pairs = ids.select(F.col("tid").alias("qid"), "id").distinct()
+    told = hits.join(pairs, "id").join(weighted, ["qid", "term"]).crossJoin(one).groupBy("qid", "id").agg(part).join(tops, "qid").select(F.col("qid").alias("tid"), "id", relative.alias("bs"))
+    both = ids.join(near, ["qid", "id"], "left").join(told, ["tid", "id"], "left").drop("tid")
     rows = both.join(chunks.select(F.col("doc_id").alias("id"), "text", "chunk_type", "page"), "id").join(queries.select("qid", T.wants_amendments(F.col("query")).alias("wants")), "qid")
     raw = vector_weight * F.coalesce("vs", F.lit(0.0)) + bm25_weight * F.coalesce("bs", F.lit(0.0))
     score = raw * type_weight(F.col("chunk_type"), F.col("wants")) * rank_weight(F.col("text"), F.col("chunk_type"), F.col("page"))

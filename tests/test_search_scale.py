@@ -12,6 +12,30 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scores_are_added_up_where_documents_lie(spark):
+    docs = spark.createDataFrame([(i, f"alpha word{i % 3}") for i in range(20)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, "alpha word1") for q in range(5)], "qid long, query string")
+    plan = _plan(search.bm25(docs, queries))
+    assert not [line for line in plan.splitlines() if "hashpartitioning(qid" in line and " id#" in line]
+    assert search.bm25(docs, queries).count() == 100
+
+
+def test_hybrid_ranking_stores_no_score_of_every_pair(spark, monkeypatch):
+    sizes, settled = [], search.settled
+
+    def counted(df):
+        out = settled(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "settled", counted)
+    chunks = spark.createDataFrame([(i, f"alpha word{i % 3}", "clause", 1) for i in range(200)], "doc_id long, text string, chunk_type string, page int")
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "id long, v array<float>")
+    queries = spark.createDataFrame([(q, "alpha word1" if q % 2 else "word2", [1.0, float(q)]) for q in range(40)], "qid long, query string, q array<float>")
+    got = search.hybrid_topk(chunks, vectors, queries, 2).collect()
+    assert len(got) == 80 and max(sizes) < 1000  # 40 queries and 200 chunks: 5334 scores
+
+
 def test_nearest_vectors_by_brute_force(spark):
     r = random.Random(3)
     odd = [None, [], [1.0], [1.0, None, 2.0], [math.nan, 0.0, 1.0], [math.inf, 1.0, 1.0], [1e200, 1.0, 1.0]]
