@@ -20,8 +20,17 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int =
     Articles bring their whole bundles, in the order asked for and with no limit, each chunk once; a bundle that
     has none of the amendments asked for is a synthetic note. Schedules, lists and entries fill up to k
     chunks behind them, the first chunk of each identifier before the others; parts alone bring theirs. What no
-    identifier answers falls to hybrid ranking, so each query takes one way only.
+    identifier answers falls to hybrid ranking, so each query takes one way only. Queries of one text and vector are
+    answered once.
     """
+    alike = settled(queries.groupBy("query", "q").agg(F.min("qid").alias("qid")))
+    first = alike.select(F.col("query").alias("_query"), F.col("q").alias("_q"), F.col("qid").alias("_one"))
+    every = queries.join(first, F.col("query").eqNullSafe(F.col("_query")) & F.col("q").eqNullSafe(F.col("_q"))).select("qid", "_one")
+    return every.join(_answered(chunks, vectors, alike, k).withColumnRenamed("qid", "_one"), "_one").select(*RESULT)
+
+
+def _answered(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """RESULT rows of retrieve() for queries that are each the only one of their text and vector."""
     asked = settled(index.identifiers(queries))
     articles = asked.where("kind = 'article'").select("qid", F.col("key").alias("article_id"), "ord")
     wanted = articles.join(queries.select("qid", "query", T.wants_amendments(F.col("query")).alias("notes")), "qid")

@@ -115,10 +115,19 @@ def _plain(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, m[fine]
 
 
-def _odd_score(v: list | None, q: list | None) -> float | None:
-    if v is None or q is None or len(v) != len(q) or None in v or None in q:
-        return None
-    return sum((x * y for x, y in zip(v, q, strict=True)), 0.0)
+def _full(lists: pa.ListArray) -> np.ndarray:
+    """Which rows are vectors without a null."""
+    sizes, null = _sizes(lists), lists.flatten().is_null().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.maximum(sizes, 0))
+    nulls = np.r_[0, np.cumsum(null)]
+    return (sizes >= 0) & (nulls[ends] == nulls[ends - np.maximum(sizes, 0)])
+
+
+def _sum_of_products(v: list, q: list) -> float:
+    out = 0.0
+    for x, y in zip(v, q, strict=True):
+        out += x * y
+    return out
 
 
 def _in_order(m: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -183,16 +192,23 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUE
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
         if len(rows_q) and len(rows_v):
             out += [(np.full(len(at), rows_q[i]), rows_v[at], scores, np.zeros(len(at), bool)) for i, (at, scores) in enumerate(near_in_shard(order[rows_v], m, q, k))]
-        odd_v = {int(j): held[int(j)].as_py() for j in np.flatnonzero(~ok_v)}
-        plain_v = {} if ok_q.all() else {int(j): held[int(j)].as_py() for j in rows_v}
-        for i in range(len(qids)) if odd_v or plain_v else ():
-            value, met = asked_for[i].as_py(), odd_v if ok_q[i] else odd_v | plain_v
-            scores = [_odd_score(v, value) for v in met.values()]
-            at, null = np.array(list(met), np.int64), np.array([x is None for x in scores], bool)
-            numbers = np.array([0.0 if x is None else x for x in scores], np.float64)
-            for group in (null, ~null & np.isnan(numbers), ~null & ~np.isnan(numbers)):
-                kept = np.flatnonzero(group)[_best(order[at[group]], np.nan_to_num(numbers[group], nan=0.0, posinf=np.inf, neginf=-np.inf), k)]
-                out.append((np.full(len(kept), i), at[kept], numbers[kept], null[kept]))
+        if not (ok_q.all() and ok_v.all()):
+            by_id = np.argsort(order, kind="stable")
+            size_q, size_v, full_q, full_v = _sizes(asked_for), _sizes(held), _full(asked_for), _full(held)
+            values = {}
+            for i in range(len(qids)):
+                met = np.flatnonzero(~ok_v) if ok_q[i] else np.arange(len(ids))
+                told = full_v[met] & full_q[i] & (size_v[met] == size_q[i])
+                null = np.zeros(len(ids), bool)
+                null[met[~told]] = True
+                first = by_id[null[by_id]][:k]
+                out.append((np.full(len(first), i), first, np.zeros(len(first)), np.ones(len(first), bool)))
+                value = asked_for[i].as_py() if told.any() else None
+                at = met[told]
+                numbers = np.array([_sum_of_products(values[j] if j in values else values.setdefault(j, held[j].as_py()), value) for j in at.tolist()], np.float64)
+                for group in (np.isnan(numbers), ~np.isnan(numbers)):
+                    kept = np.flatnonzero(group)[_best(order[at[group]], np.nan_to_num(numbers[group], nan=0.0, posinf=np.inf, neginf=-np.inf), k)]
+                    out.append((np.full(len(kept), i), at[kept], numbers[kept], np.zeros(len(kept), bool)))
         at_q, at_v, scores, null = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"qid": qids.take(pa.array(at_q)), "id": ids.take(pa.array(at_v)), "score": pa.array(scores, pa.float64(), mask=null)})
 

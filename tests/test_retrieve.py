@@ -61,3 +61,17 @@ def test_every_orders_question_takes_its_way(spark):
     assert seen > 8
     texts = [x for qid, own in found.items() if qid % 2 for x in own]
     assert texts and {x["method"] for x in texts} == {"hybrid"} and max(x["rank"] for x in texts) <= 8
+
+
+def test_queries_of_one_text_are_answered_once(spark, monkeypatch):
+    from quarrystone.operators import bundle
+
+    seen, bundles = [], bundle.bundles
+    monkeypatch.setattr(bundle, "bundles", lambda chunks, wanted: seen.append(wanted.count()) or bundles(chunks, wanted))
+    names = "doc_id string, chunk_id int, chunk_pos long, page int, text string, chunk_type string, article_id string, schedule_id string, list_id string, entry_id string"
+    chunks = with_defaults(spark.createDataFrame([("d", i, i, 1, f"{i + 1}. Title.-(1) Text {i}.", "article", str(i + 1), "", "", "") for i in range(3)], names))
+    vectors = spark.createDataFrame([(i, [1.0]) for i in range(3)], "id long, v array<float>")
+    asked = spark.createDataFrame([(q, f"Article {q % 3 + 1}" if q < 9 else "title text", [] if q < 9 else [1.0]) for q in range(11)], "qid long, query string, q array<float>")
+    got = sorted((r.qid, r.rank, r.chunk_pos) for r in retrieve(chunks, vectors, asked, 2).collect())
+    assert seen == [3] and got[:9] == [(q, 1, q % 3) for q in range(9)]
+    assert [(q - 9, *x) for q, *x in got[9:] if q == 9] == [(q - 10, *x) for q, *x in got[9:] if q == 10] and len(got) == 13
