@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..tables import let
 from . import legal
 from .text import strip
 
@@ -89,20 +90,25 @@ def entry_title(line: Column) -> Column:
     return F.when(title.rlike(ENTRY_NOTE), "").otherwise(title)
 
 
+def _entry_number(line: Column) -> Column:
+    return legal.entry_id(F.regexp_extract(line, ENTRY_HEADING, 1))
+
+
 def entry_of(line: Column) -> Column:
-    return F.when(entry_title(line) != "", legal.entry_id(F.regexp_extract(line, ENTRY_HEADING, 1))).otherwise("")
+    return F.when(entry_title(line) != "", _entry_number(line)).otherwise("")
 
 
 def marked_lines(text: Column) -> Column:
     """Every line of a page with what it may be: array<struct<line,schedule,list,entry,title,note,header>>."""
     trimmed = F.transform(F.split(soft_lines(text), LINE_END), strip)
-    return F.transform(
-        trimmed,
-        lambda x: F.struct(
-            x.alias("line"), schedule_of(x).alias("schedule"), list_of(x).alias("list"), entry_of(x).alias("entry"), entry_title(x).alias("title"),
+
+    def marked(x: Column, title: Column) -> Column:
+        return F.struct(
+            x.alias("line"), schedule_of(x).alias("schedule"), list_of(x).alias("list"), F.when(title != "", _entry_number(x)).otherwise("").alias("entry"), title.alias("title"),
             x.rlike(STRUCTURE_NOTE).alias("note"), x.rlike(SCHEDULE_GOES_ON).alias("header"),
-        ),
-    )
+        )
+
+    return F.transform(trimmed, lambda x: let(entry_title(x), lambda title: marked(x, title)))
 
 
 def contents_page(lines: Column) -> Column:

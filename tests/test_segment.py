@@ -133,3 +133,11 @@ def test_registered_chunks_come_from_the_pages_states(spark):
     chunks = queries.page_chunks(spark, d).where("chunk_type <> 'generic' OR schedule_id <> ''").select("doc_id", "page", "article_id", "schedule_id", "list_id", "entry_id").distinct()
     pieces = queries.page_structure(spark, d).select("doc_id", "page", "article", "schedule", "list", "entry").distinct()
     assert chunks.exceptAll(pieces).count() == 0 and chunks.count() > 40
+
+
+def test_pages_are_read_by_all_cores_and_once_in_each_state(spark):
+    d = "/root/testdata/sf0.001"
+    assert queries.page_structure(spark, d).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    pages = queries._pages(spark, d)
+    step = G.let(S.marked_lines(F.col("text")), lambda ms: G.let(G.article_segments(F.col("text")), lambda a: G._next_states(ms, a, 80)))
+    assert pages.select(step.alias("f"))._jdf.queryExecution().analyzed().toString().count("= CONTENTS") == 1
