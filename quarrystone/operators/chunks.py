@@ -93,9 +93,13 @@ def subchunk_article(text: Column, article: Column, size: int = CHUNK_SIZE, min_
     """A long article by clauses; from the second chunk on each says that it continues."""
     prefix = F.when(F.coalesce(article, F.lit("")) != "", F.concat(F.lit("[Article "), article, F.lit("] (continued) "))).otherwise("")
     whole = F.transform(generic_split(text, size, min_size), lambda c: F.concat(prefix, c))
-    packed = F.transform(pack(clauses(text), size, min_size), lambda c, i: F.when(i > 0, F.concat(prefix, c)).otherwise(c))
-    cut = F.flatten(F.transform(packed, lambda c: F.when(F.char_length(c) <= size, F.array(c)).otherwise(F.transform(generic_split(c, size, min_size), lambda s: F.concat(prefix, s)))))
-    return F.when(F.size(clauses(text)) <= 1, whole).when(F.size(cut) > 0, cut).otherwise(F.array(F.substr(text, F.lit(1), F.lit(size))))
+
+    def by_clauses(pieces: Column) -> Column:
+        packed = F.transform(pack(pieces, size, min_size), lambda c, i: F.when(i > 0, F.concat(prefix, c)).otherwise(c))
+        cut = F.flatten(F.transform(packed, lambda c: F.when(F.char_length(c) <= size, F.array(c)).otherwise(F.transform(generic_split(c, size, min_size), lambda s: F.concat(prefix, s)))))
+        return let(cut, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.substr(text, F.lit(1), F.lit(size)))))
+
+    return let(clauses(text), lambda pieces: F.when(F.size(pieces) <= 1, whole).otherwise(by_clauses(pieces)))
 
 
 def exploded(docs: DataFrame, chunks: Column, id_col: str = "doc_id") -> DataFrame:
