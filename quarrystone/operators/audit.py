@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..tables import settled
 from .answer import snippet
 
 # What a chunk must have, the types it can be of, articles that a report shows, how a heading names an article.
@@ -128,8 +129,9 @@ def structural_samples(chunks: DataFrame, postings: DataFrame) -> DataFrame:
 def report(chunks: DataFrame, postings: DataFrame, manifest: DataFrame) -> DataFrame:
     """(section, item, n): the counts of a store's parts, its integrity, its index and its articles."""
     said = lambda df, section, item, n: df.select(F.lit(section).alias("section"), item.alias("item"), n.cast("long").alias("n"))
+    postings = settled(postings)
     one = lambda df, section, item, n: said(df.agg(n.alias("v")), section, F.lit(item), F.col("v"))
-    named, bad, headings = (lambda *c: F.concat_ws("_", *c)), index_issues(postings, chunks), heading_audit(chunks, postings)
+    named, bad, headings = (lambda *c: F.concat_ws("_", *c)), index_issues(postings, chunks), settled(heading_audit(chunks, postings))
     counted = counters(chunks)
     parts = [
         one(manifest, "documents", "documents", F.count("*")), one(manifest, "stability", "chunks_told", F.coalesce(F.sum("chunk_count"), F.lit(0))), one(chunks, "counts", "chunks", F.count("*")),
