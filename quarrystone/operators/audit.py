@@ -113,7 +113,7 @@ def _shown(places: DataFrame, chunks: DataFrame, label: str, most: int) -> DataF
 
 def target_articles(chunks: DataFrame, postings: DataFrame, targets: tuple[str, ...] = TARGET_ARTICLES) -> DataFrame:
     """(article, source, nth, chunk_pos, page, chunk_type, text): the first chunks of articles that matter, by the index or else by headings."""
-    indexed = postings.where((F.col("kind") == "article") & F.col("key").isin(*targets)).select(F.col("key").alias("article"), "chunk_pos", F.lit("index").alias("source"))
+    indexed = settled(postings.where((F.col("kind") == "article") & F.col("key").isin(*targets)).select(F.col("key").alias("article"), "chunk_pos", F.lit("index").alias("source")))
     shown = heading_articles(chunks.where(F.col("text").rlike(HEADING_ARTICLE))).where(F.col("article").isin(*targets))
     inferred = shown.join(indexed.select("article").distinct(), "article", "left_anti").withColumn("source", F.lit("heading"))
     return _shown(indexed.unionByName(inferred), chunks, "article", TARGET_REFS).select("article", "source", "nth", "chunk_pos", "page", "chunk_type", "text")
