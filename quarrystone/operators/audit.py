@@ -88,7 +88,7 @@ GROUPS = {"articles": "article", "parts": "part", "schedules": "schedule", "list
 def stored_index_issues(values: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kind, key, chunk_pos, issue) of a stored index's values: no list, no whole number, and what index_issues() finds in the rest."""
     names = F.create_map(*(F.lit(x) for pair in GROUPS.items() for x in pair))
-    known = values.withColumn("kind", names[F.col("kind")]).where("kind IS NOT NULL")
+    known = settled(values.withColumn("kind", names[F.col("kind")]).where("kind IS NOT NULL").select("kind", "key", "place", "chunk_pos"))
     wrong = known.where("chunk_pos IS NULL").select("kind", "key", "chunk_pos", F.when(F.col("place").isNull(), "not_list").otherwise("non_int").alias("issue"))
     return wrong.unionByName(index_issues(known.where("chunk_pos IS NOT NULL").select("kind", "key", "chunk_pos"), chunks))
 

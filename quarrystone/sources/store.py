@@ -73,9 +73,11 @@ def index_values(raw: DataFrame) -> DataFrame:
         WITH parsed AS (SELECT try_parse_json(regexp_replace(value, '^\ufeff', '')) AS v FROM {raw}),
         kinds AS (SELECT k.key AS kind, k.value AS keys FROM parsed, LATERAL variant_explode(v) k WHERE schema_of_variant(v) LIKE 'OBJECT%'),
         found AS (SELECT kind, e.key, e.value, schema_of_variant(e.value) AS type FROM kinds, LATERAL variant_explode(keys) e WHERE schema_of_variant(keys) LIKE 'OBJECT%'),
-        listed AS (SELECT kind, f.key, p.pos, p.value, schema_of_variant(p.value) AS type FROM found f, LATERAL variant_explode(f.value) p WHERE f.type LIKE 'ARRAY%')
-        SELECT kind, key, pos AS place, CASE WHEN type = 'BIGINT' THEN variant_get(value, '$', 'bigint') END AS chunk_pos, type FROM listed
-        UNION ALL SELECT kind, key, NULL, NULL, type FROM found WHERE type NOT LIKE 'ARRAY%'
+        listed AS (
+            SELECT kind, f.key, p.pos, p.value, CASE WHEN p.pos IS NULL THEN f.type ELSE schema_of_variant(p.value) END AS type
+            FROM found f, LATERAL variant_explode_outer(CASE WHEN f.type LIKE 'ARRAY%' THEN f.value END) p WHERE p.pos IS NOT NULL OR f.type NOT LIKE 'ARRAY%'
+        )
+        SELECT kind, key, pos AS place, CASE WHEN pos IS NOT NULL AND type = 'BIGINT' THEN variant_get(value, '$', 'bigint') END AS chunk_pos, type FROM listed
         """,
         raw=raw,
     )
