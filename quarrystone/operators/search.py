@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ WIDEN = 3
 #: Queries and vectors that meet in one task, and terms of queries that are broadcast.
 QUERY_BLOCK, SHARD = 4096, 32_768
 BROADCAST_TERMS = 500_000
+#: Scores that are added up at once in a task.
+SCORES = 1 << 22
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,9 +94,102 @@ def ranked(scores: DataFrame, k: int | Column, by: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _counting(asked: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, ws) to (id, dl, terms, tfs): numbers of the words that are asked for, with their counts, inside each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["ws"].value_lengths()
+            words = batch["ws"].flatten()
+            numbers = pc.index_in(words, value_set=asked.cast(words.type)).fill_null(-1).to_numpy()
+            rows = np.repeat(np.arange(len(batch)), sizes.fill_null(0).to_numpy())
+            known = numbers >= 0
+            found, tf = np.unique(rows[known] * len(asked) + numbers[known], return_counts=True)
+            ends = pa.array(np.searchsorted(found, np.arange(len(batch) + 1) * len(asked)), pa.int32())
+            terms, counts = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (found % max(1, len(asked)), tf))
+            yield pa.RecordBatch.from_arrays([batch["id"], sizes.cast(pa.int64()), terms, counts], ["id", "dl", "terms", "tfs"])
+
+    return run
+
+
+def _merged(parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dl, term, tf) of lists of (dl, terms, tfs), ordered by row; what several of a row's rows of one dl have of a term is one."""
+    several = parts.value_lengths().to_numpy()
+    dls, terms, tfs = parts.flatten().flatten()
+    sizes = terms.value_lengths().to_numpy()
+    row, dl = np.repeat(np.repeat(np.arange(len(parts)), several), sizes), np.repeat(dls.fill_null(0).to_numpy(), sizes)
+    term, tf = terms.flatten().to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(np.int64)
+    if len(row) and several.max() > 1:
+        order = np.lexsort((term, dl, row))
+        row, dl, term, tf = (x[order] for x in (row, dl, term, tf))
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (dl[1:] != dl[:-1]) | (term[1:] != term[:-1])])
+        row, dl, term, tf = row[first], dl[first], term[first], np.add.reduceat(tf, first)
+    return row, dl, term, tf
+
+
+def _found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of the rows of each batch."""
+    for batch in batches:
+        df = np.bincount(_merged(batch["parts"])[2])
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(df[term], pa.int64())], ["term", "df"])
+
+
+def _scoring(qids: pa.Array, ends: np.ndarray, of: np.ndarray, weight: np.ndarray, avgdl: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, parts) to (qid, id, score): all that may be among a query's k best by score rounded to six digits.
+
+    Term t has weight[i] in query of[i], for i from ends[t] up to ends[t + 1].
+    """
+    step = max(1, SCORES // max(1, len(of)))  # a document meets each query's term once
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, dl, term, tf = _merged(batch["parts"])
+            place = np.argsort(pc.sort_indices(batch["id"], null_placement="at_start").to_numpy())
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            for low in range(0, len(batch), step):
+                n = min(step, len(batch) - low)
+                at = slice(*np.searchsorted(row, (low, low + n)))
+                many = (ends[1:] - ends[:-1])[term[at]]
+                hit = np.repeat(np.arange(len(many)), many)
+                use = ends[term[at]][hit] + np.arange(len(hit)) - (np.cumsum(many) - many)[hit]
+                cell = (row[at] - low)[hit] * len(qids) + of[use]
+                scores = np.bincount(cell, weight[use] * part[at][hit], n * len(qids)).reshape(n, len(qids))
+                kth = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(qids))
+                docs, asks = np.nonzero((scores > 0) & (scores >= kth - 2e-6))
+                near = scores[docs, asks]
+                kept = _best(place[low + docs], near, k, asks)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(asks[kept])), batch["id"].take(pa.array(low + docs[kept])), pa.array(near[kept])], ["qid", "id", "score"])
+
+    return run
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rounded = bm25(docs, queries).select("qid", "id", F.round("score", 6).alias("score"))
-    return ranked(rounded, k)
+    """(qid, id, score, rank) of the k best documents (doc_id, text) of each query (qid, query).
+
+    Texts are read once, into one row of counts for each id. Those rows meet the queries' terms as arrays, some documents at a
+    time, and only each query's best of them are shuffled. Beyond BROADCAST_TERMS the terms are met by joins.
+    """
+    terms = settled(query_terms(queries))
+    if terms.count() > BROADCAST_TERMS:
+        hits, corpus = _hits(docs, terms)
+        scores = bm25_stored(settled(hits), settled(corpus), queries)
+        return ranked(scores.select("qid", "id", F.round("score", 6).alias("score")), k)
+    uses = terms.orderBy("term", "qid").toArrow().combine_chunks()
+    asked, qids = (pc.unique(uses[name].combine_chunks()) for name in ("term", "qid"))
+    name, number = docs.schema["doc_id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    words = spread(docs.select(F.col("doc_id").alias("id"), "text"), "id", "text").select("id", T.tokens(F.col("text")).alias("ws"))
+    counts = words.mapInArrow(_counting(asked), f"id {name}, dl long, terms array<int>, tfs array<int>")
+    kept = settled(counts.groupBy("id").agg(F.collect_list(F.struct("dl", "terms", "tfs")).alias("parts")))
+    n, avgdl = kept.select(F.explode("parts.dl").alias("dl")).agg(F.count("*"), F.avg(F.col("dl").cast("double"))).first()
+    found = kept.select("parts").mapInArrow(_found_in, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(asked))
+    df[found["term"].to_numpy()] = found["df"].to_numpy()
+    of_term, of = (pc.index_in(uses[name], value_set=x).to_numpy() for name, x in (("term", asked), ("qid", qids)))
+    weight = uses["qtf"].to_numpy() * np.log((n - df + 0.5) / (df + 0.5) + 1.0)[of_term]
+    ends = np.searchsorted(of_term, np.arange(len(asked) + 1))
+    best = kept.mapInArrow(_scoring(qids, ends, of, weight, avgdl or 1.0, k), f"qid {number}, id {name}, score double")
+    return ranked(best.select("qid", "id", F.round("score", 6).alias("score")), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -138,11 +236,12 @@ def _in_order(m: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of all scores but those that k equal ones with smaller ids precede."""
-    order = np.lexsort((ids, -scores))
-    s = scores[order]
-    first = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1] if len(s) else np.empty(0, np.int64)
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, of: np.ndarray | int = 0) -> np.ndarray:
+    """Places of all scores but those that k equal ones (of the same query) with smaller ids precede."""
+    of = np.broadcast_to(of, len(scores))
+    order = np.lexsort((ids, -scores, of))
+    s, q = scores[order], of[order]
+    first = np.r_[0, np.flatnonzero((s[1:] != s[:-1]) | (q[1:] != q[:-1])) + 1] if len(s) else np.empty(0, np.int64)
     nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
     return order[nth < k]
 
