@@ -140,23 +140,29 @@ def _scoring(qids: pa.Array, ends: np.ndarray, of: np.ndarray, weight: np.ndarra
 
     Term t has weight[i] in query of[i], for i from ends[t] up to ends[t + 1].
     """
-    step = max(1, SCORES // max(1, len(of)))  # a document meets each query's term once
+    n_q = len(qids)
+    wide, step = (max(1, SCORES // max(1, n)) for n in (n_q, len(of)))  # documents whose scores, and whose products, are held: a document meets each query's term once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.zeros(n_q)  # k documents of this task have as much
         for batch in batches:
             row, dl, term, tf = _merged(batch["parts"])
             place = np.argsort(pc.sort_indices(batch["id"], null_placement="at_start").to_numpy())
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-            for low in range(0, len(batch), step):
-                n = min(step, len(batch) - low)
-                at = slice(*np.searchsorted(row, (low, low + n)))
-                many = (ends[1:] - ends[:-1])[term[at]]
-                hit = np.repeat(np.arange(len(many)), many)
-                use = ends[term[at]][hit] + np.arange(len(hit)) - (np.cumsum(many) - many)[hit]
-                cell = (row[at] - low)[hit] * len(qids) + of[use]
-                scores = np.bincount(cell, weight[use] * part[at][hit], n * len(qids)).reshape(n, len(qids))
-                kth = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(qids))
-                docs, asks = np.nonzero((scores > 0) & (scores >= kth - 2e-6))
+            for low in range(0, len(batch), wide):
+                n = min(wide, len(batch) - low)
+                scores = np.empty((n, n_q))
+                for first in range(0, n, step):
+                    held = scores[first : first + step]
+                    at = slice(*np.searchsorted(row, (low + first, low + first + len(held))))
+                    many = (ends[1:] - ends[:-1])[term[at]]
+                    hit = np.repeat(np.arange(len(many)), many)
+                    use = ends[term[at]][hit] + np.arange(len(hit)) - (np.cumsum(many) - many)[hit]
+                    cell = (row[at] - low - first)[hit] * n_q + of[use]
+                    held[:] = np.bincount(cell, weight[use] * part[at][hit], held.size).reshape(held.shape)
+                if n > k:
+                    least = np.maximum(least, np.partition(scores, n - k, axis=0)[n - k])
+                docs, asks = np.nonzero((scores > 0) & (scores >= least - 2e-6))
                 near = scores[docs, asks]
                 kept = _best(place[low + docs], near, k, asks)
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(asks[kept])), batch["id"].take(pa.array(low + docs[kept])), pa.array(near[kept])], ["qid", "id", "score"])
