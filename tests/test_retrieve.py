@@ -63,6 +63,14 @@ def test_every_orders_question_takes_its_way(spark):
     assert texts and {x["method"] for x in texts} == {"hybrid"} and max(x["rank"] for x in texts) <= 8
 
 
+def test_benchmark_texts_are_asked_whole(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries.retrieve, "retrieve", lambda chunks, vectors, asked: asked)
+    got = {r["qid"]: r["query"] for r in queries.routed_questions(spark, d).where("qid % 2 = 1").collect()}
+    assert got == {2 * r["item_id"] + 1: r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    assert max(map(len, got.values())) > 200
+
+
 def test_queries_of_one_text_are_answered_once(spark, monkeypatch):
     from quarrystone.operators import bundle
 
