@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import settled
+from ..tables import settled, shuffled
 from . import bundle, index, search
 
 TOP_K, TOLD = 8, 5
@@ -44,7 +44,7 @@ def _answered(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int)
     placed = index.structural(asked, index.build_postings(chunks), articles.select("qid").distinct())
     new = placed.join(bundled.select("qid", "chunk_pos"), ["qid", "chunk_pos"], "left_anti").join(counts, "qid", "left")
     nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank")) + F.coalesce("had", F.lit(0))
-    texts = chunks.select("chunk_pos", "chunk_type", "article_id", "text")
+    texts = shuffled(chunks).select("chunk_pos", "chunk_type", "article_id", "text")
     direct = new.withColumn("rank", nth).where((F.col("rank") <= k) | (F.col("rank") == F.col("had") + 1)).select("qid", "rank", "chunk_pos").join(texts, "chunk_pos")
     routed = settled(bundled.unionByName(direct.select(*bundled.columns)).select("*", F.lit(1.0).alias("score"), F.lit("identifier").alias("method")))
     rest = queries.join(routed.select("qid").distinct(), "qid", "left_anti")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import settled
+from ..tables import settled, shuffled
 
 WIDTH = 64
 
@@ -37,7 +37,7 @@ def exclusive_scan(rows: DataFrame, group: str, at: str, value: str, combine: Ca
         if not span:
             blocks.append(block.withColumn("_before", nothing.cast(kind)))
             break
-        blocks.append(block := settled(block))
+        blocks.append(block := shuffled(settled(block)))
         total = F.aggregate("_items", nothing.cast(kind), lambda a, x: combine(a, x["_v"]).cast(kind))
         level = block.select("_g", F.col("_block").alias("_at"), total.alias("_v"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import settled, spread
+from ..tables import settled, shuffled, spread
 
 K1, B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT, NOTE_WEIGHT = 0.7, 0.3, 0.4
@@ -345,7 +345,7 @@ def hybrid_topk(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     of_text = settled(shaped.join(texts, shaped["query"].eqNullSafe(texts["query"])).select("qid", "tid"))
     terms = settled(query_terms(texts.select(F.col("tid").alias("qid"), "query")))
     found, corpus = _hits(chunks, terms)
-    hits = settled(found)  # no more than the chunks' words
+    hits = shuffled(settled(found))  # no more than the chunks' words
     weighted, one = _weighted(hits, terms), F.broadcast(settled(corpus))
     part = F.sum(_part(K1, B)).alias("score")
     scored = hits.repartition("id").join(weighted, "term").crossJoin(one).groupBy("qid", "id").agg(part)
@@ -357,7 +357,7 @@ def hybrid_topk(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     pairs = ids.select(F.col("tid").alias("qid"), "id").distinct()
     told = hits.join(pairs, "id").join(weighted, ["qid", "term"]).crossJoin(one).groupBy("qid", "id").agg(part).join(tops, "qid").select(F.col("qid").alias("tid"), "id", relative.alias("bs"))
     both = ids.join(near, ["qid", "id"], "left").join(told, ["tid", "id"], "left").drop("tid")
-    rows = both.join(chunks.select(F.col("doc_id").alias("id"), "text", "chunk_type", "page"), "id").join(queries.select("qid", T.wants_amendments(F.col("query")).alias("wants")), "qid")
+    rows = both.join(shuffled(chunks).select(F.col("doc_id").alias("id"), "text", "chunk_type", "page"), "id").join(queries.select("qid", T.wants_amendments(F.col("query")).alias("wants")), "qid")
     raw = vector_weight * F.coalesce("vs", F.lit(0.0)) + bm25_weight * F.coalesce("bs", F.lit(0.0))
     score = raw * type_weight(F.col("chunk_type"), F.col("wants")) * rank_weight(F.col("text"), F.col("chunk_type"), F.col("page"))
     best = ranked(rows.select("qid", "id", F.round(score, 6).alias("score")), k)

@@ -1,4 +1,9 @@
+import re
+
+import pytest
+
 from quarrystone.plans import queries
+from quarrystone.operators import bundle, search
 from quarrystone.operators.retrieve import retrieve, telemetry
 from quarrystone.sources.store import with_defaults
 
@@ -71,9 +76,34 @@ def test_benchmark_texts_are_asked_whole(spark, monkeypatch):
     assert max(map(len, got.values())) > 200
 
 
-def test_queries_of_one_text_are_answered_once(spark, monkeypatch):
-    from quarrystone.operators import bundle
+def _broadcast_whole(plan):
+    """Scans of chunks or of their words that a broadcast takes as they are: neither joined nor counted first."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((x for x in lines[i + 1 :] if re.search("Scan|Join|Aggregate|Union|Window", x)), "")
+            if re.search(r"Scan.*\b(chunk_pos|tf)#", below):
+                yield below
+
 
+@pytest.mark.parametrize("named", (True, False))
+def test_no_join_sends_the_store_to_the_driver(spark, monkeypatch, tmp_path, named):
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (bundle, search, queries.retrieve):
+        monkeypatch.setattr(module, "settled", lambda df, f=module.settled: told(df) or f(df))
+    shape = ("'d' AS doc_id", "CAST(id AS INT) AS chunk_id", "id AS chunk_pos", "1 AS page", "concat(id % 9 + 1, '. Title.-(1) Text ', id) AS text", "'article' AS chunk_type", "CAST(id % 9 + 1 AS STRING) AS article_id", "'' AS schedule_id", "'' AS list_id", "'' AS entry_id")
+    spark.range(50).selectExpr(*shape).write.parquet(str(tmp_path / "store"))
+    chunks = with_defaults(spark.read.parquet(str(tmp_path / "store")))
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "id long, v array<float>")
+    asked = spark.createDataFrame([(q, f"Article {q + 1}" if named else f"title text {q}", [1.0, 0.5]) for q in range(3)], "qid long, query string, q array<float>")
+    found = retrieve(chunks, vectors, asked, 2)
+    told(found)
+    assert found.count() >= 3 and len(plans) > 5
+    assert [x for plan in plans for x in _broadcast_whole(plan)] == []
+
+
+def test_queries_of_one_text_are_answered_once(spark, monkeypatch):
     seen, bundles = [], bundle.bundles
     monkeypatch.setattr(bundle, "bundles", lambda chunks, wanted: seen.append(wanted.count()) or bundles(chunks, wanted))
     names = "doc_id string, chunk_id int, chunk_pos long, page int, text string, chunk_type string, article_id string, schedule_id string, list_id string, entry_id string"
